@@ -209,13 +209,15 @@ def class_column(token: Column, top: dict[bytes, int]) -> Column:
     return of(token)
 
 
-SCORED = "doc_id long, n_tokens long, n_known long, base_score double, score double"
+SCORED = "doc_id string, n_tokens long, n_known long, base_score double, score double"
 
 
 def score(docs: DataFrame, held_out: Column, scratch: Scratch, *, doc_id: str = "doc_id", text: str = "text", states: int = STATES, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), held_out.alias("held_out"))
+    kind = docs.schema[doc_id].dataType
+    # as text: a number with nulls would become a float in pandas
+    rows = docs.select(F.col(doc_id).cast("string").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), held_out.alias("held_out"))
     training = rows.where(~F.col("held_out"))
     counts = scratch.save(token_counts(training), "counts")
     sizes = training.agg(F.count("*").alias("n")).first().n
@@ -276,8 +278,8 @@ def score(docs: DataFrame, held_out: Column, scratch: Scratch, *, doc_id: str =
             total[some] = forward(m, *laid_out([seqs[i] for i in some]))
         frame = pd.DataFrame(out, columns=["n_tokens", "n_known", "base_score", "score"])
         frame["score"] += total / np.log(10)
-        frame.insert(0, "doc_id", texts["doc_id"].astype("Int64").to_numpy())
+        frame.insert(0, "doc_id", texts["doc_id"].to_numpy())
         return frame
 
     judged = dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(judge, SCORED)
-    return judged.select("doc_id", "n_tokens", "n_known", F.lit(int(n_all)).cast("long").alias("train_tokens"), "base_score", "score")
+    return judged.select(F.col("doc_id").cast(kind).alias("doc_id"), "n_tokens", "n_known", F.lit(int(n_all)).cast("long").alias("train_tokens"), "base_score", "score")

@@ -74,10 +74,15 @@ def masks(distinct: int) -> list[int]:
     return [m - (1 << 64) if m >> 63 else m for m in map(sum, combinations(blocks, keep))]
 
 
+def differing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Differing bits; unsigned, as numpy counts the bits of absolute values."""
+    return np.bitwise_count((a ^ b).astype(np.uint64))
+
+
 def near(fps: np.ndarray, pivots: np.ndarray, one: int, others: np.ndarray) -> np.ndarray:
     """Which of ``others`` (row numbers) are within the limit of row ``one``."""
     keep = (np.abs(pivots[others] - pivots[one]) <= LIMIT).all(1)
-    keep[keep] = np.bitwise_count(fps[others[keep]] ^ fps[one]) <= LIMIT
+    keep[keep] = differing(fps[others[keep]], fps[one]) <= LIMIT
     return keep
 
 
@@ -105,7 +110,7 @@ def links_of(table: np.ndarray, fps: np.ndarray, pivots: np.ndarray, ends: np.nd
     for step in range(1, min(32, int(sizes.max(initial=0)))):
         i = np.flatnonzero(small[:-step] & (np.arange(len(fps) - step) + step < last[:-step]))
         i = i[(np.abs(pivots[i] - pivots[i + step]) <= LIMIT).all(1)]
-        i = i[np.bitwise_count(fps[i] ^ fps[i + step]) <= LIMIT]
+        i = i[differing(fps[i], fps[i + step]) <= LIMIT]
         a.append(i)
         b.append(i + step)
     for s, e in zip(begin[sizes > 32].tolist(), ends[sizes > 32].tolist(), strict=True):
