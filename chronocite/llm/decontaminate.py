@@ -15,6 +15,7 @@ have no windows; repeated items are reported by each of their ids.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import ahocorasick
@@ -52,10 +53,10 @@ def patterns(items: list[tuple[str, str | None]], size: int) -> dict[bytes, tupl
     return {k: (n, tuple(dict.fromkeys(ids))) for k, (n, ids) in found.items()}
 
 
-_built: dict[int, ahocorasick.Automaton] = {}
+_built: dict[str, ahocorasick.Automaton] = {}
 
 
-def automaton(key: int, pats: dict) -> ahocorasick.Automaton | None:
+def automaton(key: str, pats: dict) -> ahocorasick.Automaton | None:
     """The automaton of a shard, built once in each worker."""
     if key not in _built:
         a = ahocorasick.Automaton()
@@ -123,7 +124,7 @@ def hits(benchmark: DataFrame, text: Column, *, item_id: str = "item_id", item_t
 
 def _shard_hits(held, text: Column, before: Column | None) -> Column:
     """Hits of one shard, added to those of the shards before it."""
-    key = held.id if hasattr(held, "id") else id(held)
+    key = uuid.uuid4().hex
 
     def one(texts: pd.Series, earlier: pd.DataFrame | None) -> pd.DataFrame:
         a = automaton(key, held.value)

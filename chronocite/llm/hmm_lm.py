@@ -183,7 +183,8 @@ def baum_welch_round(training: DataFrame, model: Model) -> dict[str, np.ndarray]
                 expected(m, *laid_out([seqs[i] for i in some]), sums)
         table = np.concatenate([sums["emit"], sums["step"], sums["start"][None]])
         used = np.flatnonzero(table.any(1))
-        yield pd.DataFrame(table[used], columns=names).assign(row=used)
+        if len(used):
+            yield pd.DataFrame(table[used], columns=names).assign(row=used)
 
     rows = training.select("text").mapInPandas(count, ", ".join(f"{c} double" for c in names) + ", row long").groupBy("row").agg(*[F.sum(c).alias(c) for c in names]).collect()
     table = np.zeros((model.classes + k + 1, k))
@@ -247,7 +248,8 @@ def score(docs: DataFrame, held_out: Column, scratch: Scratch, *, doc_id: str =
             for chunk, t in zip(batch["chunk"].tolist(), batch["text"], strict=True):
                 found.setdefault(chunk, set()).update(tokens(t))
         for chunk, names in found.items():
-            yield pd.DataFrame({"chunk": np.full(len(names), chunk, np.int32), "token": [w.decode() for w in names]})
+            if names:
+                yield pd.DataFrame({"chunk": np.full(len(names), chunk, np.int32), "token": [w.decode() for w in names]})
 
     wanted = dealt.mapInPandas(asked, "chunk int, token string")
     answers = wanted.join(counts, "token").select("chunk", "token", "c")

@@ -6,7 +6,7 @@ from pyspark.sql import SparkSession
 def spark():
     s = (
         SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false")
-        .config("spark.sql.session.timeZone", "UTC").config("spark.driver.memory", "4g").getOrCreate()
+        .config("spark.sql.session.timeZone", "UTC").config("spark.driver.memory", "4g").config("spark.sql.execution.pyspark.udf.simplifiedTraceback.enabled", "false").getOrCreate()
     )
     s.sparkContext.setLogLevel("ERROR")
     return s
