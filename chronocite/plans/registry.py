@@ -8,3 +8,22 @@ from pyspark.sql import DataFrame, SparkSession
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None, name: str | None = None):
+    """Register a query, with the SQL that gives its rows where there is one."""
+
+    def put(f):
+        QUERIES[name or f.__name__] = f
+        if sql:
+            ORACLES[name or f.__name__] = sql
+        return f
+
+    return put
+
+
+def load() -> None:
+    from . import analytics, curation, evaluation, graphs, parsing, texts, times  # noqa: F401
+
+
+load()
