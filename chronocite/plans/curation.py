@@ -121,7 +121,7 @@ def celex_codec(spark, sf):
     return made.select("o_orderkey", "case_id", "celex", ids.celex_to_case(F.col("celex")).alias("back"), ids.allowed_type(F.col("celex")).alias("allowed"))
 
 
-@query("SELECT l_orderkey, l_linenumber, unnest(range(l_linenumber, l_linenumber + l_orderkey % 3 + 1)) AS paragraph, 'paragraphs' AS unit FROM lineitem WHERE l_orderkey < 400 GROUP BY ALL")
+@query("SELECT DISTINCT * FROM (SELECT l_orderkey, l_linenumber, unnest(range(l_linenumber, l_linenumber + l_orderkey % 3 + 1)) AS paragraph, 'paragraphs' AS unit FROM lineitem WHERE l_orderkey < 400)")
 def range_expand(spark, sf):
     end = F.col("l_linenumber") + F.col("l_orderkey") % 3
     text = F.concat(F.lit("N"), F.col("l_linenumber").cast("string"), F.lit(" - "), end.cast("string"))

@@ -121,16 +121,16 @@ def rank_of_correct(spark, sf):
     """
     v = vectors(spark, sf)
     n = v.count()
-    q = v.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(max(1, -(-n // R.BLOCK)) - 1))))
-    d = v.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(max(1, -(-n // R.BLOCK)))).cast("int"))
+    parts = max(1, -(-n // R.BLOCK))
+    q = v.select("id", "time", "vec", "label", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
+    d = v.select(F.col("id").alias("doc"), F.col("vec").alias("doc_vec"), F.col("label").alias("doc_label"), F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias("part"))
 
     def scores(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
             return pd.DataFrame({"query_id": [], "doc_id": [], "score": [], "hit": []}, dtype=float).astype({"hit": bool})
-        s = np.round(np.stack(a["vec"]).astype(float) @ np.stack(b["vec"]).astype(float).T, 6)
-        older = b["time"].to_numpy()[None] < a["time"].to_numpy()[:, None]
-        i, j = np.nonzero(older)
-        return pd.DataFrame({"query_id": a["id"].to_numpy()[i], "doc_id": b["id"].to_numpy()[j], "score": s[i, j], "hit": a["label"].to_numpy()[i] == b["label"].to_numpy()[j]})
+        s = np.round(np.stack(a["vec"]).astype(float) @ np.stack(b["doc_vec"]).astype(float).T, 6)
+        i, j = np.nonzero(b["doc"].to_numpy()[None] < a["time"].to_numpy()[:, None])
+        return pd.DataFrame({"query_id": a["id"].to_numpy()[i], "doc_id": b["doc"].to_numpy()[j], "score": s[i, j], "hit": a["label"].to_numpy()[i] == b["doc_label"].to_numpy()[j]})
 
     rows = q.groupBy("part").cogroup(d.groupBy("part")).applyInPandas(scores, "query_id long, doc_id long, score double, hit boolean")
     best = rows.where("hit").groupBy("query_id").agg(F.max(F.struct("score", (-F.col("doc_id")).alias("d"))).alias("b"))
