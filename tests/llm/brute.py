@@ -114,3 +114,32 @@ def substring_rows(docs, size=50):
         kept = [x for k, x in enumerate(w) if k not in gone]
         out.append((d, len(w), len(gone), hashlib.sha256(" ".join(kept).encode()).hexdigest()))
     return out
+
+
+def rule_counts(docs):
+    out = []
+    for d, t in docs:
+        t = t or ""
+        w = words(t)
+        lines = [x for x in t.split("\n") if words(x)]
+        grams = [tuple(w[k : k + 3]) for k in range(len(w) - 2)]
+        count = Counter(grams)
+        again = {p for k, g in enumerate(grams) if count[g] > 1 for p in range(k, k + 3)}
+        base = len(w) < 50 or 100 * len(again) > 50 * len(w)
+        out.append((d, len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), len(lines) - len(set(lines)), len(again), base))
+    return out
+
+
+def similar_lines(docs, least=5):
+    """{(doc, line number)} with an earlier line of similarity 4/5 or more."""
+    rows = sorted((d, n, frozenset(words(x.translate(LOW)))) for d, t in docs if d is not None and t is not None for n, x in enumerate(t.split("\n")))
+    rows = [r for r in rows if len(r[2]) >= least]
+    by_word = {}
+    gone = set()
+    for k, (d, n, s) in enumerate(rows):
+        common = Counter(j for w in s for j in by_word.get(w, ()) if (rows[j][0], rows[j][1]) < (d, n))
+        if any(9 * c >= 4 * (len(s) + len(rows[j][2])) for j, c in common.items()):
+            gone.add((d, n))
+        for w in s:
+            by_word.setdefault(w, []).append(k)
+    return gone
