@@ -35,7 +35,8 @@ def recency(doc: Column, query: Column, oldest: Column, kind: str, rate: float)
 def normal_date(d: Column) -> Column:
     """Position of a date on the scale, clipped to [0, 1]; null gives 0."""
     whole = F.datediff(F.lit(LAST_DAY).cast("date"), F.lit(FIRST_DAY).cast("date"))
-    return F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.datediff(d, F.lit(FIRST_DAY).cast("date")) / whole)), F.lit(0.0))
+    # greatest and least skip nulls
+    return F.when(d.isNull(), 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.datediff(d, F.lit(FIRST_DAY).cast("date")) / whole)))
 
 
 def duration_boost(years: Column, best: float = 2.5, sigma: float = 1.0) -> Column:

@@ -36,7 +36,8 @@ class Blocks(HTMLParser):
         if tag in ("script", "style"):
             self.silent += 1
         elif tag in BLOCKS:
-            if tag in ("p", "li", "dt", "dd") and self.open and self.open[-1][0] == tag:
+            ends = {"p": ("p",), "li": ("li", "p"), "dt": ("dt", "dd", "p"), "dd": ("dt", "dd", "p")}.get(tag, ())
+            while self.open and self.open[-1][0] in ends:
                 self.close()
             self.open.append([tag, a.get("class") or "", a.get("id") or "", []])
         elif tag == "a" and a.get("href"):
