@@ -2,11 +2,11 @@
 
 Fingerprints are 64-bit SimHashes of word shingles.  Each distinct fingerprint
 gets its Hamming distances to ``len(PIVOTS)`` reference fingerprints, computed
-once.  Two fingerprints that differ in at most ``LIMIT`` bits differ by at most
+once.  Two fingerprints that differ in at most ``limit`` bits differ by at most
 as much in every coordinate, so a pair with a larger coordinate difference is
 discarded, and the rest are verified bit by bit.
 
-Not all pairs are looked at: with the bits in ``LIMIT`` + k blocks, near
+Not all pairs are looked at: with the bits in ``limit`` + k blocks, near
 fingerprints agree on at least k of them, so only fingerprints that agree on
 some k blocks meet.  k grows with the number of distinct fingerprints, which
 keeps the meetings rare; no link is lost at any k.
@@ -64,12 +64,12 @@ def fingerprints(text: Column, shingle: int = 4) -> Column:
     return made(text)
 
 
-def masks(distinct: int) -> list[int]:
+def masks(distinct: int, limit: int = LIMIT) -> list[int]:
     """Bit masks of the block choices, signed; one must agree for a link."""
     keep = 1
-    while keep < 6 and (1 << (64 * keep // (keep + LIMIT))) < 4 * distinct:
+    while keep < 6 and (1 << (64 * keep // (keep + limit))) < 4 * distinct:
         keep += 1
-    cuts = [64 * k // (keep + LIMIT) for k in range(keep + LIMIT + 1)]
+    cuts = [64 * k // (keep + limit) for k in range(keep + limit + 1)]
     blocks = [(1 << b) - (1 << a) for a, b in zip(cuts, cuts[1:], strict=False)]
     return [m - (1 << 64) if m >> 63 else m for m in map(sum, combinations(blocks, keep))]
 
@@ -79,28 +79,28 @@ def differing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count((a ^ b).astype(np.uint64))
 
 
-def near(fps: np.ndarray, pivots: np.ndarray, one: int, others: np.ndarray) -> np.ndarray:
+def near(fps: np.ndarray, pivots: np.ndarray, one: int, others: np.ndarray, limit: int) -> np.ndarray:
     """Which of ``others`` (row numbers) are within the limit of row ``one``."""
-    keep = (np.abs(pivots[others] - pivots[one]) <= LIMIT).all(1)
-    keep[keep] = differing(fps[others[keep]], fps[one]) <= LIMIT
+    keep = (np.abs(pivots[others] - pivots[one]) <= limit).all(1)
+    keep[keep] = differing(fps[others[keep]], fps[one]) <= limit
     return keep
 
 
-def walk(fps: np.ndarray, pivots: np.ndarray) -> list[tuple[int, int]]:
+def walk(fps: np.ndarray, pivots: np.ndarray, limit: int) -> list[tuple[int, int]]:
     """Links of a breadth-first walk over the rows, as row numbers."""
     rest, links = np.arange(len(fps)), []
     while len(rest):
         front, rest = [int(rest[0])], rest[1:]
         while front and len(rest):
             one = front.pop()
-            got = near(fps, pivots, one, rest)
+            got = near(fps, pivots, one, rest, limit)
             links += [(one, int(x)) for x in rest[got]]
             front += rest[got].tolist()
             rest = rest[~got]
     return links
 
 
-def links_of(table: np.ndarray, fps: np.ndarray, pivots: np.ndarray, ends: np.ndarray, all_masks: np.ndarray) -> np.ndarray:
+def links_of(table: np.ndarray, fps: np.ndarray, pivots: np.ndarray, ends: np.ndarray, all_masks: np.ndarray, limit: int) -> np.ndarray:
     """Links inside groups of rows; ``ends``: where each group ends."""
     sizes = np.diff(np.concatenate(([0], ends)))
     begin = ends - sizes
@@ -109,12 +109,12 @@ def links_of(table: np.ndarray, fps: np.ndarray, pivots: np.ndarray, ends: np.nd
     small = np.repeat(sizes <= 32, sizes)
     for step in range(1, min(32, int(sizes.max(initial=0)))):
         i = np.flatnonzero(small[:-step] & (np.arange(len(fps) - step) + step < last[:-step]))
-        i = i[(np.abs(pivots[i] - pivots[i + step]) <= LIMIT).all(1)]
-        i = i[differing(fps[i], fps[i + step]) <= LIMIT]
+        i = i[(np.abs(pivots[i] - pivots[i + step]) <= limit).all(1)]
+        i = i[differing(fps[i], fps[i + step]) <= limit]
         a.append(i)
         b.append(i + step)
     for s, e in zip(begin[sizes > 32].tolist(), ends[sizes > 32].tolist(), strict=True):
-        if pairs := walk(fps[s:e], pivots[s:e]):
+        if pairs := walk(fps[s:e], pivots[s:e], limit):
             x = np.array(pairs) + s
             a.append(x[:, 0])
             b.append(x[:, 1])
@@ -134,9 +134,9 @@ def pivot_columns(fp: Column) -> list[Column]:
     return [packed(PIVOTS[:8]).alias("p0"), packed(PIVOTS[8:]).alias("p1")]
 
 
-def near_links(distinct: DataFrame, count: int) -> DataFrame:
+def near_links(distinct: DataFrame, count: int, limit: int = LIMIT) -> DataFrame:
     """Links (u, v) that connect what is linked among distinct fingerprints."""
-    choice = masks(count)
+    choice = masks(count, limit)
     choice_array = np.array(choice, np.int64)
 
     def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -151,9 +151,9 @@ def near_links(distinct: DataFrame, count: int) -> DataFrame:
             whole = pd.concat(held)
             tail = (whole["t"].to_numpy() == rows["t"].iloc[-1]) & (whole["key"].to_numpy() == rows["key"].iloc[-1])
             held = [whole[tail]]
-            yield _met(whole[~tail], choice_array)
+            yield _met(whole[~tail], choice_array, limit)
         if held:
-            yield _met(pd.concat(held), choice_array)
+            yield _met(pd.concat(held), choice_array, limit)
 
     fp = F.col("fp")
     dealt = distinct.select(fp, *pivot_columns(fp), F.explode(F.array(*[F.struct(F.lit(k).alias("t"), fp.bitwiseAND(F.lit(m)).alias("key")) for k, m in enumerate(choice)])).alias("c")).select("fp", "p0", "p1", "c.t", "c.key")
@@ -161,17 +161,17 @@ def near_links(distinct: DataFrame, count: int) -> DataFrame:
     return dealt.repartition(n, "t", "key").sortWithinPartitions("t", "key").mapInPandas(meet, "u long, v long")
 
 
-def _met(rows: pd.DataFrame, choice: np.ndarray) -> pd.DataFrame:
+def _met(rows: pd.DataFrame, choice: np.ndarray, limit: int) -> pd.DataFrame:
     t, key, fps = (rows[c].to_numpy() for c in ("t", "key", "fp"))
     if len(t) == 0:
         return pd.DataFrame({"u": fps, "v": fps})
     ends = np.append(np.flatnonzero((t[1:] != t[:-1]) | (key[1:] != key[:-1])) + 1, len(t))
     pivots = np.stack([rows["p0"].to_numpy(), rows["p1"].to_numpy()], 1).astype("<i8").view(np.uint8).astype(np.int16)
-    out = links_of(t, fps, pivots, ends, choice)
+    out = links_of(t, fps, pivots, ends, choice, limit)
     return pd.DataFrame({"u": out[:, 0], "v": out[:, 1]})
 
 
-def groups(docs: DataFrame, scratch: Scratch, *, doc_id: str = "doc_id", text: str = "text", shingle: int = 4) -> DataFrame:
+def groups(docs: DataFrame, scratch: Scratch, *, doc_id: str = "doc_id", text: str = "text", shingle: int = 4, limit: int = LIMIT) -> DataFrame:
     """doc_id, th (hash of the text), fp and component_id of every row.
 
     Null and blank texts have fingerprint 0 and are linked like any other.  The
@@ -179,15 +179,15 @@ def groups(docs: DataFrame, scratch: Scratch, *, doc_id: str = "doc_id", text: s
     """
     made = scratch.save(docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text)).alias("th"), fingerprints(F.col(text), shingle).alias("fp")), "fingerprints")
     distinct = scratch.save(made.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    linked = components(near_links(distinct.select("fp"), distinct.count()), scratch)
+    linked = components(near_links(distinct.select("fp"), distinct.count(), limit), scratch)
     rooted = distinct.join(linked.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     return made.join(rooted.join(ids, "root").select("fp", "component_id"), "fp")
 
 
-def keep_first(docs: DataFrame, scratch: Scratch, *, doc_id: str = "doc_id", text: str = "text", shingle: int = 4) -> DataFrame:
+def keep_first(docs: DataFrame, scratch: Scratch, *, doc_id: str = "doc_id", text: str = "text", shingle: int = 4, limit: int = LIMIT) -> DataFrame:
     """The documents with one of each group left: that of the least doc_id."""
-    found = groups(docs, scratch, doc_id=doc_id, text=text, shingle=shingle)
+    found = groups(docs, scratch, doc_id=doc_id, text=text, shingle=shingle, limit=limit)
     first = found.where("doc_id <=> component_id").groupBy("component_id").agg(F.min("th").alias("__th")).withColumnRenamed("component_id", "__id")
     marked = docs.withColumn("__th", F.xxhash64(F.col(text)))
     kept = marked.join(first, marked[doc_id].eqNullSafe(first["__id"]) & (marked["__th"] == first["__th"]), "left_semi")
