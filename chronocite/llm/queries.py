@@ -42,15 +42,15 @@ WITH p AS (SELECT page_id, url, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.
     regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?[^/?#]*(/[^/?#]+)', 1) AS part, ((page_id % 366) + 366) % 366 AS day FROM pages),
 h AS (SELECT DISTINCT host AS h, regexp_extract(host, '([^.]+\.[^.]+)$', 1) AS d, length(host) AS k FROM p WHERE host <> ''),
 e AS (SELECT DISTINCT * FROM (
-    SELECT 'spam' AS list, 'block' AS kind, 'host:' || h AS pattern, 'add' AS action, k AS at FROM h WHERE k % 3 = 0
+    SELECT 'spam' AS list, 'block' AS kind, 'host:' || h AS pattern, 'add' AS action, k AS since FROM h WHERE k % 3 = 0
     UNION ALL SELECT 'spam', 'block', 'host:' || h, 'remove', k + 90 FROM h WHERE k % 3 = 0 AND k % 2 = 0
     UNION ALL SELECT 'spam', 'block', 'host:' || h, 'add', k + 200 FROM h WHERE k % 3 = 0 AND k % 4 = 0
     UNION ALL SELECT 'trusted', 'allow', 'host:' || h, 'add', 150 FROM h WHERE k % 5 = 1
     UNION ALL SELECT 'domains', 'block', 'domain:' || d, 'add', 60 FROM h WHERE d <> '' AND length(d) % 4 = 3
     UNION ALL SELECT 'domains', 'block', 'domain:' || d, 'remove', 120 FROM h WHERE d <> '' AND length(d) % 4 = 3
     UNION ALL SELECT 'paths', 'block', 'prefix:' || h || '/en', 'add', 30 FROM h WHERE k % 7 = 2)),
-v AS (SELECT *, lead(at) OVER (PARTITION BY list, pattern ORDER BY at, action) AS until FROM e),
-m AS (SELECT p.page_id, v.list, v.kind FROM p JOIN v ON v.action = 'add' AND v.at <= p.day AND (v.until IS NULL OR p.day < v.until) AND p.host <> ''
+v AS (SELECT *, lead(since) OVER (PARTITION BY list, pattern ORDER BY since, action) AS until FROM e),
+m AS (SELECT p.page_id, v.list, v.kind FROM p JOIN v ON v.action = 'add' AND v.since <= p.day AND (v.until IS NULL OR p.day < v.until) AND p.host <> ''
     AND (v.pattern = 'host:' || p.host OR v.pattern = 'prefix:' || p.host || p.part OR (v.pattern[:7] = 'domain:' AND ('.' || p.host) LIKE '%.' || v.pattern[8:])))
 SELECT p.page_id, p.host, count(m.list) AS n_active, coalesce(string_agg(DISTINCT m.list, ',' ORDER BY m.list), '') AS lists,
     coalesce(bool_or(m.kind = 'block') AND NOT bool_or(m.kind = 'allow'), false) AS blocked
