@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, hmm_lm, line_dedup, quality_gam, quality_rules, simhash, substring, token_store, url_filter
+from . import byte_bpe, decontaminate, hmm_lm, line_dedup, oracles, quality_gam, quality_rules, simhash, substring, token_store, url_filter
 from .common import Scratch, fold, table
 
 
@@ -122,4 +122,4 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_url_filter, op2_benchmark_decontamination, op3_lm_scoring, op4_quality_rules, op5_token_store, op6_byte_bpe, op7_quality_classifier, op8_simhash_near_dedup, op9_line_dedup, op10_substring_dedup)}
-ORACLES = {"op1_url_filter": OP1_SQL}
+ORACLES = {"op1_url_filter": OP1_SQL, "op2_benchmark_decontamination": oracles.OP2, "op10_substring_dedup": oracles.OP10}
