@@ -30,10 +30,10 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
-import zlib
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -64,24 +64,18 @@ class Model:
         return len(self.emit)
 
 
-def tail_class(token: bytes, top: int) -> int:
-    """Of tokens without a class of their own; the end is class ``top``."""
-    return top + 1 + (zlib.crc32(token[-3:]) + 97 * min(len(token) // 4, 7)) % TAIL
-
-
-class Classes(dict):
-    """Token -> class, filled as tokens come; bounded."""
-
-    def __init__(self, top: dict[bytes, int]):
-        super().__init__(top)
-        self.top = top
-
-    def __missing__(self, token: bytes) -> int:
-        if len(self) > 400_000:
-            self.clear()
-            self.update(self.top)
-        k = self[token] = tail_class(token, len(self.top))
-        return k
+def classes_of(words_: list[bytes], top: dict[bytes, int]) -> np.ndarray:
+    """The class of each token: its own, else by its last three bytes and its
+    length; the end has class ``len(top)``."""
+    if not words_:
+        return np.zeros(0, np.int64)
+    line = np.frombuffer(b" ".join(words_) + b" ", np.uint8)
+    ends = np.flatnonzero(line == 32)
+    n = np.diff(ends, prepend=-1) - 1
+    last = [np.where(n >= k, line[ends - np.minimum(n, k)], 0).astype(np.int64) for k in (1, 2, 3)]
+    tail = (last[0] + 131 * last[1] + 131 * 131 * last[2] + 97 * np.minimum(n // 4, 7)) % TAIL
+    own = np.fromiter(map(top.get, words_, repeat(-1)), np.int64, len(words_))
+    return np.where(own >= 0, own, len(top) + 1 + tail)
 
 
 def sweeps(lengths: np.ndarray) -> Iterator[np.ndarray]:
@@ -107,41 +101,43 @@ def laid_out(seqs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def forward(model: Model, grid: np.ndarray, alive: np.ndarray, keep: bool = False):
-    """Natural log-likelihood of each row; with ``keep``, also the scaled
+    """Natural log-likelihood of each row; with ``keep``, also emissions, scaled
     forward values and scales of each step."""
-    total = np.zeros(grid.shape[1])
-    alpha = np.empty((len(grid), grid.shape[1], model.emit.shape[1])) if keep else None
-    scales = np.ones(grid.shape) if keep else None
+    emitted, one = model.emit[grid], np.ones(model.emit.shape[1])
+    alpha, scales = (np.zeros_like(emitted) if keep else None), np.ones(grid.shape)
     f = None
     for t in range(len(grid)):
         n = alive[t]
-        f = (model.start if t == 0 else f[:n] @ model.step) * model.emit[grid[t, :n]]
-        s = f.sum(1)
-        f = f / s[:, None]
-        total[:n] += np.log(s)
+        f = model.start * emitted[t, :n] if t == 0 else f[:n] @ model.step
+        if t:
+            f *= emitted[t, :n]
+        s = f @ one
+        f /= s[:, None]
+        scales[t, :n] = s
         if keep:
-            alpha[t, :n], scales[t, :n] = f, s
-    return (total, alpha, scales) if keep else total
+            alpha[t, :n] = f
+    total = np.log(scales).sum(0)
+    return (total, emitted, alpha, scales) if keep else total
 
 
 def expected(model: Model, grid: np.ndarray, alive: np.ndarray, counts: dict[str, np.ndarray]) -> None:
     """Add the expected counts of the rows to ``counts``."""
-    _, alpha, scales = forward(model, grid, alive, keep=True)
-    k = model.emit.shape[1]
-    beta = np.ones((grid.shape[1], k))
-    gammas, at = [], []
+    _, emitted, gamma, scales = forward(model, grid, alive, keep=True)
+    emitted /= scales[:, :, None]
+    beta, back, moves = np.ones(emitted.shape[1:]), model.step.T.copy(), np.zeros_like(model.step)
     for t in range(len(grid) - 1, -1, -1):
         n = alive[t]
-        g = alpha[t, :n] * beta[:n]
-        gammas.append(g)
-        at.append(grid[t, :n])
+        w = emitted[t, :n]
+        w *= beta[:n]
+        gamma[t, :n] *= beta[:n]
         if t:
-            w = model.emit[grid[t, :n]] * beta[:n] / scales[t, :n, None]
-            counts["step"] += alpha[t - 1, :n].T @ w * model.step
-            beta[:n] = w @ model.step.T
-    counts["start"] += gammas[-1].sum(0)
-    g, c = np.concatenate(gammas), np.concatenate(at)
-    for j in range(k):
+            moves += gamma[t - 1, :n].T @ w  # still the forward values
+            beta[:n] = w @ back
+    counts["step"] += moves * model.step
+    counts["start"] += gamma[0].sum(0)
+    there = np.arange(grid.shape[1]) < alive[:, None]
+    c, g = grid[there], gamma[there]
+    for j in range(g.shape[1]):
         counts["emit"][:, j] += np.bincount(c, g[:, j], model.classes)
 
 
@@ -162,9 +158,8 @@ def maximised(model: Model, counts: dict[str, np.ndarray], base: np.ndarray) ->
     return Model(start / start.sum(), step / step.sum(1, keepdims=True), emit / emit.sum(0), model.top)
 
 
-def class_sequences(texts, classes: Classes) -> list[np.ndarray]:
-    end = len(classes.top)
-    return [np.array([*map(classes.__getitem__, tokens(t)), end], np.int32) for t in texts]
+def class_sequences(texts, top: dict[bytes, int]) -> list[np.ndarray]:
+    return [np.append(classes_of(tokens(t), top), len(top)) for t in texts]
 
 
 def baum_welch_round(training: DataFrame, model: Model) -> dict[str, np.ndarray]:
@@ -175,10 +170,9 @@ def baum_welch_round(training: DataFrame, model: Model) -> dict[str, np.ndarray]
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = held.value
-        classes = Classes(m.top)
         sums = {"start": np.zeros(k), "step": np.zeros((k, k)), "emit": np.zeros((m.classes, k))}
         for rows in batches:
-            seqs = class_sequences(rows["text"], classes)
+            seqs = class_sequences(rows["text"], m.top)
             for some in sweeps(np.array([len(s) for s in seqs], int)):
                 expected(m, *laid_out([seqs[i] for i in some]), sums)
         table = np.concatenate([sums["emit"], sums["step"], sums["start"][None]])
@@ -204,12 +198,19 @@ def class_column(token: Column, top: dict[bytes, int]) -> Column:
     @F.pandas_udf("int")
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for names in batches:
-            raw = [t.encode() for t in names]
-            yield pd.Series([top[t] if t in top else tail_class(t, len(top)) for t in raw], dtype="int32")
+            yield pd.Series(classes_of([t.encode() for t in names], top), dtype="int32")
 
     return of(token)
 
 
+class Numbers(dict):
+    """Tokens numbered in the order they come."""
+
+    def __missing__(self, token: bytes) -> int:
+        self[token] = n = len(self)
+        return n
+
+
 SCORED = "doc_id string, n_tokens long, n_known long, base_score double, score double"
 
 
@@ -257,31 +258,26 @@ def score(docs: DataFrame, held_out: Column, scratch: Scratch, *, doc_id: str =
 
     def judge(texts: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
         m, n_c, v_c, n, v, ends = shared.value
-        count = dict(zip((t.encode() for t in known["token"]), known["c"].tolist(), strict=True))
-        unit, classes = n + 0.5 * (v + 1), Classes(m.top)
-        log_base = lambda c: np.log10((c + 0.5) / unit)
-
-        def inside(w: bytes) -> float:
-            k, c = classes[w], count.get(w, 0)
-            if n_c[k] == 0:
-                return 0.0
-            return float(np.log10(((c - DISCOUNT) if c else DISCOUNT * v_c[k]) / n_c[k]))
-
-        memo = {w: (float(log_base(c)), inside(w)) for w, c in count.items()}
-        out, seqs = [], class_sequences(texts["text"], classes)
-        for t in texts["text"]:
-            words_ = tokens(t)
-            known_ = [memo[w] for w in words_ if w in memo]
-            lost = [inside(w) for w in words_ if w not in memo] if len(known_) < len(words_) else []
-            end = float(np.log10((ends - DISCOUNT) / ends)) if ends else 0.0
-            out.append((len(words_) + 1, len(known_) + (ends > 0), sum(x for x, _ in known_) + len(lost) * float(log_base(0)) + float(log_base(ends)), sum(x for _, x in known_) + sum(lost) + end))
+        # numbers for the tokens of the chunk: the known first, others as they come
+        number = Numbers(zip(map(str.encode, known["token"]), range(len(known)), strict=True))
+        ids = [np.fromiter(map(number.__getitem__, w := tokens(t)), np.int64, len(w)) for t in texts["text"]]
+        c = np.zeros(len(number))
+        c[: len(known)] = known["c"]
+        k = classes_of(list(number), m.top)
+        log_base = np.log10((c + 0.5) / (n + 0.5 * (v + 1)))
+        inside = np.zeros(len(number))
+        some = n_c[k] > 0  # else all is unknown, and certain
+        inside[some] = np.log10(np.where(c > 0, c - DISCOUNT, DISCOUNT * v_c[k])[some] / n_c[k][some])
+        end_base = np.log10((ends + 0.5) / (n + 0.5 * (v + 1)))
+        end_inside = np.log10((ends - DISCOUNT) / ends) if ends else 0.0
         total = np.zeros(len(texts))
-        for some in sweeps(np.array([len(s) for s in seqs], int)):
-            total[some] = forward(m, *laid_out([seqs[i] for i in some]))
-        frame = pd.DataFrame(out, columns=["n_tokens", "n_known", "base_score", "score"])
-        frame["score"] += total / np.log(10)
-        frame.insert(0, "doc_id", texts["doc_id"].to_numpy())
-        return frame
+        seqs = [np.append(k[i], len(m.top)) for i in ids]
+        for rows_ in sweeps(np.array([len(s) for s in seqs], int)):
+            total[rows_] = forward(m, *laid_out([seqs[i] for i in rows_]))
+        return pd.DataFrame({
+            "doc_id": texts["doc_id"].to_numpy(), "n_tokens": [len(i) + 1 for i in ids], "n_known": [int((c[i] > 0).sum()) + (ends > 0) for i in ids],
+            "base_score": [log_base[i].sum() + end_base for i in ids], "score": [inside[i].sum() + end_inside for i in ids] + total / np.log(10),
+        })
 
     judged = dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(judge, SCORED)
     return judged.select(F.col("doc_id").cast(kind).alias("doc_id"), "n_tokens", "n_known", F.lit(int(n_all)).cast("long").alias("train_tokens"), "base_score", "score")
