@@ -23,7 +23,9 @@ roots.  Repeated rows are each written.
 from __future__ import annotations
 
 import hashlib
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,41 +39,70 @@ from tokenizers import Tokenizer
 #: Ids that a cut looks at; a cut comes every 2**MASK_BITS ids on average.
 WINDOW, MASK_BITS, LEAST, MOST = 8, 9, 128, 4096
 #: Words that a worker remembers.
-REMEMBERED = 500_000
+REMEMBERED = 300_000
 PUNCT = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 
 PIECES = "n long, chunks array<struct<hash:binary,n:int,payload:binary>>"
 
 
+#: Letter runs that the tokenizer's normaliser leaves alone: one pre-token each.
+PLAIN = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+")
+
+
+def byte_letters() -> dict[int, str]:
+    """The byte-level alphabet of Latin letters: bytes that print stand for
+    themselves, the others for characters from U+0100 on, in order."""
+    printed = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in printed]
+    letter = {b: chr(b) for b in printed} | {b: chr(256 + k) for k, b in enumerate(rest)}
+    return {c: "".join(letter[b] for b in chr(c).encode()) for c in range(0x80, 0x100)}
+
+
 class WordCoder:
     """Encodes word by word, with a memory of words seen.
 
     The tokenizer collapses white space and never merges across it, so a text
     has the ids of its white-space words one after another; and a run of ASCII
     marks at a word's end is separate from an ASCII letter or digit before it.
+    A run of plain letters goes to the library's model at once.
     """
 
+    LETTERS = byte_letters()
+
     def __init__(self, json: str):
         self.tokenizer = Tokenizer.from_str(json)
         self.wide = self.tokenizer.get_vocab_size(with_added_tokens=True) > 1 << 16
-        self.kind = np.dtype("<u4" if self.wide else "<u2")
+        self.kind, self.letter = np.dtype("<u4" if self.wide else "<u2"), "I" if self.wide else "H"
         self.seen: dict[bytes, bytes] = {}
+        self.parts: dict[bytes, bytes] = {}
 
     def learn(self, words: set[bytes]) -> None:
-        """Put words into the memory; the library encodes each distinct core."""
-        seen = self.seen
+        """Put words into the memory: plain letters by their lower-case form,
+        marks behind them by themselves, all else as the whole word."""
+        seen, parts, model = self.seen, self.parts, self.tokenizer.model
         if len(seen) > REMEMBERED:
             seen.clear()
-        cut: dict[bytes, tuple[bytes, bytes]] = {}
+            parts.clear()
+        odd = []
         for w in words:
             core = w.rstrip(PUNCT)
-            if core and len(core) < len(w) and core[-1:].isalnum() and b"<|" not in w:
-                cut[w] = core.lower(), w[len(core) :]
-        new = list({x for w in words if w not in seen for x in cut.get(w, (w,)) if x not in seen})
-        for w, e in zip(new, self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False), strict=True):
-            seen[w] = np.array(e.ids, self.kind).tobytes()
-        for w, (core, tail) in cut.items():
-            seen[w] = seen[core] + seen[tail]
+            low = core.lower()
+            got = parts.get(low)
+            if got is None:
+                t = low.decode()
+                if not PLAIN.fullmatch(t):
+                    odd.append(w)
+                    continue
+                tokens = model.tokenize(t if t.isascii() else t.translate(self.LETTERS))
+                got = parts[low] = array(self.letter, [x.id for x in tokens]).tobytes()
+            if len(core) < len(w):
+                tail = w[len(core) :]
+                if tail not in parts:
+                    parts[tail] = array(self.letter, self.tokenizer.encode(tail.decode(), add_special_tokens=False).ids).tobytes()
+                got += parts[tail]
+            seen[w] = got
+        for w, e in zip(odd, self.tokenizer.encode_batch_fast([w.decode() for w in odd], add_special_tokens=False), strict=True):
+            seen[w] = array(self.letter, e.ids).tobytes()
 
     def encode(self, text: str | None) -> bytes:
         words = text.encode().split() if text else []
