@@ -41,3 +41,10 @@ def test_same_rows(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLES)))
 def test_others_run(spark, name):
     assert registry.QUERIES[name](spark, SF).count() > 0
+
+
+def test_entry_and_names(spark):
+    import __spark_entry__ as e
+
+    assert set(e.oracle_sql()) <= set(e.queries())
+    assert e.entry(spark).count() == 1
