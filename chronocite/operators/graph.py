@@ -2,20 +2,27 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+_own: list[tempfile.TemporaryDirectory] = []
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage of an iteration: a reliable checkpoint where the session
-    has a folder for it, else the plan goes on."""
+    """Cut the lineage of an iteration by a reliable checkpoint, in the folder
+    of ``spark.checkpoint.dir``; a temporary one stands in where that is unset
+    (single-machine tests)."""
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-            spark.sparkContext.setCheckpointDir(folder)
-        return df.checkpoint()
-    return df.persist()
+    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            _own.append(tempfile.TemporaryDirectory(prefix="chronocite-"))
+            folder = _own[-1].name
+        spark.sparkContext.setCheckpointDir(folder)
+    return df.checkpoint()
 
 
 def degrees(edges: DataFrame) -> DataFrame:
@@ -54,9 +61,9 @@ def pagerank(edges: DataFrame, rounds: int = 20, alpha: float = 0.85) -> DataFra
     for k in range(rounds):
         lost = rank.join(sinks, "node").agg(F.coalesce(F.sum("rank"), F.lit(0.0))).first()[0]
         sent = links.join(rank.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("rank") / F.col("links")).alias("got"))
-        rank = nodes.join(sent, "node", "left").select("node", (F.lit((1 - alpha) / n + alpha * lost / n) + alpha * F.coalesce("got", F.lit(0.0))).alias("rank"))
-        if k % 5 == 4:
-            rank = cut(rank)
+        after = nodes.join(sent, "node", "left").select("node", (F.lit((1 - alpha) / n + alpha * lost / n) + alpha * F.coalesce("got", F.lit(0.0))).alias("rank"))
+        # a round is read twice by the next
+        rank = cut(after) if k < rounds - 1 else after
     return rank
 
 
