@@ -117,7 +117,7 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     gone = substring.removals(docs, Scratch(spark, "substring"))
-    left = docs.join(gone, "doc_id", "left").select("doc_id", substring.digests(F.col("text"), F.col("gone")).alias("k"))
+    left = docs.join(gone.hint("merge"), "doc_id", "left").select("doc_id", substring.digests(F.col("text"), F.col("gone")).alias("k"))
     return left.select("doc_id", "k.*")
 
 

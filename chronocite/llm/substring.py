@@ -203,7 +203,7 @@ def removals(docs: DataFrame, scratch: Scratch, *, doc_id: str = "doc_id", text:
         for texts, lists in batches:
             yield pd.Series([cut_blocks(t, s, size) for t, s in zip(texts, lists, strict=True)], dtype=object)
 
-    blocks = scratch.save(rows.join(mine, "doc_id").select("doc_id", F.explode(blocked("text", "shared")).alias("b")).select("doc_id", "b.*"), "blocks")
+    blocks = scratch.save(rows.join(mine.hint("merge"), "doc_id").select("doc_id", F.explode(blocked("text", "shared")).alias("b")).select("doc_id", "b.*"), "blocks")
     scratch.drop("anchors")
 
     # blocks of one text: the least id, and whether others follow
