@@ -172,23 +172,30 @@ def _met(rows: pd.DataFrame, choice: np.ndarray, limit: int) -> pd.DataFrame:
 
 
 def groups(docs: DataFrame, scratch: Scratch, *, doc_id: str = "doc_id", text: str = "text", shingle: int = 4, limit: int = LIMIT) -> DataFrame:
-    """doc_id, th (hash of the text), fp and component_id of every row.
+    """doc_id, th (hash of the text), fp, root and component_id of every row.
 
     Null and blank texts have fingerprint 0 and are linked like any other.  The
-    component is the least doc_id (null ids aside) that can be reached.
+    component is told by its root, one of its fingerprints; component_id is the
+    least doc_id in it (null ids aside), which is null where all ids are null
+    and may be the same for two components where ids repeat.
     """
     made = scratch.save(docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text)).alias("th"), fingerprints(F.col(text), shingle).alias("fp")), "fingerprints")
     distinct = scratch.save(made.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     linked = components(near_links(distinct.select("fp"), distinct.count(), limit), scratch)
     rooted = distinct.join(linked.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return made.join(rooted.join(ids, "root").select("fp", "component_id"), "fp")
+    return made.join(rooted.join(ids, "root").select("fp", "root", "component_id"), "fp")
 
 
-def keep_first(docs: DataFrame, scratch: Scratch, *, doc_id: str = "doc_id", text: str = "text", shingle: int = 4, limit: int = LIMIT) -> DataFrame:
-    """The documents with one of each group left: that of the least doc_id."""
-    found = groups(docs, scratch, doc_id=doc_id, text=text, shingle=shingle, limit=limit)
-    first = found.where("doc_id <=> component_id").groupBy("component_id").agg(F.min("th").alias("__th")).withColumnRenamed("component_id", "__id")
+def one_of_each(docs: DataFrame, found: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The documents with one of each component of ``found`` (doc_id, th, root)
+    left: that of the least doc_id (null ids last), then of the least th."""
+    first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("f")).select(F.col("f.doc_id").alias("__id"), F.col("f.th").alias("__first"))
     marked = docs.withColumn("__th", F.xxhash64(F.col(text)))
-    kept = marked.join(first, marked[doc_id].eqNullSafe(first["__id"]) & (marked["__th"] == first["__th"]), "left_semi")
+    kept = marked.join(first, marked[doc_id].eqNullSafe(first["__id"]) & (marked["__th"] == first["__first"]), "left_semi")
     return kept.withColumn("__n", F.row_number().over(W.partitionBy(doc_id, "__th").orderBy(F.lit(0)))).where("__n = 1").drop("__th", "__n")
+
+
+def keep_first(docs: DataFrame, scratch: Scratch, *, doc_id: str = "doc_id", text: str = "text", shingle: int = 4, limit: int = LIMIT) -> DataFrame:
+    """The documents with one of each group left (``one_of_each``)."""
+    return one_of_each(docs, groups(docs, scratch, doc_id=doc_id, text=text, shingle=shingle, limit=limit), doc_id=doc_id, text=text)
