@@ -38,17 +38,23 @@ PIVOTS = [int(x) for x in np.random.default_rng(64).integers(-(1 << 63), 1 << 63
 LOWER = bytes(c + 32 if c in UPPER.encode() else c for c in range(256))
 
 
-def fingerprint(text: str | None, shingle: int = 4) -> int:
-    """The fingerprint as a signed 64-bit integer; no words give 0."""
+def shingles(text: str | None, shingle: int) -> np.ndarray:
+    """64-bit hashes of the word shingles, in order of place; a shorter text is
+    one shingle, no words give none."""
     words = text.encode().translate(LOWER).split() if text else []
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     line = b" ".join(words)
     size = min(shingle, len(words))
     ends = np.cumsum([len(w) + 1 for w in words])
     starts = np.concatenate(([0], ends[:-1]))
     h = xxhash.xxh64_intdigest
-    hashes = np.array([h(line[a:b], 42) for a, b in zip(starts[: len(words) - size + 1].tolist(), (ends[size - 1 :] - 1).tolist(), strict=True)], np.uint64)
+    return np.array([h(line[a:b], 42) for a, b in zip(starts[: len(words) - size + 1].tolist(), (ends[size - 1 :] - 1).tolist(), strict=True)], np.uint64)
+
+
+def fingerprint(text: str | None, shingle: int = 4) -> int:
+    """The fingerprint as a signed 64-bit integer; no words give 0."""
+    hashes = shingles(text, shingle)
     ones = np.zeros(64, np.int64)
     for k in range(0, len(hashes), 1 << 16):
         ones += np.unpackbits(hashes[k : k + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)

@@ -2,7 +2,8 @@
 
 import random
 
-from chronocite.llm import simhash
+import corpus_pipeline
+from chronocite.llm import near_copies, simhash
 from chronocite.llm.common import Scratch
 
 
@@ -18,3 +19,52 @@ def test_one_document_of_every_component_stays(spark):
     df = spark.createDataFrame(made, "doc_id long, text string")
     kept = simhash.keep_first(df, Scratch(spark, "t")).collect()
     assert sorted((r.doc_id or 0, r.text) for r in kept) == sorted([(0, a), (0, b), (0, c), (7, d), (7, e)])
+
+
+def word_sets(text, size=5):
+    w = text.lower().split()
+    return {tuple(w[k : k + size]) for k in range(max(1, len(w) - size + 1))} if w else set()
+
+
+def near_groups(made):
+    """Row numbers by group: links of shingle similarity 4/5 or more."""
+    sets, root = [word_sets(t) for _, t in made], list(range(len(made)))
+    for k, a in enumerate(sets):
+        for j in range(k):
+            c = len(a & sets[j])
+            if 5 * c >= 4 * (len(a) + len(sets[j]) - c):
+                old, new = root[k], root[j]
+                root = [new if r == old else r for r in root]
+    found = {}
+    for k, r in enumerate(root):
+        found.setdefault(r, []).append(k)
+    return sorted(found.values())
+
+
+def planted():
+    """Copies with some words changed, at similarities around 0.8, of texts
+    that share a common passage."""
+    rng = random.Random(11)
+    passage, made = prose(99, 30), []
+    for g in range(25):
+        base = prose(1000 + g, rng.choice([60, 150, 400])) + passage
+        for _ in range(rng.choice([1, 3, 6])):
+            w = list(base)
+            for _ in range(rng.randrange(1 + len(w) // 20)):
+                w[rng.randrange(len(w))] = f"x{rng.randrange(9999)}"
+            made.append((len(made), " ".join(w)))
+    made += [(len(made), " ".join(passage)), (len(made) + 1, ""), (len(made) + 2, "one two"), (len(made) + 3, "One  TWO"), (len(made) + 4, " ")]
+    return made
+
+
+def test_near_dedup_is_the_exact_similarity(spark):
+    made = planted()
+    df = spark.createDataFrame(made, "doc_id long, text string")
+    want = near_groups(made)
+    assert 30 < len(want) < len(made) - 20
+    got = {}
+    for r in near_copies.groups(df, Scratch(spark, "t")).collect():
+        got.setdefault(r.root, []).append(r.doc_id)
+    assert sorted(map(sorted, got.values())) == want
+    kept = corpus_pipeline.near_dedup(spark, df, "").collect()
+    assert sorted(r.doc_id for r in kept) == sorted(g[0] for g in want)
