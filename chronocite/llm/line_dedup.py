@@ -1,8 +1,9 @@
 """Line dedup: an exact set-similarity self-join, in DataFrame operations only.
 
-A line is the set of its lower-case words.  A line of ``LEAST`` distinct words
-or more goes if an earlier line, in order of (doc_id, line number), has a
+A line is the set of its lower-case words.  A line of ``least`` distinct words
+or more goes if an earlier such line, in order of (doc_id, line number), has a
 Jaccard similarity of ``4/5`` or more, whether or not that one goes itself.
+``least`` is ``LEAST`` unless told otherwise; 1 judges every line with a word.
 
 Tokens are ordered by rarity: corpus counts in ``BINS`` hash bins (a table of
 fixed size, sent as a literal) give the order, the token's hash breaks ties.
@@ -11,7 +12,8 @@ only lines that share one meet; lengths, positions and a parity bitmap (which
 bounds the symmetric difference from below) discard most meetings, and the
 survivors are verified on their token sets, read again for those lines only.
 
-Equal sets are one class, judged once.  Each meeting place is first compared
+Equal sets are one class, judged once.  Sets of three or less are similar to
+equal ones only, so they meet no others.  Each meeting place is first compared
 with its earliest line, which settles dense groups of near copies in linear
 work; only lines that this has not settled meet all the others.
 
@@ -29,6 +31,8 @@ from pyspark.sql import functions as F
 from .common import Scratch, ascii_lower, words
 
 LEAST, BINS = 5, 1 << 20
+#: The smallest set that another one can be similar to.
+MEETS = 4
 #: Bits of one character of a bitmap literal.
 BITS = 6
 
@@ -53,9 +57,9 @@ def lines(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("doc"), F.posexplode(F.split(F.col(text), "\n")).alias("no", "line"))
 
 
-def token_sets(rows: DataFrame) -> DataFrame:
+def token_sets(rows: DataFrame, least: int) -> DataFrame:
     sets = rows.withColumn("tokens", F.transform(F.array_distinct(words(ascii_lower(F.col("line")))), lambda t: F.xxhash64(t)))
-    return sets.drop("line").withColumn("n", F.size("tokens")).where(f"n >= {LEAST}")
+    return sets.drop("line").withColumn("n", F.size("tokens")).where(F.col("n") >= least)
 
 
 def keyed(sets: DataFrame, order: Column) -> DataFrame:
@@ -65,13 +69,13 @@ def keyed(sets: DataFrame, order: Column) -> DataFrame:
     return sets.withColumn("keys", F.sort_array(F.transform("tokens", key))).drop("tokens")
 
 
-def removals(docs: DataFrame, scratch: Scratch, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def removals(docs: DataFrame, scratch: Scratch, *, doc_id: str = "doc_id", text: str = "text", least: int = LEAST) -> DataFrame:
     """(doc, no): the lines to remove; ``no`` counts from 0."""
     all_lines = lines(docs, doc_id, text)
-    counts = token_sets(all_lines).select(F.explode("tokens").alias("t")).select(F.pmod("t", F.lit(BINS)).alias("bin")).groupBy("bin").agg(F.count("*").alias("c"))
+    counts = token_sets(all_lines, least).select(F.explode("tokens").alias("t")).select(F.pmod("t", F.lit(BINS)).alias("bin")).groupBy("bin").agg(F.count("*").alias("c"))
     order = literal(counts.select("bin", F.least(F.lit(79), 1 + F.floor(2 * F.log2("c"))).cast("int").alias("value")))
 
-    made = keyed(token_sets(all_lines), order)
+    made = keyed(token_sets(all_lines, least), order)
     toggled = lambda a, k: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(F.lit(63)).cast("int")))
     short = lambda k: k.bitwiseXOR(F.shiftright(k, 31)).bitwiseAND(F.lit((1 << 31) - 1)).cast("int")
     narrow = scratch.save(
@@ -88,16 +92,17 @@ def removals(docs: DataFrame, scratch: Scratch, *, doc_id: str = "doc_id", text:
     classes = scratch.save(first.select("h1", "h2", "c", "f.*"), "classes")
     equal = narrow.select("h1", "h2", "doc", "no").join(classes.where("c > 1").select("h1", "h2", F.struct("doc", "no").alias("f")), ["h1", "h2"]).where(F.struct("doc", "no") > F.col("f"))
 
-    places = classes.select("doc", "no", "n", "sig", F.posexplode("prefix").alias("pos", "key"))
+    able = classes.where(F.col("n") >= MEETS)
+    places = able.select("doc", "no", "n", "sig", F.posexplode("prefix").alias("pos", "key"))
     mine = W.partitionBy("key")
     led = places.withColumn("e", F.min(F.struct("doc", "no", "n", "sig", "pos")).over(mine))
     near_first = _pairs(led.where(F.struct("doc", "no") > F.struct("e.doc", "e.no")).where(_may(F.col("n"), F.col("pos"), F.col("sig"), F.col("e.n"), F.col("e.pos"), F.col("e.sig"))), "e.")
-    settled = scratch.save(_verified(near_first, all_lines, scratch, "led"), "settled")
+    settled = scratch.save(_verified(near_first, all_lines, scratch, "led", least), "settled")
 
-    open_lines = classes.join(settled, ["doc", "no"], "left_anti").select("doc", "no", "n", "sig", F.posexplode("prefix").alias("pos", "key")).alias("x")
+    open_lines = able.join(settled, ["doc", "no"], "left_anti").select("doc", "no", "n", "sig", F.posexplode("prefix").alias("pos", "key")).alias("x")
     other = places.select("key", F.struct("doc", "no", "n", "sig", "pos").alias("e")).alias("y")
     met = open_lines.join(other, (F.col("x.key") == F.col("y.key")) & (F.struct("x.doc", "x.no") > F.struct("e.doc", "e.no")) & _may(F.col("x.n"), F.col("x.pos"), F.col("x.sig"), F.col("e.n"), F.col("e.pos"), F.col("e.sig")))
-    later = _verified(_pairs(met, "e."), all_lines, scratch, "met")
+    later = _verified(_pairs(met, "e."), all_lines, scratch, "met", least)
     # the lines of a class that goes, go; so do all but the first of a class
     gone = settled.unionByName(later).distinct()
     return scratch.save(equal.select("doc", "no").unionByName(gone).distinct(), "gone")
@@ -113,7 +118,7 @@ def _pairs(rows: DataFrame, other: str) -> DataFrame:
     return rows.select("doc", "no", F.col(f"{other}doc").alias("doc2"), F.col(f"{other}no").alias("no2")).distinct()
 
 
-def _verified(pairs: DataFrame, all_lines: DataFrame, scratch: Scratch, label: str) -> DataFrame:
+def _verified(pairs: DataFrame, all_lines: DataFrame, scratch: Scratch, label: str, least: int) -> DataFrame:
     """(doc, no) of the pairs that are similar, on the token sets themselves."""
     pairs = scratch.save(pairs, f"{label}-pairs")
     ids = pairs.select("doc", "no").unionByName(pairs.select(F.col("doc2").alias("doc"), F.col("no2").alias("no")))
@@ -121,7 +126,7 @@ def _verified(pairs: DataFrame, all_lines: DataFrame, scratch: Scratch, label: s
     bits = ids.select(F.floor(slot / BITS).alias("bin"), F.pmod(slot, F.lit(BITS)).alias("b")).distinct().groupBy("bin").agg(F.sum(F.pow(F.lit(2), F.col("b"))).cast("int").alias("value"))
     asked = looked_up(literal(bits), F.floor(slot / BITS))
     mark = F.floor(asked / F.pow(F.lit(2), F.pmod(slot, F.lit(BITS)))) % 2
-    sets = scratch.save(token_sets(all_lines.where(mark == 1)).distinct(), f"{label}-sets")
+    sets = scratch.save(token_sets(all_lines.where(mark == 1), least).distinct(), f"{label}-sets")
     a = sets.select("doc", "no", F.col("tokens").alias("t1"))
     b = sets.select(F.col("doc").alias("doc2"), F.col("no").alias("no2"), F.col("tokens").alias("t2"))
     common = F.size(F.array_intersect("t1", "t2"))

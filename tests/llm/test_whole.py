@@ -3,9 +3,11 @@
 import random
 
 import corpus_pipeline
-from chronocite.llm import near_copies, simhash
+from chronocite.llm import line_dedup, near_copies, simhash
 from chronocite.llm.common import Scratch
 
+from . import brute
+
 
 def prose(seed, n=120):
     rng = random.Random(seed)
@@ -68,3 +70,15 @@ def test_near_dedup_is_the_exact_similarity(spark):
     assert sorted(map(sorted, got.values())) == want
     kept = corpus_pipeline.near_dedup(spark, df, "").collect()
     assert sorted(r.doc_id for r in kept) == sorted(g[0] for g in want)
+
+
+def test_short_lines_are_judged(spark):
+    rng = random.Random(4)
+    made = [(0, "a b c d\n目次のない行\n\nbuy buy buy\nTwo words"), (1, "a b c d e\nbuy\n目次のない行\n\ntwo WORDS\nc b a d"), (2, "a b c\na b c x"), (None, "buy")]
+    made += [(d, "\n".join(" ".join(rng.choice("pqrst") for _ in range(rng.randrange(7))) for _ in range(6))) for d in range(3, 30)]
+    df = spark.createDataFrame(made, "doc_id long, text string")
+    want = brute.similar_lines(made, 1)
+    assert {(1, 0), (1, 1), (1, 2), (1, 4), (1, 5)} <= want and not {(2, 0), (2, 1)} & want
+    assert {(r.doc, r.no) for r in line_dedup.removals(df, Scratch(spark, "t"), least=1).collect()} == want
+    left = {r.doc_id: r.text for r in corpus_pipeline.line_dedup_stage(spark, df, "").collect()}
+    assert left == {d: "\n".join(x for n, x in enumerate(t.split("\n")) if (d, n) not in want) for d, t in made}
