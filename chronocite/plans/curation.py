@@ -123,9 +123,16 @@ def celex_codec(spark, sf):
 
 @query("SELECT DISTINCT * FROM (SELECT l_orderkey, l_linenumber, unnest(range(l_linenumber, l_linenumber + l_orderkey % 3 + 1)) AS paragraph, 'paragraphs' AS unit FROM lineitem WHERE l_orderkey < 400)")
 def range_expand(spark, sf):
+    """The part of ``range_expand_all`` that the SQL asks for."""
+    return range_expand_all(spark, sf).where("l_orderkey < 400")
+
+
+@query()
+def range_expand_all(spark, sf):
+    """The ranges of every line item."""
     end = F.col("l_linenumber") + F.col("l_orderkey") % 3
     text = F.concat(F.lit("N"), F.col("l_linenumber").cast("string"), F.lit(" - "), end.cast("string"))
-    rows = table(spark, sf, "lineitem").where("l_orderkey < 400").select("l_orderkey", "l_linenumber", text.alias("t"))
+    rows = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", text.alias("t"))
     return rows.select("l_orderkey", "l_linenumber", F.explode(ids.expand_range(F.col("t"))).alias("p"), ids.unit(F.col("t")).alias("unit")).select("l_orderkey", "l_linenumber", F.col("p").cast("long").alias("paragraph"), "unit").distinct()
 
 

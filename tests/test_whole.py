@@ -1,0 +1,22 @@
+"""Queries over whole tables, against the SQL of their parts without its cut."""
+
+import pytest
+
+from chronocite.plans import registry
+
+from .test_oracles import SF, duck, plain  # noqa: F401
+
+CUTS = {"range_expand": " WHERE l_orderkey < 400"}
+
+
+@pytest.mark.parametrize("name", sorted(CUTS))
+def test_all_rows(spark, duck, name):  # noqa: F811
+    sql = registry.ORACLES[name]
+    assert sql.count(CUTS[name]) == 1
+    df = registry.QUERIES[f"{name}_all"](spark, SF)
+    cols = sorted(df.columns)
+    answer = duck.execute(sql.replace(CUTS[name], ""))
+    names = [c[0] for c in answer.description]
+    want = sorted(tuple(plain(r[names.index(c)]) for c in cols) for r in answer.fetchall())
+    assert sorted(tuple(plain(r[c]) for c in cols) for r in df.collect()) == want
+    assert len(want) > registry.QUERIES[name](spark, SF).count()
