@@ -225,9 +225,15 @@ def tfidf_semantic_edges(spark, sf):
 
 @query("WITH x AS (SELECT vec_id AS src, unnest([vec_id // 2, vec_id // 3]) AS dst FROM embeddings), e AS (SELECT DISTINCT src, dst FROM x WHERE src <> dst) SELECT src, pos, round(avg(v), 6) AS mean FROM (SELECT e.src, unnest(range(len(embedding))) AS pos, CAST(unnest(embedding) AS DOUBLE) AS v FROM e JOIN embeddings ON vec_id = dst) WHERE pos < 8 GROUP BY 1, 2")
 def neighbor_mean_layer(spark, sf):
-    """One layer of mean aggregation; the first eight features are shown."""
+    """The first eight features of ``neighbor_mean_layer_all``."""
+    return neighbor_mean_layer_all(spark, sf).where("pos < 8")
+
+
+@query()
+def neighbor_mean_layer_all(spark, sf):
+    """One layer of mean aggregation, of every feature."""
     e = vectors(spark, sf).select(F.col("id").alias("src"), F.explode(F.array(F.floor(F.col("id") / 2), F.floor(F.col("id") / 3))).alias("id")).where("src != id").distinct()
-    return e.join(vectors(spark, sf).select("id", "vec"), "id").select("src", F.posexplode(F.slice("vec", 1, 8)).alias("pos", "v")).groupBy("src", F.col("pos").cast("long").alias("pos")).agg(F.round(F.avg(F.col("v").cast("double")), 6).alias("mean"))
+    return e.join(vectors(spark, sf).select("id", "vec"), "id").select("src", F.posexplode("vec").alias("pos", "v")).groupBy("src", F.col("pos").cast("long").alias("pos")).agg(F.round(F.avg(F.col("v").cast("double")), 6).alias("mean"))
 
 
 @query("WITH c AS (SELECT q.vec_id AS src, d.vec_id AS dst FROM embeddings q JOIN embeddings d ON d.vec_id < q.vec_id AND d.vec_id <> q.vec_id // 2 AND d.vec_id <> q.vec_id // 3 WHERE q.vec_id % 10 = 0) SELECT src, dst FROM c QUALIFY row_number() OVER (PARTITION BY src ORDER BY md5(CAST(src AS VARCHAR) || '-' || CAST(dst AS VARCHAR)), dst) <= 5")

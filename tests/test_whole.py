@@ -6,7 +6,7 @@ from chronocite.plans import registry
 
 from .test_oracles import SF, duck, plain  # noqa: F401
 
-CUTS = {"range_expand": " WHERE l_orderkey < 400"}
+CUTS = {"neighbor_mean_layer": " WHERE pos < 8", "range_expand": " WHERE l_orderkey < 400", "replay_first_then_add": " WHERE event_id % 7 = 0"}
 
 
 @pytest.mark.parametrize("name", sorted(CUTS))
