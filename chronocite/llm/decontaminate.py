@@ -10,7 +10,9 @@ to ``SHARD_BYTES`` of item text make one automaton; a larger benchmark is dealt
 into as many shards as needed, read one after another by the same documents.
 
 Nulls and empty texts have no words and are never hit; items without words
-have no windows; repeated items are reported by each of their ids.
+have no windows; repeated items are reported by each of their ids.  An item
+with a null id is undefined input: its windows are left out, so a document that
+holds its passage has no hit by it.
 """
 
 from __future__ import annotations
