@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
+import gc
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -34,31 +33,31 @@ def fold(id_col: str, parts: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))), F.lit(parts))
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, made longer until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 class Scratch:
     """Tables written to the folder that the cluster shares, to cut lineage.
 
-    The folder is ``spark.checkpoint.dir``; a temporary folder stands in for it
-    only where that setting is absent (single-machine tests).
+    The folder is ``spark.checkpoint.dir``, else a folder of the warehouse, which
+    a cluster shares as well; never a machine's own temporary folder.
     """
 
-    _local: str | None = None
-
     def __init__(self, spark: SparkSession, label: str):
-        base = spark.conf.get("spark.checkpoint.dir", None)
-        if not base:
-            if Scratch._local is None:
-                held = tempfile.TemporaryDirectory(prefix="chronocite-")
-                atexit.register(held.cleanup)
-                Scratch._local = held.name
-            base = Scratch._local
+        base = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_scratch"
         self.spark, self.root = spark, f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def save(self, df: DataFrame, name: str) -> DataFrame:
+    def save(self, df: DataFrame, name: str, **options) -> DataFrame:
         """Write ``df`` once and return a frame that reads it back."""
-        df.write.mode("overwrite").parquet(self.path(name))
+        df.write.mode("overwrite").options(**options).parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, name: str = "") -> None:
@@ -66,3 +65,8 @@ class Scratch:
         jvm = self.spark._jvm
         where = jvm.org.apache.hadoop.fs.Path(self.path(name) if name else self.root)
         where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+
+    def free(self) -> None:
+        """Let Spark drop the shuffle files of plans that are done and no longer held."""
+        gc.collect()
+        self.spark._jvm.System.gc()

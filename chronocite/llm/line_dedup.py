@@ -1,25 +1,29 @@
 """Line dedup: an exact set-similarity self-join, in DataFrame operations only.
 
-A line is the set of its lower-case words.  A line of ``least`` distinct words
-or more goes if an earlier such line, in order of (doc_id, line number), has a
-Jaccard similarity of ``4/5`` or more, whether or not that one goes itself.
-``least`` is ``LEAST`` unless told otherwise; 1 judges every line with a word.
-
-Tokens are ordered by rarity: corpus counts in ``BINS`` hash bins (a table of
-fixed size, sent as a literal) give the order, the token's hash breaks ties.
-Two similar lines share one of their first ``n - ceil(4n/5) + 1`` tokens, so
-only lines that share one meet; lengths, positions and a parity bitmap (which
-bounds the symmetric difference from below) discard most meetings, and the
-survivors are verified on their token sets, read again for those lines only.
+A line is the set of its lower-case words (A-Z are lowered, white space parts
+words).  A line with a word goes if an earlier such line, in order of (doc_id,
+line number), has a Jaccard similarity of ``4/5`` or more, whether or not that
+one goes itself.
+
+Texts are tokenised once: a line's distinct words are kept as 64-bit hashes, in
+a table whose columns are dictionary-coded.  Tokens are ordered by rarity:
+corpus counts in ``BINS`` hash bins (a table of fixed size, sent as a literal)
+give the order, the token's hash breaks ties.  Two similar lines share one of
+their first ``n - ceil(4n/5) + 1`` tokens, so only lines that share one meet;
+lengths, positions and a parity bitmap (which bounds the symmetric difference
+from below) discard most meetings, and the survivors are verified on their kept
+token sets.
 
 Equal sets are one class, judged once.  Sets of three or less are similar to
 equal ones only, so they meet no others.  Each meeting place is first compared
 with its earliest line, which settles dense groups of near copies in linear
 work; only lines that this has not settled meet all the others.
 
-Null and blank texts have no line to judge; rows with a null doc_id are never
-judged and judge none; lines of equal (doc_id, number), as of repeated rows,
-don't count against each other.
+Null, empty and blank texts have no line to judge, an empty table gives an empty
+result; rows with a null doc_id are never judged and judge none; lines of equal
+(doc_id, number), as of repeated rows, don't count against each other.  Very
+long lines are judged whole.  Columns of the caller are kept whatever their
+names.
 """
 
 from __future__ import annotations
@@ -28,13 +32,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Scratch, ascii_lower, words
+from .common import SPACES, Scratch, ascii_lower, fresh
 
-LEAST, BINS = 5, 1 << 20
+LEAST, BINS = 1, 1 << 18
 #: The smallest set that another one can be similar to.
 MEETS = 4
-#: Bits of one character of a bitmap literal.
-BITS = 6
+#: Bytes of distinct tokens that a file's dictionary may hold.
+DICTIONARY = 32 << 20
 
 
 def _overlap(n: Column, m: Column) -> Column:
@@ -50,39 +54,42 @@ def literal(values: DataFrame) -> Column:
 
 
 def looked_up(table: Column, at: Column) -> Column:
-    return F.ascii(F.substring(table, at.cast("int") + 1, F.lit(1)).cast("string")) - 40
+    return F.ascii(F.substring(table, at.cast("int") + 1, F.lit(1)).cast("string"))
 
 
-def lines(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    return docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("doc"), F.posexplode(F.split(F.col(text), "\n")).alias("no", "line"))
-
-
-def token_sets(rows: DataFrame, least: int) -> DataFrame:
-    sets = rows.withColumn("tokens", F.transform(F.array_distinct(words(ascii_lower(F.col("line")))), lambda t: F.xxhash64(t)))
-    return sets.drop("line").withColumn("n", F.size("tokens")).where(F.col("n") >= least)
+def token_sets(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(doc, no, tokens) of every line with a word."""
+    plain = lambda c: F.length(c) == F.octet_length(c)
+    rows = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("doc"), F.posexplode(F.split(F.col(text), "\n")).alias("no", "line"))
+    flat = F.when(F.col("line").rlike("[\\t-\\r]"), F.translate("line", SPACES[1:], " " * 5)).otherwise(F.col("line"))
+    # lower() is quick, and folds A-Z alone, where all is ASCII
+    ascii_words = F.transform(F.split(F.lower("flat"), " "), lambda t: F.xxhash64(t))
+    other_words = F.transform(F.split("flat", " "), lambda t: F.xxhash64(F.when(plain(t), F.lower(t)).otherwise(ascii_lower(t))))
+    hashes = F.when(plain("flat"), ascii_words).otherwise(other_words)
+    sets = rows.select("doc", "no", flat.alias("flat")).select("doc", "no", F.array_distinct(F.array_remove(hashes, F.xxhash64(F.lit("")))).alias("tokens"))
+    return sets.where(F.size("tokens") > 0)
 
 
 def keyed(sets: DataFrame, order: Column) -> DataFrame:
     """Sets with their sorted keys: rarity above, 56 bits of hash below."""
-    low = F.lit((1 << 56) - 1)
-    key = lambda t: F.shiftleft(looked_up(order, F.pmod(t, F.lit(BINS))).cast("long"), 56).bitwiseOR(t.bitwiseAND(low))
-    return sets.withColumn("keys", F.sort_array(F.transform("tokens", key))).drop("tokens")
+    low, mask = F.lit((1 << 56) - 1), F.lit(BINS - 1)
+    key = lambda t: F.shiftleft(looked_up(order, t.bitwiseAND(mask)).cast("long"), 56).bitwiseOR(t.bitwiseAND(low))
+    return sets.select("doc", "no", F.size("tokens").alias("n"), F.sort_array(F.transform("tokens", key)).alias("keys"))
 
 
 def removals(docs: DataFrame, scratch: Scratch, *, doc_id: str = "doc_id", text: str = "text", least: int = LEAST) -> DataFrame:
-    """(doc, no): the lines to remove; ``no`` counts from 0."""
-    all_lines = lines(docs, doc_id, text)
-    counts = token_sets(all_lines, least).select(F.explode("tokens").alias("t")).select(F.pmod("t", F.lit(BINS)).alias("bin")).groupBy("bin").agg(F.count("*").alias("c"))
+    """(doc, no): the lines to remove, of ``least`` distinct words or more; ``no`` counts from 0."""
+    tokens = scratch.save(token_sets(docs, doc_id, text).where(F.size("tokens") >= least), "tokens", **{"parquet.dictionary.page.size": DICTIONARY})
+    counts = tokens.select(F.explode("tokens").alias("t")).select(F.col("t").bitwiseAND(F.lit(BINS - 1)).alias("bin")).groupBy("bin").agg(F.count("*").alias("c"))
     order = literal(counts.select("bin", F.least(F.lit(79), 1 + F.floor(2 * F.log2("c"))).cast("int").alias("value")))
 
-    made = keyed(token_sets(all_lines, least), order)
     toggled = lambda a, k: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(F.lit(63)).cast("int")))
     short = lambda k: k.bitwiseXOR(F.shiftright(k, 31)).bitwiseAND(F.lit((1 << 31) - 1)).cast("int")
     narrow = scratch.save(
-        made.select(
+        keyed(tokens, order).select(
             "doc", "no", "n", F.xxhash64("keys").alias("h1"), F.xxhash64(F.lit(1), "keys").alias("h2"),
             F.aggregate("keys", F.lit(0).cast("long"), toggled).alias("sig"),
-            F.transform(F.slice("keys", 1, F.expr("cast(n - (4 * n + 4) div 5 + 1 as int)")), short).alias("prefix"),
+            F.when(F.col("n") >= MEETS, F.transform(F.slice("keys", 1, F.expr("cast(n - (4 * n + 4) div 5 + 1 as int)")), short)).alias("prefix"),
         ),
         "lines",
     )
@@ -90,60 +97,70 @@ def removals(docs: DataFrame, scratch: Scratch, *, doc_id: str = "doc_id", text:
     # one line for each set: the earliest
     first = narrow.groupBy("h1", "h2").agg(F.min(F.struct("doc", "no", "n", "sig", "prefix")).alias("f"), F.count("*").alias("c"))
     classes = scratch.save(first.select("h1", "h2", "c", "f.*"), "classes")
-    equal = narrow.select("h1", "h2", "doc", "no").join(classes.where("c > 1").select("h1", "h2", F.struct("doc", "no").alias("f")), ["h1", "h2"]).where(F.struct("doc", "no") > F.col("f"))
+    equal = narrow.select("h1", "h2", "doc", "no").join(classes.where("c > 1").select("h1", "h2", F.struct("doc", "no").alias("f")), ["h1", "h2"]).where(F.struct("doc", "no") > F.col("f")).select("doc", "no")
+    equal = scratch.save(equal, "equal")
+    scratch.drop("lines")
 
-    able = classes.where(F.col("n") >= MEETS)
-    places = able.select("doc", "no", "n", "sig", F.posexplode("prefix").alias("pos", "key"))
-    mine = W.partitionBy("key")
-    led = places.withColumn("e", F.min(F.struct("doc", "no", "n", "sig", "pos")).over(mine))
+    able = classes.where(F.col("n") >= MEETS).select("doc", "no", "n", "sig", "prefix")
+    spread = lambda rows: rows.select("doc", "no", "n", "sig", F.posexplode("prefix").alias("pos", "key"))
+    led = spread(able).withColumn("e", F.min(F.struct("doc", "no", "n", "sig", "pos")).over(W.partitionBy("key")))
     near_first = _pairs(led.where(F.struct("doc", "no") > F.struct("e.doc", "e.no")).where(_may(F.col("n"), F.col("pos"), F.col("sig"), F.col("e.n"), F.col("e.pos"), F.col("e.sig"))), "e.")
-    settled = scratch.save(_verified(near_first, all_lines, scratch, "led", least), "settled")
+    settled = _verified(near_first, tokens, scratch, "led")
 
-    open_lines = able.join(settled, ["doc", "no"], "left_anti").select("doc", "no", "n", "sig", F.posexplode("prefix").alias("pos", "key")).alias("x")
-    other = places.select("key", F.struct("doc", "no", "n", "sig", "pos").alias("e")).alias("y")
+    open_lines = spread(able.join(settled, ["doc", "no"], "left_anti")).alias("x")
+    other = spread(able).select("key", F.struct("doc", "no", "n", "sig", "pos").alias("e")).alias("y")
     met = open_lines.join(other, (F.col("x.key") == F.col("y.key")) & (F.struct("x.doc", "x.no") > F.struct("e.doc", "e.no")) & _may(F.col("x.n"), F.col("x.pos"), F.col("x.sig"), F.col("e.n"), F.col("e.pos"), F.col("e.sig")))
-    later = _verified(_pairs(met, "e."), all_lines, scratch, "met", least)
+    later = _verified(_pairs(met, "e."), tokens, scratch, "met")
     # the lines of a class that goes, go; so do all but the first of a class
-    gone = settled.unionByName(later).distinct()
-    return scratch.save(equal.select("doc", "no").unionByName(gone).distinct(), "gone")
+    gone = scratch.save(equal.unionByName(settled).unionByName(later).distinct(), "gone")
+    for name in ("tokens", "classes", "equal", "led", "met"):
+        scratch.drop(name)
+    return gone
 
 
 def _may(n: Column, pos: Column, sig: Column, m: Column, at: Column, other: Column) -> Column:
-    """Length, positional and bitmap filters."""
+    """Length, bitmap and positional filters."""
     need = _overlap(n, m)
-    return (5 * F.least(n, m) >= 4 * F.greatest(n, m)) & (1 + F.least(n - pos - 1, m - at - 1) + F.least(pos, at) >= need) & (F.bit_count(sig.bitwiseXOR(other)) <= n + m - 2 * need)
+    return (5 * F.least(n, m) >= 4 * F.greatest(n, m)) & (F.bit_count(sig.bitwiseXOR(other)) <= n + m - 2 * need) & (1 + F.least(n - pos - 1, m - at - 1) + F.least(pos, at) >= need)
 
 
 def _pairs(rows: DataFrame, other: str) -> DataFrame:
     return rows.select("doc", "no", F.col(f"{other}doc").alias("doc2"), F.col(f"{other}no").alias("no2")).distinct()
 
 
-def _verified(pairs: DataFrame, all_lines: DataFrame, scratch: Scratch, label: str, least: int) -> DataFrame:
-    """(doc, no) of the pairs that are similar, on the token sets themselves."""
+def _verified(pairs: DataFrame, tokens: DataFrame, scratch: Scratch, label: str) -> DataFrame:
+    """(doc, no) of the pairs that are similar, on the kept token sets.
+
+    The sets asked for are picked by a semi-join, which Spark makes a broadcast
+    of the ids where these are few, and a Bloom filter where the table is large.
+    """
     pairs = scratch.save(pairs, f"{label}-pairs")
-    ids = pairs.select("doc", "no").unionByName(pairs.select(F.col("doc2").alias("doc"), F.col("no2").alias("no")))
-    slot = F.pmod(F.xxhash64("doc", "no"), F.lit(BINS * BITS))
-    bits = ids.select(F.floor(slot / BITS).alias("bin"), F.pmod(slot, F.lit(BITS)).alias("b")).distinct().groupBy("bin").agg(F.sum(F.pow(F.lit(2), F.col("b"))).cast("int").alias("value"))
-    asked = looked_up(literal(bits), F.floor(slot / BITS))
-    mark = F.floor(asked / F.pow(F.lit(2), F.pmod(slot, F.lit(BITS)))) % 2
-    sets = scratch.save(token_sets(all_lines.where(mark == 1), least).distinct(), f"{label}-sets")
+    asked = pairs.select("doc", "no").unionByName(pairs.select(F.col("doc2").alias("doc"), F.col("no2").alias("no"))).distinct()
+    asked = scratch.save(asked, f"{label}-asked")
+    sets = scratch.save(tokens.join(asked, ["doc", "no"], "left_semi").distinct(), f"{label}-sets")
     a = sets.select("doc", "no", F.col("tokens").alias("t1"))
     b = sets.select(F.col("doc").alias("doc2"), F.col("no").alias("no2"), F.col("tokens").alias("t2"))
     common = F.size(F.array_intersect("t1", "t2"))
-    return pairs.join(a, ["doc", "no"]).join(b, ["doc2", "no2"]).where(9 * common >= 4 * (F.size("t1") + F.size("t2"))).select("doc", "no").distinct()
+    found = pairs.join(a, ["doc", "no"]).join(b, ["doc2", "no2"]).where(9 * common >= 4 * (F.size("t1") + F.size("t2"))).select("doc", "no").distinct()
+    found = scratch.save(found, label)
+    for part in ("pairs", "asked", "sets"):
+        scratch.drop(f"{label}-{part}")
+    return found
 
 
 def without_lines(docs: DataFrame, gone: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents with their removed lines cut out."""
-    numbers = gone.groupBy("doc").agg(F.collect_set("no").alias("__gone")).withColumnRenamed("doc", "__doc")
-    joined = docs.join(numbers, docs[doc_id] == numbers["__doc"], "left")
-    left = F.array_join(F.filter(F.split(F.col(text), "\n"), lambda x, i: ~F.array_contains("__gone", i)), "\n")
-    return joined.withColumn(text, F.when(F.col("__gone").isNull(), F.col(text)).otherwise(left)).drop("__gone", "__doc")
+    of, out = fresh(docs, "of"), fresh(docs, "out")
+    numbers = gone.groupBy(F.col("doc").alias(of)).agg(F.collect_set("no").alias(out))
+    joined = docs.join(numbers, F.col(doc_id) == F.col(of), "left")
+    left = F.array_join(F.filter(F.split(F.col(text), "\n"), lambda x, i: ~F.array_contains(out, i)), "\n")
+    return joined.withColumn(text, F.when(F.col(out).isNull(), F.col(text)).otherwise(left)).drop(of, out)
 
 
 def counted(docs: DataFrame, gone: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_lines, n_removed and the removed numbers, comma-joined."""
-    light = docs.select(F.col(doc_id).alias("doc_id"), F.when(F.col(text).isNull(), 0).otherwise(F.size(F.split(F.col(text), "\n"))).cast("long").alias("n_lines"))
+    ends = F.octet_length(F.col(text)) - F.octet_length(F.replace(F.col(text), F.lit("\n"), F.lit("")))
+    light = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(1 + ends, F.lit(0)).cast("long").alias("n_lines"))
     numbers = gone.groupBy("doc").agg(F.array_sort(F.collect_set("no")).alias("nos")).withColumnRenamed("doc", "doc_id")
     # a repeated id has the lines of each of its rows; numbers past a row's end aren't its own
     own = F.filter("nos", lambda x: x < F.col("n_lines"))

@@ -130,7 +130,7 @@ def rule_counts(docs):
     return out
 
 
-def similar_lines(docs, least=5):
+def similar_lines(docs, least=1):
     """{(doc, line number)} with an earlier line of similarity 4/5 or more."""
     rows = sorted((d, n, frozenset(words(x.translate(LOW)))) for d, t in docs if d is not None and t is not None for n, x in enumerate(t.split("\n")))
     rows = [r for r in rows if len(r[2]) >= least]
