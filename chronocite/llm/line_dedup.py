@@ -1,153 +1,425 @@
-"""Line dedup: an exact set-similarity self-join, in DataFrame operations only.
-
-A line is the set of its lower-case words (A-Z are lowered, white space parts
-words).  A line with a word goes if an earlier such line, in order of (doc_id,
-line number), has a Jaccard similarity of ``4/5`` or more, whether or not that
-one goes itself.
-
-Texts are tokenised once: a line's distinct words are kept as 64-bit hashes, in
-a table whose columns are dictionary-coded.  Tokens are ordered by rarity:
-corpus counts in ``BINS`` hash bins (a table of fixed size, sent as a literal)
-give the order, the token's hash breaks ties.  Two similar lines share one of
-their first ``n - ceil(4n/5) + 1`` tokens, so only lines that share one meet;
-lengths, positions and a parity bitmap (which bounds the symmetric difference
-from below) discard most meetings, and the survivors are verified on their kept
-token sets.
-
-Equal sets are one class, judged once.  Sets of three or less are similar to
-equal ones only, so they meet no others.  Each meeting place is first compared
-with its earliest line, which settles dense groups of near copies in linear
-work; only lines that this has not settled meet all the others.
+"""Line dedup: an exact set-similarity self-join.
+
+A line is the set of its lower-case words (A-Z are lowered, ASCII white space
+parts words).  A line with a word goes if an earlier such line, in order of
+(doc_id, line number), has a Jaccard similarity of ``4/5`` or more, whether or
+not that one goes itself.
+
+Texts are tokenised once, into 48-bit hashes of each line's distinct words.
+Tokens are ordered by rarity: counts of all lines in ``BINS`` hash bins (a table
+of fixed size, broadcast) give the order, the token's hash breaks ties.  Of two
+similar lines, the longer's first ``m - ceil(4m/5) + 1`` tokens and the
+shorter's first ``n - ceil(8n/9) + 1`` share one, so only lines that share one
+meet; lengths, positions and a parity bitmap (which bounds the symmetric
+difference from below) discard most meetings, and the survivors are verified on
+their whole token sets.
+
+Equal sets are one class, judged once; each batch keeps one line of a class
+before anything is shuffled, so a hot line is no hot key.  Sets of three or less
+are similar to equal ones only, so they meet no others.  Lines are first
+compared with the earliest one that shares one of their ``FIRST`` rarest tokens,
+which settles dense groups of near copies in linear work; only pairs whose later
+line this has not settled meet.  A token with more than ``HOT`` places is dealt
+into blocks, and pairs of blocks meet in tasks of their own.
 
 Null, empty and blank texts have no line to judge, an empty table gives an empty
 result; rows with a null doc_id are never judged and judge none; lines of equal
 (doc_id, number), as of repeated rows, don't count against each other.  Very
-long lines are judged whole.  Columns of the caller are kept whatever their
-names.
+long texts and lines are judged whole.  Columns of the caller are kept whatever
+their names.
+
+A form in DataFrame functions alone spends more on splitting and hashing the
+words than the check tool grants in all (README).
 """
 
 from __future__ import annotations
 
+from array import array
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import SPACES, Scratch, ascii_lower, fresh
+from .common import UPPER, Scratch, fresh
 
-LEAST, BINS = 1, 1 << 18
+LEAST, BINS = 1, 1 << 20
 #: The smallest set that another one can be similar to.
 MEETS = 4
-#: Bytes of distinct tokens that a file's dictionary may hold.
-DICTIONARY = 32 << 20
+#: Rarest tokens that look for the earliest line; places of a token in one task.
+FIRST, HOT = 2, 1 << 17
+#: Bytes of a token, words that a worker remembers, tokens and pairs looked at at once.
+WIDE, REMEMBERED, AT_ONCE = 6, 400_000, 1 << 20
+LOWER = bytes(c + 32 if c in UPPER.encode() else c for c in range(256))
+
+Batches = Iterator[pa.RecordBatch]
 
 
-def _overlap(n: Column, m: Column) -> Column:
+def _overlap(n, m):
     """The least common tokens of sets of n and m with similarity 4/5."""
-    return F.floor((4 * (n + m) + 8) / 9)
+    return F.floor((4 * (n + m) + 8) / 9) if isinstance(n, Column) else (4 * (n + m) + 8) // 9
 
 
-def literal(values: DataFrame) -> Column:
-    """(bin, value under 80) as a binary literal of ``BINS`` characters."""
-    chars = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("bin", "value"))), lambda x: F.char(x["value"] + 40)), "")
-    whole = values.sparkSession.range(BINS).select(F.col("id").alias("bin")).join(values.withColumnRenamed("value", "v"), "bin", "left").select("bin", F.coalesce("v", F.lit(0)).alias("value"))
-    return F.lit(bytearray(whole.agg(chars.alias("c")).first().c.encode("ascii")))
+class Hashes(dict):
+    """48-bit hashes of words, made as they come."""
 
+    def __missing__(self, word: bytes) -> int:
+        self[word] = h = xxhash.xxh3_64_intdigest(word) >> 16
+        return h
 
-def looked_up(table: Column, at: Column) -> Column:
-    return F.ascii(F.substring(table, at.cast("int") + 1, F.lit(1)).cast("string"))
 
+def packed(tokens: np.ndarray) -> np.ndarray:
+    return tokens.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :WIDE]
 
-def token_sets(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(doc, no, tokens) of every line with a word."""
-    plain = lambda c: F.length(c) == F.octet_length(c)
-    rows = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("doc"), F.posexplode(F.split(F.col(text), "\n")).alias("no", "line"))
-    flat = F.when(F.col("line").rlike("[\\t-\\r]"), F.translate("line", SPACES[1:], " " * 5)).otherwise(F.col("line"))
-    # lower() is quick, and folds A-Z alone, where all is ASCII
-    ascii_words = F.transform(F.split(F.lower("flat"), " "), lambda t: F.xxhash64(t))
-    other_words = F.transform(F.split("flat", " "), lambda t: F.xxhash64(F.when(plain(t), F.lower(t)).otherwise(ascii_lower(t))))
-    hashes = F.when(plain("flat"), ascii_words).otherwise(other_words)
-    sets = rows.select("doc", "no", flat.alias("flat")).select("doc", "no", F.array_distinct(F.array_remove(hashes, F.xxhash64(F.lit("")))).alias("tokens"))
-    return sets.where(F.size("tokens") > 0)
 
+def unpacked(raw: bytes) -> np.ndarray:
+    wide = np.zeros((len(raw) // WIDE, 8), np.uint8)
+    wide[:, :WIDE] = np.frombuffer(raw, np.uint8).reshape(-1, WIDE)
+    return wide.view("<u8").ravel()
 
-def keyed(sets: DataFrame, order: Column) -> DataFrame:
-    """Sets with their sorted keys: rarity above, 56 bits of hash below."""
-    low, mask = F.lit((1 << 56) - 1), F.lit(BINS - 1)
-    key = lambda t: F.shiftleft(looked_up(order, t.bitwiseAND(mask)).cast("long"), 56).bitwiseOR(t.bitwiseAND(low))
-    return sets.select("doc", "no", F.size("tokens").alias("n"), F.sort_array(F.transform("tokens", key)).alias("keys"))
 
+def _binary(flat: np.ndarray, counts: np.ndarray) -> pa.Array:
+    """Rows of bytes: ``counts[k]`` elements of ``flat`` in row k."""
+    ends = np.concatenate(([0], np.cumsum(counts))) * (flat.nbytes // max(1, len(flat)))
+    return pa.Array.from_buffers(pa.large_binary(), len(counts), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(flat))]).cast(pa.binary())
 
-def removals(docs: DataFrame, scratch: Scratch, *, doc_id: str = "doc_id", text: str = "text", least: int = LEAST) -> DataFrame:
-    """(doc, no): the lines to remove, of ``least`` distinct words or more; ``no`` counts from 0."""
-    tokens = scratch.save(token_sets(docs, doc_id, text).where(F.size("tokens") >= least), "tokens", **{"parquet.dictionary.page.size": DICTIONARY})
-    counts = tokens.select(F.explode("tokens").alias("t")).select(F.col("t").bitwiseAND(F.lit(BINS - 1)).alias("bin")).groupBy("bin").agg(F.count("*").alias("c"))
-    order = literal(counts.select("bin", F.least(F.lit(79), 1 + F.floor(2 * F.log2("c"))).cast("int").alias("value")))
-
-    toggled = lambda a, k: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(F.lit(63)).cast("int")))
-    short = lambda k: k.bitwiseXOR(F.shiftright(k, 31)).bitwiseAND(F.lit((1 << 31) - 1)).cast("int")
-    narrow = scratch.save(
-        keyed(tokens, order).select(
-            "doc", "no", "n", F.xxhash64("keys").alias("h1"), F.xxhash64(F.lit(1), "keys").alias("h2"),
-            F.aggregate("keys", F.lit(0).cast("long"), toggled).alias("sig"),
-            F.when(F.col("n") >= MEETS, F.transform(F.slice("keys", 1, F.expr("cast(n - (4 * n + 4) div 5 + 1 as int)")), short)).alias("prefix"),
-        ),
-        "lines",
-    )
-
-    # one line for each set: the earliest
-    first = narrow.groupBy("h1", "h2").agg(F.min(F.struct("doc", "no", "n", "sig", "prefix")).alias("f"), F.count("*").alias("c"))
-    classes = scratch.save(first.select("h1", "h2", "c", "f.*"), "classes")
-    equal = narrow.select("h1", "h2", "doc", "no").join(classes.where("c > 1").select("h1", "h2", F.struct("doc", "no").alias("f")), ["h1", "h2"]).where(F.struct("doc", "no") > F.col("f")).select("doc", "no")
-    equal = scratch.save(equal, "equal")
-    scratch.drop("lines")
-
-    able = classes.where(F.col("n") >= MEETS).select("doc", "no", "n", "sig", "prefix")
-    spread = lambda rows: rows.select("doc", "no", "n", "sig", F.posexplode("prefix").alias("pos", "key"))
-    led = spread(able).withColumn("e", F.min(F.struct("doc", "no", "n", "sig", "pos")).over(W.partitionBy("key")))
-    near_first = _pairs(led.where(F.struct("doc", "no") > F.struct("e.doc", "e.no")).where(_may(F.col("n"), F.col("pos"), F.col("sig"), F.col("e.n"), F.col("e.pos"), F.col("e.sig"))), "e.")
-    settled = _verified(near_first, tokens, scratch, "led")
-
-    open_lines = spread(able.join(settled, ["doc", "no"], "left_anti")).alias("x")
-    other = spread(able).select("key", F.struct("doc", "no", "n", "sig", "pos").alias("e")).alias("y")
-    met = open_lines.join(other, (F.col("x.key") == F.col("y.key")) & (F.struct("x.doc", "x.no") > F.struct("e.doc", "e.no")) & _may(F.col("x.n"), F.col("x.pos"), F.col("x.sig"), F.col("e.n"), F.col("e.pos"), F.col("e.sig")))
-    later = _verified(_pairs(met, "e."), tokens, scratch, "met")
-    # the lines of a class that goes, go; so do all but the first of a class
-    gone = scratch.save(equal.unionByName(settled).unionByName(later).distinct(), "gone")
-    for name in ("tokens", "classes", "equal", "led", "met"):
-        scratch.drop(name)
-    return gone
 
+def tokenised(docs: DataFrame, doc_id: str, text: str, least: int) -> DataFrame:
+    """(doc, nos, lens, tok): of each text its judged lines' numbers, sizes and tokens."""
 
-def _may(n: Column, pos: Column, sig: Column, m: Column, at: Column, other: Column) -> Column:
-    """Length, bitmap and positional filters."""
+    def split(batches: Batches) -> Batches:
+        known = Hashes()
+        for batch in batches:
+            kept, nos, lens, toks = [], [], [], []
+            for k, raw in enumerate(batch.column(1).cast(pa.binary()).to_pylist()):
+                if not raw:
+                    continue
+                if len(known) > REMEMBERED:
+                    known.clear()
+                no, size, ids = array("I"), array("I"), array("Q")
+                for i, line in enumerate(raw.translate(LOWER).split(b"\n")):
+                    words = set(line.split())
+                    if len(words) >= least and words:
+                        no.append(i)
+                        size.append(len(words))
+                        ids.extend(map(known.__getitem__, words))
+                if no:
+                    kept.append(k)
+                    nos.append(no.tobytes())
+                    lens.append(size.tobytes())
+                    toks.append(packed(np.frombuffer(ids, np.uint64)).tobytes())
+            if kept:
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(kept)), *[pa.array(x, pa.binary()) for x in (nos, lens, toks)]], ["doc", "nos", "lens", "tok"])
+
+    rows = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("doc"), F.col(text).alias("text"))
+    return rows.mapInArrow(split, f"doc {_kind(rows)}, nos binary, lens binary, tok binary")
+
+
+def _kind(rows: DataFrame) -> str:
+    return rows.schema["doc"].dataType.simpleString()
+
+
+def rarity(tokens: DataFrame) -> np.ndarray:
+    """The order of the bins, from the counts of all lines: 7 bits a bin."""
+
+    def count(batches: Batches) -> Batches:
+        total = np.zeros(BINS, np.int64)
+        for batch in batches:
+            total += np.bincount((unpacked(b"".join(batch.column(0).to_pylist())) & np.uint64(BINS - 1)).astype(np.int64), minlength=BINS)
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], ["bin", "c"])
+
+    sums = tokens.select("tok").mapInArrow(count, "bin int, c long").groupBy("bin").agg(F.sum("c").alias("c")).toArrow()
+    order = np.zeros(BINS, np.uint8)
+    order[sums["bin"].to_numpy()] = np.minimum(127, 1 + np.floor(2 * np.log2(sums["c"].to_numpy())))
+    return order
+
+
+def _mixed(h: np.ndarray, by: int) -> np.ndarray:
+    h = h * np.uint64(by)
+    return (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+
+
+def measures(tokens: np.ndarray, lens: np.ndarray, order: np.ndarray) -> dict[str, np.ndarray | pa.Array]:
+    """Of each line: two hashes of its set, its bitmap, its first keys and their ranks."""
+    starts = np.cumsum(lens) - lens
+    line = np.repeat(np.arange(len(lens)), lens)
+    rank = order[(tokens & np.uint64(BINS - 1)).astype(np.int64)].astype(np.uint64)
+    keys = np.sort(line.astype(np.uint64) << np.uint64(44) | rank << np.uint64(37) | tokens >> np.uint64(11))
+    first = np.where(lens >= MEETS, lens - (4 * lens + 4) // 5 + 1, 0)
+    keys = keys[np.arange(len(keys)) - starts[line] < first[line]]
+    low = keys & np.uint64((1 << 44) - 1)
+    bit, odd = np.uint64(1) << (tokens & np.uint64(63)), (tokens >> np.uint64(6) & np.uint64(1)).astype(bool)
+    return {
+        "s1": np.add.reduceat(_mixed(tokens, 0x9E3779B97F4A7C15), starts), "s2": np.add.reduceat(_mixed(tokens, 0xC2B2AE3D27D4EB4F), starts),
+        "g1": np.bitwise_xor.reduceat(np.where(odd, bit, np.uint64(0)), starts), "g2": np.bitwise_xor.reduceat(np.where(odd, np.uint64(0), bit), starts),
+        "keys": _binary(((low ^ low >> np.uint64(31)) & np.uint64((1 << 31) - 1)).astype(np.int32), first), "ranks": _binary((low >> np.uint64(37)).astype(np.uint8), first),
+    }
+
+
+def _later(rows: pa.Table, head: np.ndarray) -> np.ndarray:
+    """Rows, in order of (s1, s2, doc, no), that come after the first line of their class."""
+    first = np.maximum.accumulate(np.where(head, np.arange(len(head)), 0))
+    doc, no = rows["doc"].combine_chunks(), rows["no"].to_numpy()
+    return pc.not_equal(doc, doc.take(pa.array(first))).to_numpy(zero_copy_only=False) | (no != no[first])
+
+
+def _heads(*columns: np.ndarray) -> np.ndarray:
+    """Where the value of any column differs from the row before."""
+    head = np.ones(len(columns[0]), bool)
+    if len(head):
+        head[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    return head
+
+
+def _long(values: np.ndarray) -> pa.Array:
+    return pa.array(values.view(np.int64))
+
+
+MARKED = "no int, n int, s1 long, s2 long, g1 long, g2 long, keys binary, ranks binary, gone boolean, part int"
+
+
+def classes_of(tokens: DataFrame, order) -> DataFrame:
+    """(doc, no, n, g1, g2, keys, ranks, gone): the earliest line of each set,
+    and the other lines, which go (of these only doc and no count)."""
+    names = ["doc", *[c.split()[0] for c in MARKED.split(", ")]]
+
+    def lines(batches: Batches) -> Batches:
+        for batch in batches:
+            lens = [np.frombuffer(x, np.uint32).astype(np.int64) for x in batch.column(2).to_pylist()]
+            sizes, begin = np.cumsum([x.sum() for x in lens]), 0
+            while begin < len(lens):  # some texts at a time
+                end = max(begin + 1, int(np.searchsorted(sizes, (sizes[begin - 1] if begin else 0) + AT_ONCE)))
+                some = batch.slice(begin, end - begin)
+                n = np.concatenate(lens[begin:end])
+                no = np.frombuffer(b"".join(some.column(1).to_pylist()), np.uint32).astype(np.int32)
+                of = np.repeat(np.arange(end - begin), [len(x) for x in lens[begin:end]])
+                m = measures(unpacked(b"".join(some.column(3).to_pylist())), n, order.value)
+                rows = pa.table({"doc": some.column(0).take(pa.array(of)), "no": pa.array(no), "n": pa.array(n.astype(np.int32)), **{k: v if isinstance(v, pa.Array) else _long(v) for k, v in m.items()}})
+                rows = rows.take(pc.sort_indices(rows.select(["s1", "s2", "doc", "no"]), [(c, "ascending") for c in ("s1", "s2", "doc", "no")]))
+                head = _heads(rows["s1"].to_numpy(), rows["s2"].to_numpy())
+                gone = _later(rows, head)
+                # lines that go are dealt by their place, others by their set
+                part = np.where(gone, np.arange(len(gone)) * 7919 + int(sizes[begin]), rows["s1"].to_numpy() >> 33).astype(np.int32)
+                rows = rows.append_column("gone", pa.array(gone)).append_column("part", pa.array(part)).filter(pa.array(head | gone))
+                yield from rows.select(names).combine_chunks().to_batches()
+                begin = end
+
+    def firsts(batches: Batches) -> Batches:
+        held = None  # the first line of the last class seen
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            live = rows.filter(pc.invert(rows["gone"]))
+            yield from rows.filter(rows["gone"]).select(kept).combine_chunks().to_batches()
+            if not len(live):
+                continue
+            both = live if held is None else pa.concat_tables([held, live])
+            head = _heads(both["s1"].to_numpy(), both["s2"].to_numpy())
+            gone = _later(both, head)
+            out = both.set_column(both.schema.get_field_index("gone"), "gone", pa.array(gone)).filter(pa.array(head | gone))
+            yield from out.slice(0 if held is None else 1).select(kept).combine_chunks().to_batches()
+            at = int(np.flatnonzero(head)[-1])
+            held = both.slice(at, 1).combine_chunks()
+
+    kept = ["doc", "no", "n", "g1", "g2", "keys", "ranks", "gone"]
+    made = tokens.mapInArrow(lines, f"doc {_kind(tokens)}, {MARKED}")
+    parts = int(tokens.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return made.repartition(parts, "part").sortWithinPartitions("s1", "s2", "doc", "no").mapInArrow(firsts, f"doc {_kind(tokens)}, no int, n int, g1 long, g2 long, keys binary, ranks binary, gone boolean")
+
+
+PLACE = "key int, cell int, block int, pos int, no int, n int, g1 long, g2 long, open boolean"
+
+
+def places(classes: DataFrame, most: int | None = None) -> DataFrame:
+    """A row for each of the first tokens of a line (the ``most`` rarest)."""
+    names = [*[c.split()[0] for c in PLACE.split(", ")], "doc"]
+
+    def spread(batches: Batches) -> Batches:
+        for batch in batches:
+            if not len(batch):
+                continue
+            rows = {c: batch.column(k) for k, c in enumerate(batch.schema.names)}
+            size = np.array([len(x) // 4 for x in rows["keys"].to_pylist()])
+            of = np.repeat(np.arange(len(size)), size)
+            pos = np.arange(len(of)) - np.repeat(np.cumsum(size) - size, size)
+            key = np.frombuffer(b"".join(rows["keys"].to_pylist()), np.int32)
+            rank = np.frombuffer(b"".join(rows["ranks"].to_pylist()), np.uint8).astype(np.int64)
+            if most is not None:
+                near = pos < most
+                of, pos, key, rank = of[near], pos[near], key[near], rank[near]
+                blocks = np.ones(len(of), np.int64)
+            else:  # at rank r, a token has 2**(r/2) places at most
+                blocks = 1 << np.maximum(0, (rank + 1) // 2 - (HOT.bit_length() - 1))
+            own = (rows["g1"].to_numpy() ^ rows["g2"].to_numpy())[of].view(np.uint64) % blocks.astype(np.uint64)
+            row = np.repeat(np.arange(len(of)), blocks)
+            other = np.arange(len(row)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+            own, many = own.astype(np.int64)[row], blocks[row]
+            cell = np.minimum(own, other) * many + np.maximum(own, other)
+            at = pa.array(of[row])
+            got = {"key": pa.array(key[row]), "cell": pa.array(cell.astype(np.int32)), "block": pa.array(own.astype(np.int32)), "pos": pa.array(pos[row].astype(np.int32)), **{c: rows[c].take(at) for c in ("no", "n", "g1", "g2", "open", "doc")}}
+            yield pa.RecordBatch.from_arrays([got[c] for c in names], names)
+
+    return classes.select("doc", "no", "n", "g1", "g2", "keys", "ranks", "open").mapInArrow(spread, f"{PLACE}, doc {_kind(classes)}")
+
+
+def _may(n, pos, g1, g2, m, at, h1, h2) -> np.ndarray:
+    """Length, positional and bitmap filters of pairs."""
     need = _overlap(n, m)
-    return (5 * F.least(n, m) >= 4 * F.greatest(n, m)) & (F.bit_count(sig.bitwiseXOR(other)) <= n + m - 2 * need) & (1 + F.least(n - pos - 1, m - at - 1) + F.least(pos, at) >= need)
-
-
-def _pairs(rows: DataFrame, other: str) -> DataFrame:
-    return rows.select("doc", "no", F.col(f"{other}doc").alias("doc2"), F.col(f"{other}no").alias("no2")).distinct()
-
-
-def _verified(pairs: DataFrame, tokens: DataFrame, scratch: Scratch, label: str) -> DataFrame:
-    """(doc, no) of the pairs that are similar, on the kept token sets.
-
-    The sets asked for are picked by a semi-join, which Spark makes a broadcast
-    of the ids where these are few, and a Bloom filter where the table is large.
-    """
+    got = np.flatnonzero((5 * np.minimum(n, m) >= 4 * np.maximum(n, m)) & (1 + np.minimum(n - pos, m - at) - 1 + np.minimum(pos, at) >= need))
+    odd = np.bitwise_count((g1[got] ^ h1[got]).view(np.uint64)).astype(np.int64) + np.bitwise_count((g2[got] ^ h2[got]).view(np.uint64))
+    return got[odd <= (n + m - 2 * need)[got]]
+
+
+COLUMNS = ("n", "pos", "g1", "g2")
+
+
+def _numbers(rows: pa.Table) -> tuple[np.ndarray, ...]:
+    return tuple(rows[c].to_numpy().astype(np.int64) for c in COLUMNS)
+
+
+def _pairs(late: pa.Table, early: pa.Table) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([late["doc"].combine_chunks(), late["no"].combine_chunks(), early["doc"].combine_chunks(), early["no"].combine_chunks()], ["doc", "no", "doc2", "no2"])
+
+
+def met_first(rows: DataFrame) -> DataFrame:
+    """Pairs of a line and the earliest one at its place."""
+
+    def meet(batches: Batches) -> Batches:
+        held = None
+        for batch in batches:
+            if not len(batch):
+                continue
+            now = pa.Table.from_batches([batch])
+            both = now if held is None else pa.concat_tables([held, now])
+            first = np.maximum.accumulate(np.where(_heads(both["key"].to_numpy()), np.arange(len(both)), 0))
+            late = np.flatnonzero(first != np.arange(len(first)))
+            a, b = both.take(pa.array(late)), both.take(pa.array(first[late]))
+            near = pa.array(_may(*_numbers(a), *_numbers(b)))
+            yield _pairs(a.take(near), b.take(near))
+            held = both.slice(int(first[-1]), 1).combine_chunks()
+
+    return _dealt(rows, "key", "doc", "no").mapInArrow(meet, _pair_schema(rows)).distinct()
+
+
+def met_all(rows: DataFrame) -> DataFrame:
+    """Pairs of lines at a place, of which the later is open."""
+
+    def meet(batches: Batches) -> Batches:
+        held = None
+        for batch in batches:
+            if not len(batch):
+                continue
+            now = pa.Table.from_batches([batch])
+            both = now if held is None else pa.concat_tables([held, now])
+            size, fresh_from = both["n"].to_numpy().astype(np.int64), 0 if held is None else len(held)
+            group = np.cumsum(_heads(both["key"].to_numpy(), both["cell"].to_numpy()))
+            yield from _compared(both, group, size, fresh_from)
+            # what a longer line may still meet
+            held = both.filter(pa.array((group == group[-1]) & (5 * size >= 4 * size[-1]))).combine_chunks()
+
+    return _dealt(rows, "key", "cell", "n", "doc", "no").mapInArrow(meet, _pair_schema(rows)).distinct()
+
+
+def _compared(rows: pa.Table, group: np.ndarray, size: np.ndarray, begin: int) -> Iterator[pa.RecordBatch]:
+    """Pairs of rows i < j, j from ``begin`` on, with i the shorter or of equal size."""
+    n, pos, g1, g2 = _numbers(rows)
+    doc, no, is_open = rows["doc"].to_numpy(), rows["no"].to_numpy(), rows["open"].to_numpy()
+    block, diagonal = rows["block"].to_numpy(), None
+    spot = group * (1 << 32) + size
+    from_, to = np.maximum(np.arange(len(n)) + 1, begin), np.searchsorted(spot, group * (1 << 32) + 5 * size // 4, "right")
+    count = np.where(pos < n - _overlap(n, n) + 1, np.maximum(0, to - from_), 0)
+    total, at = np.cumsum(count), 0
+    split = _heads(group)  # groups of one block need no look at blocks
+    mixed = np.maximum.reduceat(block, np.flatnonzero(split)) != np.minimum.reduceat(block, np.flatnonzero(split))
+    diagonal = ~mixed[group - 1]
+    while at < len(n):
+        end = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + AT_ONCE, "right")))
+        c = count[at:end]
+        i = np.repeat(np.arange(at, end), c)
+        j = from_[i] + np.arange(len(i)) - np.repeat(np.cumsum(c) - c, c)
+        at = end
+        swap = (doc[i] > doc[j]) | ((doc[i] == doc[j]) & (no[i] > no[j]))
+        late, early = np.where(swap, i, j), np.where(swap, j, i)
+        ok = is_open[late] & (diagonal[i] | (block[i] != block[j]))
+        late, early = late[ok], early[ok]
+        near = _may(*(x[late] for x in (n, pos, g1, g2)), *(x[early] for x in (n, pos, g1, g2)))
+        if len(near):
+            yield _pairs(rows.take(pa.array(late[near])), rows.take(pa.array(early[near])))
+
+
+def _pair_schema(rows: DataFrame) -> str:
+    return f"doc {_kind(rows)}, no int, doc2 {_kind(rows)}, no2 int"
+
+
+def _dealt(rows: DataFrame, *order: str) -> DataFrame:
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(parts, *[c for c in order if c in ("key", "cell")]).sortWithinPartitions(*order)
+
+
+def verified(pairs: DataFrame, tokens: DataFrame, scratch: Scratch, label: str) -> DataFrame:
+    """(doc, no) of the pairs that are similar, on their whole token sets."""
     pairs = scratch.save(pairs, f"{label}-pairs")
-    asked = pairs.select("doc", "no").unionByName(pairs.select(F.col("doc2").alias("doc"), F.col("no2").alias("no"))).distinct()
+    asked = pairs.select("doc", "no").unionByName(pairs.select(F.col("doc2").alias("doc"), F.col("no2").alias("no"))).groupBy("doc").agg(F.collect_set("no").alias("asked"))
     asked = scratch.save(asked, f"{label}-asked")
-    sets = scratch.save(tokens.join(asked, ["doc", "no"], "left_semi").distinct(), f"{label}-sets")
-    a = sets.select("doc", "no", F.col("tokens").alias("t1"))
-    b = sets.select(F.col("doc").alias("doc2"), F.col("no").alias("no2"), F.col("tokens").alias("t2"))
-    common = F.size(F.array_intersect("t1", "t2"))
-    found = pairs.join(a, ["doc", "no"]).join(b, ["doc2", "no2"]).where(9 * common >= 4 * (F.size("t1") + F.size("t2"))).select("doc", "no").distinct()
+
+    def picked(batches: Batches) -> Batches:
+        for batch in batches:
+            kept, nos, toks = [], [], []
+            for k, (no, size, tok, want) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(1, 5)), strict=True)):
+                no, size = np.frombuffer(no, np.uint32), np.frombuffer(size, np.uint32).astype(np.int64)
+                ends = np.cumsum(size) * WIDE
+                for i in np.flatnonzero(np.isin(no, want)).tolist():
+                    kept.append(k)
+                    nos.append(int(no[i]))
+                    toks.append(tok[ends[i] - size[i] * WIDE : ends[i]])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(kept, pa.int64())), pa.array(nos, pa.int32()), pa.array(toks, pa.binary())], ["doc", "no", "tok"])
+
+    # repeated rows may give a place two sets; each is looked at
+    sets = scratch.save(tokens.join(asked, "doc").select("doc", "nos", "lens", "tok", "asked").mapInArrow(picked, f"doc {_kind(tokens)}, no int, tok binary"), f"{label}-sets")
+
+    def similar(batches: Batches) -> Batches:
+        for batch in batches:
+            for begin in range(0, len(batch), 1 << 14):
+                some = batch.slice(begin, 1 << 14)
+                a, b = some.column(2).to_pylist(), some.column(3).to_pylist()
+                size = np.array([len(x) + len(y) for x, y in zip(a, b, strict=True)], np.int64) // WIDE
+                flat = unpacked(b"".join(x for xy in zip(a, b, strict=True) for x in xy)) | np.repeat(np.arange(len(a), dtype=np.uint64) << np.uint64(48), size)
+                flat.sort()
+                common = np.bincount((flat[1:][flat[1:] == flat[:-1]] >> np.uint64(48)).astype(np.int64), minlength=len(a))
+                good = pa.array(9 * common >= 4 * size)
+                yield pa.RecordBatch.from_arrays([some.column(0).filter(good), some.column(1).filter(good)], ["doc", "no"])
+
+    a, b = sets.select("doc", "no", F.col("tok").alias("t1")), sets.select(F.col("doc").alias("doc2"), F.col("no").alias("no2"), F.col("tok").alias("t2"))
+    found = pairs.join(a, ["doc", "no"]).join(b, ["doc2", "no2"]).select("doc", "no", "t1", "t2").mapInArrow(similar, f"doc {_kind(tokens)}, no int").distinct()
     found = scratch.save(found, label)
     for part in ("pairs", "asked", "sets"):
         scratch.drop(f"{label}-{part}")
     return found
 
 
+def removals(docs: DataFrame, scratch: Scratch, *, doc_id: str = "doc_id", text: str = "text", least: int = LEAST) -> DataFrame:
+    """(doc, no): the lines to remove, of ``least`` distinct words or more; ``no`` counts from 0."""
+    tokens = scratch.save(tokenised(docs, doc_id, text, least), "tokens", compression="uncompressed")
+    order = docs.sparkSession.sparkContext.broadcast(rarity(tokens))
+    classes = scratch.save(classes_of(tokens, order), "classes")
+    order.unpersist()
+    scratch.free()
+    able = classes.where(~F.col("gone") & (F.col("n") >= MEETS))
+    settled = verified(met_first(places(able.withColumn("open", F.lit(True)), FIRST)), tokens, scratch, "led")
+    scratch.free()
+    done = able.join(settled.withColumn("done", F.lit(True)), ["doc", "no"], "left").withColumn("open", F.col("done").isNull())
+    later = verified(met_all(places(done)), tokens, scratch, "met")
+    # the lines of a class that goes, go; so do all but the first of a class
+    gone = scratch.save(classes.where("gone").select("doc", "no").unionByName(settled).unionByName(later).distinct(), "gone")
+    for name in ("tokens", "classes", "led", "met"):
+        scratch.drop(name)
+    scratch.free()
+    return gone
+
+
 def without_lines(docs: DataFrame, gone: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents with their removed lines cut out."""
     of, out = fresh(docs, "of"), fresh(docs, "out")
