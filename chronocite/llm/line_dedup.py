@@ -34,26 +34,23 @@ words than the check tool grants in all (README).
 
 from __future__ import annotations
 
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import UPPER, Scratch, fresh
+from .common import SPACES, Scratch, fresh
 
 LEAST, BINS = 1, 1 << 20
 #: The smallest set that another one can be similar to.
 MEETS = 4
 #: Rarest tokens that look for the earliest line; places of a token in one task.
 FIRST, HOT = 2, 1 << 17
-#: Bytes of a token, words that a worker remembers, tokens and pairs looked at at once.
-WIDE, REMEMBERED, AT_ONCE = 6, 400_000, 1 << 20
-LOWER = bytes(c + 32 if c in UPPER.encode() else c for c in range(256))
+#: Bytes of a token; bytes, tokens and pairs looked at at once.
+WIDE, AT_ONCE = 6, 1 << 20
 
 Batches = Iterator[pa.RecordBatch]
 
@@ -63,12 +60,58 @@ def _overlap(n, m):
     return F.floor((4 * (n + m) + 8) / 9) if isinstance(n, Column) else (4 * (n + m) + 8) // 9
 
 
-class Hashes(dict):
-    """48-bit hashes of words, made as they come."""
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = h = xxhash.xxh3_64_intdigest(word) >> 16
-        return h
+def _powers(base: int, n: int) -> np.ndarray:
+    """1, base, base**2, ... modulo 2**64."""
+    out = np.full(max(1, n), base, np.uint64)
+    out[0] = 1
+    return np.cumprod(out)
+
+
+class Tokens:
+    """Words of texts as 48-bit hashes, whole buffers at a time.
+
+    A word's hash is a polynomial in ``BASE``, modulo 2**64, of random values of
+    its bytes; capitals have the values of their small letters, white space has
+    zero.  Differences of running sums give the polynomials of all words at once.
+    """
+
+    BASE = 0x5851F42D4C957F2D
+
+    def __init__(self):
+        self.value = np.random.default_rng(5).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        self.value[65:91] = self.value[97:123]
+        self.value[list(SPACES.encode())] = 0
+        self.up = self.down = np.zeros(0, np.uint64)
+
+    def of(self, raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """Hash and line number of each word of a buffer."""
+        buf = np.frombuffer(raw + b"\n", np.uint8)
+        if len(self.up) < len(buf):
+            self.up, self.down = _powers(self.BASE, len(buf)), _powers(pow(self.BASE, -1, 1 << 64), len(buf))
+        value = self.value[buf]
+        sums = np.cumsum(value * self.up[: len(buf)])
+        word = value != 0
+        edge = np.flatnonzero(word[1:] != word[:-1]) + 1
+        if word[0]:
+            edge = np.append(0, edge)
+        begin, end = edge[::2], edge[1::2]  # the last byte is white space
+        h = (sums[end - 1] - np.where(begin > 0, sums[begin - 1], np.uint64(0))) * self.down[begin]
+        return _mixed(h, 0x9E3779B97F4A7C15) >> np.uint64(16), np.searchsorted(np.flatnonzero(buf == 10), begin)
+
+
+def distinct(tokens: np.ndarray, line: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct tokens by line, the lines with a word, and their sizes."""
+    heads = np.flatnonzero(_heads(line))
+    kept, sizes = [], []
+    for at in range(0, len(heads), 1 << 16):  # 16 bits beside the 48
+        begin, end = heads[at], heads[at + (1 << 16)] if at + (1 << 16) < len(heads) else len(line)
+        row = np.cumsum(_heads(line[begin:end])) - 1
+        both = np.sort(row.astype(np.uint64) << np.uint64(48) | tokens[begin:end])
+        both = both[_heads(both)]
+        kept.append(both & np.uint64((1 << 48) - 1))
+        sizes.append(np.bincount((both >> np.uint64(48)).astype(np.int64)))
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none.astype(np.uint64), *kept]), line[heads], np.concatenate([none, *sizes])
 
 
 def packed(tokens: np.ndarray) -> np.ndarray:
@@ -83,7 +126,7 @@ def unpacked(raw: bytes) -> np.ndarray:
 
 def _binary(flat: np.ndarray, counts: np.ndarray) -> pa.Array:
     """Rows of bytes: ``counts[k]`` elements of ``flat`` in row k."""
-    ends = np.concatenate(([0], np.cumsum(counts))) * (flat.nbytes // max(1, len(flat)))
+    ends = np.concatenate(([0], np.cumsum(counts))).astype(np.int64) * (flat.nbytes // max(1, len(flat)))
     return pa.Array.from_buffers(pa.large_binary(), len(counts), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(flat))]).cast(pa.binary())
 
 
@@ -91,28 +134,22 @@ def tokenised(docs: DataFrame, doc_id: str, text: str, least: int) -> DataFrame:
     """(doc, nos, lens, tok): of each text its judged lines' numbers, sizes and tokens."""
 
     def split(batches: Batches) -> Batches:
-        known = Hashes()
+        made = Tokens()
         for batch in batches:
-            kept, nos, lens, toks = [], [], [], []
-            for k, raw in enumerate(batch.column(1).cast(pa.binary()).to_pylist()):
-                if not raw:
-                    continue
-                if len(known) > REMEMBERED:
-                    known.clear()
-                no, size, ids = array("I"), array("I"), array("Q")
-                for i, line in enumerate(raw.translate(LOWER).split(b"\n")):
-                    words = set(line.split())
-                    if len(words) >= least and words:
-                        no.append(i)
-                        size.append(len(words))
-                        ids.extend(map(known.__getitem__, words))
-                if no:
-                    kept.append(k)
-                    nos.append(no.tobytes())
-                    lens.append(size.tobytes())
-                    toks.append(packed(np.frombuffer(ids, np.uint64)).tobytes())
-            if kept:
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(kept)), *[pa.array(x, pa.binary()) for x in (nos, lens, toks)]], ["doc", "nos", "lens", "tok"])
+            texts = batch.column(1).cast(pa.binary()).to_pylist()
+            sizes, begin = np.cumsum([len(t or b"") + 1 for t in texts]), 0
+            while begin < len(texts):  # some texts at a time
+                end = max(begin + 1, int(np.searchsorted(sizes, (sizes[begin - 1] if begin else 0) + AT_ONCE)))
+                some = [t or b"" for t in texts[begin:end]]
+                ids, line, n = distinct(*made.of(b"\n".join(some)))
+                if least > 1:
+                    ids, line, n = ids[np.repeat(n >= least, n)], line[n >= least], n[n >= least]
+                first = np.cumsum([0] + [t.count(b"\n") + 1 for t in some])  # of each text, its first line
+                of = np.searchsorted(first, line, "right") - 1
+                rows, count = np.unique(of, return_counts=True)
+                words = np.bincount(of, n, len(some)).astype(np.int64)[rows]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows + begin)), _binary((line - first[of]).astype(np.uint32), count), _binary(n.astype(np.uint32), count), _binary(packed(ids), words)], ["doc", "nos", "lens", "tok"])
+                begin = end
 
     rows = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("doc"), F.col(text).alias("text"))
     return rows.mapInArrow(split, f"doc {_kind(rows)}, nos binary, lens binary, tok binary")
@@ -226,62 +263,64 @@ def classes_of(tokens: DataFrame, order) -> DataFrame:
 
     kept = ["doc", "no", "n", "g1", "g2", "keys", "ranks", "gone"]
     made = tokens.mapInArrow(lines, f"doc {_kind(tokens)}, {MARKED}")
-    parts = int(tokens.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return made.repartition(parts, "part").sortWithinPartitions("s1", "s2", "doc", "no").mapInArrow(firsts, f"doc {_kind(tokens)}, no int, n int, g1 long, g2 long, keys binary, ranks binary, gone boolean")
+    return made.repartition(_parts(tokens), "part").sortWithinPartitions("s1", "s2", "doc", "no").mapInArrow(firsts, f"doc {_kind(tokens)}, no int, n int, g1 long, g2 long, keys binary, ranks binary, gone boolean")
 
 
-PLACE = "key int, cell int, block int, pos int, no int, n int, g1 long, g2 long, open boolean"
+#: What a place tells besides its key and its document.
+PLACE = np.dtype([("g1", "<u8"), ("g2", "<u8"), ("no", "<i4"), ("n", "<i4"), ("pos", "<i4"), ("block", "<i4"), ("open", "<i4")])
 
 
 def places(classes: DataFrame, most: int | None = None) -> DataFrame:
-    """A row for each of the first tokens of a line (the ``most`` rarest)."""
-    names = [*[c.split()[0] for c in PLACE.split(", ")], "doc"]
+    """(spot, doc, no, place): a row for each of the first tokens of a line (the
+    ``most`` rarest); ``spot`` has the token above and the line's size below."""
 
     def spread(batches: Batches) -> Batches:
         for batch in batches:
-            if not len(batch):
-                continue
             rows = {c: batch.column(k) for k, c in enumerate(batch.schema.names)}
-            size = np.array([len(x) // 4 for x in rows["keys"].to_pylist()])
+            size = np.array([len(x) // 4 for x in rows["keys"].to_pylist()], np.int64)
             of = np.repeat(np.arange(len(size)), size)
             pos = np.arange(len(of)) - np.repeat(np.cumsum(size) - size, size)
-            key = np.frombuffer(b"".join(rows["keys"].to_pylist()), np.int32)
+            key = np.frombuffer(b"".join(rows["keys"].to_pylist()), np.int32).astype(np.int64)
             rank = np.frombuffer(b"".join(rows["ranks"].to_pylist()), np.uint8).astype(np.int64)
             if most is not None:
                 near = pos < most
-                of, pos, key, rank = of[near], pos[near], key[near], rank[near]
-                blocks = np.ones(len(of), np.int64)
+                of, pos, key, blocks = of[near], pos[near], key[near], np.ones(near.sum(), np.int64)
             else:  # at rank r, a token has 2**(r/2) places at most
                 blocks = 1 << np.maximum(0, (rank + 1) // 2 - (HOT.bit_length() - 1))
             own = (rows["g1"].to_numpy() ^ rows["g2"].to_numpy())[of].view(np.uint64) % blocks.astype(np.uint64)
             row = np.repeat(np.arange(len(of)), blocks)
             other = np.arange(len(row)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
-            own, many = own.astype(np.int64)[row], blocks[row]
+            own, many, of = own.astype(np.int64)[row], blocks[row], of[row]
             cell = np.minimum(own, other) * many + np.maximum(own, other)
-            at = pa.array(of[row])
-            got = {"key": pa.array(key[row]), "cell": pa.array(cell.astype(np.int32)), "block": pa.array(own.astype(np.int32)), "pos": pa.array(pos[row].astype(np.int32)), **{c: rows[c].take(at) for c in ("no", "n", "g1", "g2", "open", "doc")}}
-            yield pa.RecordBatch.from_arrays([got[c] for c in names], names)
+            place = np.zeros(len(of), PLACE)
+            for c in ("g1", "g2", "no", "n", "open"):
+                place[c] = rows[c].to_numpy(zero_copy_only=False)[of]
+            place["pos"], place["block"] = pos[row], np.where(own == other, -1, own)
+            spot = ((key[row] + cell * 0x9E3779B1) & ((1 << 31) - 1)) << 32 | place["n"]
+            yield pa.RecordBatch.from_arrays([pa.array(spot), rows["doc"].take(pa.array(of)), pa.array(place["no"]), _binary(place.view(np.uint8).reshape(-1, PLACE.itemsize), np.ones(len(of), np.int64))], ["spot", "doc", "no", "place"])
 
-    return classes.select("doc", "no", "n", "g1", "g2", "keys", "ranks", "open").mapInArrow(spread, f"{PLACE}, doc {_kind(classes)}")
+    return classes.select("doc", "no", "n", "g1", "g2", "keys", "ranks", "open").mapInArrow(spread, f"spot long, doc {_kind(classes)}, no int, place binary")
 
 
-def _may(n, pos, g1, g2, m, at, h1, h2) -> np.ndarray:
-    """Length, positional and bitmap filters of pairs."""
-    need = _overlap(n, m)
-    got = np.flatnonzero((5 * np.minimum(n, m) >= 4 * np.maximum(n, m)) & (1 + np.minimum(n - pos, m - at) - 1 + np.minimum(pos, at) >= need))
-    odd = np.bitwise_count((g1[got] ^ h1[got]).view(np.uint64)).astype(np.int64) + np.bitwise_count((g2[got] ^ h2[got]).view(np.uint64))
-    return got[odd <= (n + m - 2 * need)[got]]
-
+def _place(rows: pa.Table) -> np.ndarray:
+    """The places of a table of one chunk, all of one width."""
+    whole = rows["place"].chunk(0)
+    begin = np.frombuffer(whole.buffers()[1], np.int32)[whole.offset]
+    return np.frombuffer(whole.buffers()[2], PLACE, len(whole), begin)
 
-COLUMNS = ("n", "pos", "g1", "g2")
 
-
-def _numbers(rows: pa.Table) -> tuple[np.ndarray, ...]:
-    return tuple(rows[c].to_numpy().astype(np.int64) for c in COLUMNS)
+def _may(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Length, positional and bitmap filters of pairs of places."""
+    n, m, pos, at = (x.astype(np.int64) for x in (a["n"], b["n"], a["pos"], b["pos"]))
+    need = _overlap(n, m)
+    got = np.flatnonzero((5 * np.minimum(n, m) >= 4 * np.maximum(n, m)) & (np.minimum(n - pos, m - at) + np.minimum(pos, at) >= need))
+    odd = np.bitwise_count(a["g1"][got] ^ b["g1"][got]).astype(np.int64) + np.bitwise_count(a["g2"][got] ^ b["g2"][got])
+    return got[odd <= (n + m - 2 * need)[got]]
 
 
-def _pairs(late: pa.Table, early: pa.Table) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([late["doc"].combine_chunks(), late["no"].combine_chunks(), early["doc"].combine_chunks(), early["no"].combine_chunks()], ["doc", "no", "doc2", "no2"])
+def _pairs(doc: pa.Array, place: np.ndarray, late: np.ndarray, early: np.ndarray) -> pa.RecordBatch:
+    side = lambda k: [doc.take(pa.array(k)), pa.array(place["no"][k])]
+    return pa.RecordBatch.from_arrays([*side(late), *side(early)], ["doc", "no", "doc2", "no2"])
 
 
 def met_first(rows: DataFrame) -> DataFrame:
@@ -293,15 +332,16 @@ def met_first(rows: DataFrame) -> DataFrame:
             if not len(batch):
                 continue
             now = pa.Table.from_batches([batch])
-            both = now if held is None else pa.concat_tables([held, now])
+            both = (now if held is None else pa.concat_tables([held, now])).combine_chunks()
+            place, doc = _place(both), both["doc"].chunk(0)
             first = np.maximum.accumulate(np.where(_heads(both["key"].to_numpy()), np.arange(len(both)), 0))
             late = np.flatnonzero(first != np.arange(len(first)))
-            a, b = both.take(pa.array(late)), both.take(pa.array(first[late]))
-            near = pa.array(_may(*_numbers(a), *_numbers(b)))
-            yield _pairs(a.take(near), b.take(near))
+            near = late[_may(place[late], place[first[late]])]
+            yield _pairs(doc, place, near, first[near])
             held = both.slice(int(first[-1]), 1).combine_chunks()
 
-    return _dealt(rows, "key", "doc", "no").mapInArrow(meet, _pair_schema(rows)).distinct()
+    dealt = rows.select(F.shiftright("spot", 32).cast("int").alias("key"), "doc", "no", "place")
+    return dealt.repartition(_parts(rows), "key").sortWithinPartitions("key", "doc", "no").mapInArrow(meet, _pair_schema(rows)).distinct()
 
 
 def met_all(rows: DataFrame) -> DataFrame:
@@ -313,50 +353,47 @@ def met_all(rows: DataFrame) -> DataFrame:
             if not len(batch):
                 continue
             now = pa.Table.from_batches([batch])
-            both = now if held is None else pa.concat_tables([held, now])
-            size, fresh_from = both["n"].to_numpy().astype(np.int64), 0 if held is None else len(held)
-            group = np.cumsum(_heads(both["key"].to_numpy(), both["cell"].to_numpy()))
-            yield from _compared(both, group, size, fresh_from)
+            both = (now if held is None else pa.concat_tables([held, now])).combine_chunks()
+            spot = both["spot"].to_numpy()
+            yield from _compared(both["doc"].chunk(0), _place(both), spot, 0 if held is None else len(held))
             # what a longer line may still meet
-            held = both.filter(pa.array((group == group[-1]) & (5 * size >= 4 * size[-1]))).combine_chunks()
+            held = both.filter(pa.array((spot >> 32 == spot[-1] >> 32) & (5 * (spot & 0xFFFFFFFF) >= 4 * (spot[-1] & 0xFFFFFFFF)))).combine_chunks()
 
-    return _dealt(rows, "key", "cell", "n", "doc", "no").mapInArrow(meet, _pair_schema(rows)).distinct()
+    return rows.select("spot", "doc", "place").repartition(_parts(rows), F.shiftright("spot", 32)).sortWithinPartitions("spot").mapInArrow(meet, _pair_schema(rows)).distinct()
 
 
-def _compared(rows: pa.Table, group: np.ndarray, size: np.ndarray, begin: int) -> Iterator[pa.RecordBatch]:
+def _compared(doc: pa.Array, place: np.ndarray, spot: np.ndarray, begin: int) -> Iterator[pa.RecordBatch]:
     """Pairs of rows i < j, j from ``begin`` on, with i the shorter or of equal size."""
-    n, pos, g1, g2 = _numbers(rows)
-    doc, no, is_open = rows["doc"].to_numpy(), rows["no"].to_numpy(), rows["open"].to_numpy()
-    block, diagonal = rows["block"].to_numpy(), None
-    spot = group * (1 << 32) + size
-    from_, to = np.maximum(np.arange(len(n)) + 1, begin), np.searchsorted(spot, group * (1 << 32) + 5 * size // 4, "right")
-    count = np.where(pos < n - _overlap(n, n) + 1, np.maximum(0, to - from_), 0)
+    n, pos, no, block = place["n"].astype(np.int64), place["pos"], place["no"], place["block"]
+    id_, is_open = doc.to_numpy(zero_copy_only=False), place["open"] == 1
+    index = pos < n - _overlap(n, n) + 1
+    from_, to = np.maximum(np.arange(len(n)) + 1, begin), np.searchsorted(spot, (spot >> 32 << 32) + 5 * n // 4, "right")
+    count = np.where(index, np.maximum(0, to - from_), 0)
     total, at = np.cumsum(count), 0
-    split = _heads(group)  # groups of one block need no look at blocks
-    mixed = np.maximum.reduceat(block, np.flatnonzero(split)) != np.minimum.reduceat(block, np.flatnonzero(split))
-    diagonal = ~mixed[group - 1]
     while at < len(n):
         end = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + AT_ONCE, "right")))
         c = count[at:end]
         i = np.repeat(np.arange(at, end), c)
         j = from_[i] + np.arange(len(i)) - np.repeat(np.cumsum(c) - c, c)
         at = end
-        swap = (doc[i] > doc[j]) | ((doc[i] == doc[j]) & (no[i] > no[j]))
+        # sets of equal size share a token that is among the first of both
+        ok = (index[j] | (n[i] != n[j])) & ((block[i] == -1) & (block[j] == -1) | (block[i] != block[j]))
+        i, j = i[ok], j[ok]
+        near = _may(place[i], place[j])
+        i, j = i[near], j[near]
+        swap = (id_[i] > id_[j]) | ((id_[i] == id_[j]) & (no[i] > no[j]))
         late, early = np.where(swap, i, j), np.where(swap, j, i)
-        ok = is_open[late] & (diagonal[i] | (block[i] != block[j]))
-        late, early = late[ok], early[ok]
-        near = _may(*(x[late] for x in (n, pos, g1, g2)), *(x[early] for x in (n, pos, g1, g2)))
-        if len(near):
-            yield _pairs(rows.take(pa.array(late[near])), rows.take(pa.array(early[near])))
+        ok = is_open[late]
+        if ok.any():
+            yield _pairs(doc, place, late[ok], early[ok])
 
 
 def _pair_schema(rows: DataFrame) -> str:
     return f"doc {_kind(rows)}, no int, doc2 {_kind(rows)}, no2 int"
 
 
-def _dealt(rows: DataFrame, *order: str) -> DataFrame:
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(parts, *[c for c in order if c in ("key", "cell")]).sortWithinPartitions(*order)
+def _parts(rows: DataFrame) -> int:
+    return int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
 def verified(pairs: DataFrame, tokens: DataFrame, scratch: Scratch, label: str) -> DataFrame:
@@ -431,8 +468,7 @@ def without_lines(docs: DataFrame, gone: DataFrame, *, doc_id: str = "doc_id", t
 
 def counted(docs: DataFrame, gone: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_lines, n_removed and the removed numbers, comma-joined."""
-    ends = F.octet_length(F.col(text)) - F.octet_length(F.replace(F.col(text), F.lit("\n"), F.lit("")))
-    light = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(1 + ends, F.lit(0)).cast("long").alias("n_lines"))
+    light = docs.select(F.col(doc_id).alias("doc_id"), F.when(F.col(text).isNull(), 0).otherwise(F.size(F.split(F.col(text), "\n"))).cast("long").alias("n_lines"))
     numbers = gone.groupBy("doc").agg(F.array_sort(F.collect_set("no")).alias("nos")).withColumnRenamed("doc", "doc_id")
     # a repeated id has the lines of each of its rows; numbers past a row's end aren't its own
     own = F.filter("nos", lambda x: x < F.col("n_lines"))
