@@ -267,7 +267,18 @@ def classes_of(tokens: DataFrame, order) -> DataFrame:
 
 
 #: What a place tells besides its key and its document.
-PLACE = np.dtype([("g1", "<u8"), ("g2", "<u8"), ("no", "<i4"), ("n", "<i4"), ("pos", "<i4"), ("block", "<i4"), ("open", "<i4")])
+#: ``pos`` is ``-1 - pos`` of a line that is settled; ``split`` is the exponent of
+#: the token's number of blocks, and 64 more where a block meets itself.
+PLACE = np.dtype([("g1", "<u8"), ("g2", "<u4"), ("no", "<i4"), ("pos", "<i4"), ("split", "u1")])
+
+
+def folded(bits: np.ndarray) -> np.ndarray:
+    """64 parities as 32."""
+    return ((bits ^ bits >> np.uint64(32)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+
+
+def block_of(place: np.ndarray, blocks: np.ndarray) -> np.ndarray:
+    return (_mixed(place["g1"] ^ place["g2"], 0x9E3779B97F4A7C15) % blocks.astype(np.uint64)).astype(np.int64)
 
 
 def places(classes: DataFrame, most: int | None = None) -> DataFrame:
@@ -287,16 +298,17 @@ def places(classes: DataFrame, most: int | None = None) -> DataFrame:
                 of, pos, key, blocks = of[near], pos[near], key[near], np.ones(near.sum(), np.int64)
             else:  # at rank r, a token has 2**(r/2) places at most
                 blocks = 1 << np.maximum(0, (rank + 1) // 2 - (HOT.bit_length() - 1))
-            own = (rows["g1"].to_numpy() ^ rows["g2"].to_numpy())[of].view(np.uint64) % blocks.astype(np.uint64)
+            g1, g2, n = rows["g1"].to_numpy().view(np.uint64), rows["g2"].to_numpy().view(np.uint64), rows["n"].to_numpy().astype(np.int64)
             row = np.repeat(np.arange(len(of)), blocks)
-            other = np.arange(len(row)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
-            own, many, of = own.astype(np.int64)[row], blocks[row], of[row]
-            cell = np.minimum(own, other) * many + np.maximum(own, other)
+            other, many = np.arange(len(row)) - np.repeat(np.cumsum(blocks) - blocks, blocks), blocks[row]
+            of, pos, key = of[row], pos[row], key[row]
             place = np.zeros(len(of), PLACE)
-            for c in ("g1", "g2", "no", "n", "open"):
-                place[c] = rows[c].to_numpy(zero_copy_only=False)[of]
-            place["pos"], place["block"] = pos[row], np.where(own == other, -1, own)
-            spot = ((key[row] + cell * 0x9E3779B1) & ((1 << 31) - 1)) << 32 | place["n"]
+            place["g1"], place["g2"], place["no"] = g1[of], folded(g2[of]), rows["no"].to_numpy()[of]
+            place["pos"] = np.where(rows["open"].to_numpy(zero_copy_only=False)[of], pos, -1 - pos)
+            own = block_of(place, many)
+            place["split"] = np.log2(many).astype(np.uint8) + 64 * (own == other)
+            cell = np.minimum(own, other) * many + np.maximum(own, other)
+            spot = ((key + cell * 0x9E3779B1) & ((1 << 31) - 1)) << 32 | n[of]
             yield pa.RecordBatch.from_arrays([pa.array(spot), rows["doc"].take(pa.array(of)), pa.array(place["no"]), _binary(place.view(np.uint8).reshape(-1, PLACE.itemsize), np.ones(len(of), np.int64))], ["spot", "doc", "no", "place"])
 
     return classes.select("doc", "no", "n", "g1", "g2", "keys", "ranks", "open").mapInArrow(spread, f"spot long, doc {_kind(classes)}, no int, place binary")
@@ -309,9 +321,9 @@ def _place(rows: pa.Table) -> np.ndarray:
     return np.frombuffer(whole.buffers()[2], PLACE, len(whole), begin)
 
 
-def _may(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Length, positional and bitmap filters of pairs of places."""
-    n, m, pos, at = (x.astype(np.int64) for x in (a["n"], b["n"], a["pos"], b["pos"]))
+def _may(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Length, positional and bitmap filters of pairs of places of lines of n and m."""
+    pos, at = (np.where(x < 0, -1 - x, x).astype(np.int64) for x in (a["pos"], b["pos"]))
     need = _overlap(n, m)
     got = np.flatnonzero((5 * np.minimum(n, m) >= 4 * np.maximum(n, m)) & (np.minimum(n - pos, m - at) + np.minimum(pos, at) >= need))
     odd = np.bitwise_count(a["g1"][got] ^ b["g1"][got]).astype(np.int64) + np.bitwise_count(a["g2"][got] ^ b["g2"][got])
@@ -336,11 +348,12 @@ def met_first(rows: DataFrame) -> DataFrame:
             place, doc = _place(both), both["doc"].chunk(0)
             first = np.maximum.accumulate(np.where(_heads(both["key"].to_numpy()), np.arange(len(both)), 0))
             late = np.flatnonzero(first != np.arange(len(first)))
-            near = late[_may(place[late], place[first[late]])]
+            n = both["n"].to_numpy()
+            near = late[_may(place[late], place[first[late]], n[late], n[first[late]])]
             yield _pairs(doc, place, near, first[near])
             held = both.slice(int(first[-1]), 1).combine_chunks()
 
-    dealt = rows.select(F.shiftright("spot", 32).cast("int").alias("key"), "doc", "no", "place")
+    dealt = rows.select(F.shiftright("spot", 32).cast("int").alias("key"), F.col("spot").bitwiseAND(F.lit((1 << 32) - 1)).alias("n"), "doc", "no", "place")
     return dealt.repartition(_parts(rows), "key").sortWithinPartitions("key", "doc", "no").mapInArrow(meet, _pair_schema(rows)).distinct()
 
 
@@ -364,9 +377,9 @@ def met_all(rows: DataFrame) -> DataFrame:
 
 def _compared(doc: pa.Array, place: np.ndarray, spot: np.ndarray, begin: int) -> Iterator[pa.RecordBatch]:
     """Pairs of rows i < j, j from ``begin`` on, with i the shorter or of equal size."""
-    n, pos, no, block = place["n"].astype(np.int64), place["pos"], place["no"], place["block"]
-    id_, is_open = doc.to_numpy(zero_copy_only=False), place["open"] == 1
-    index = pos < n - _overlap(n, n) + 1
+    n, no, id_, is_open = spot & 0xFFFFFFFF, place["no"], doc.to_numpy(zero_copy_only=False), place["pos"] >= 0
+    block, alone = block_of(place, 1 << (place["split"].astype(np.int64) & 63)), place["split"] >= 64
+    index = np.where(is_open, place["pos"], -1 - place["pos"]) < n - _overlap(n, n) + 1
     from_, to = np.maximum(np.arange(len(n)) + 1, begin), np.searchsorted(spot, (spot >> 32 << 32) + 5 * n // 4, "right")
     count = np.where(index, np.maximum(0, to - from_), 0)
     total, at = np.cumsum(count), 0
@@ -377,9 +390,9 @@ def _compared(doc: pa.Array, place: np.ndarray, spot: np.ndarray, begin: int) ->
         j = from_[i] + np.arange(len(i)) - np.repeat(np.cumsum(c) - c, c)
         at = end
         # sets of equal size share a token that is among the first of both
-        ok = (index[j] | (n[i] != n[j])) & ((block[i] == -1) & (block[j] == -1) | (block[i] != block[j]))
+        ok = (index[j] | (n[i] != n[j])) & (alone[i] & alone[j] | (block[i] != block[j]))
         i, j = i[ok], j[ok]
-        near = _may(place[i], place[j])
+        near = _may(place[i], place[j], n[i], n[j])
         i, j = i[near], j[near]
         swap = (id_[i] > id_[j]) | ((id_[i] == id_[j]) & (no[i] > no[j]))
         late, early = np.where(swap, i, j), np.where(swap, j, i)
