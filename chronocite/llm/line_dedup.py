@@ -42,7 +42,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, Scratch, fresh
+from .common import Scratch, fresh
+from .words import Tokens, mixed
 
 LEAST, BINS = 1, 1 << 20
 #: The smallest set that another one can be similar to.
@@ -60,45 +61,6 @@ def _overlap(n, m):
     return F.floor((4 * (n + m) + 8) / 9) if isinstance(n, Column) else (4 * (n + m) + 8) // 9
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    """1, base, base**2, ... modulo 2**64."""
-    out = np.full(max(1, n), base, np.uint64)
-    out[0] = 1
-    return np.cumprod(out)
-
-
-class Tokens:
-    """Words of texts as 48-bit hashes, whole buffers at a time.
-
-    A word's hash is a polynomial in ``BASE``, modulo 2**64, of random values of
-    its bytes; capitals have the values of their small letters, white space has
-    zero.  Differences of running sums give the polynomials of all words at once.
-    """
-
-    BASE = 0x5851F42D4C957F2D
-
-    def __init__(self):
-        self.value = np.random.default_rng(5).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        self.value[65:91] = self.value[97:123]
-        self.value[list(SPACES.encode())] = 0
-        self.up = self.down = np.zeros(0, np.uint64)
-
-    def of(self, raw: bytes) -> tuple[np.ndarray, np.ndarray]:
-        """Hash and line number of each word of a buffer."""
-        buf = np.frombuffer(raw + b"\n", np.uint8)
-        if len(self.up) < len(buf):
-            self.up, self.down = _powers(self.BASE, len(buf)), _powers(pow(self.BASE, -1, 1 << 64), len(buf))
-        value = self.value[buf]
-        sums = np.cumsum(value * self.up[: len(buf)])
-        word = value != 0
-        edge = np.flatnonzero(word[1:] != word[:-1]) + 1
-        if word[0]:
-            edge = np.append(0, edge)
-        begin, end = edge[::2], edge[1::2]  # the last byte is white space
-        h = (sums[end - 1] - np.where(begin > 0, sums[begin - 1], np.uint64(0))) * self.down[begin]
-        return _mixed(h, 0x9E3779B97F4A7C15) >> np.uint64(16), np.searchsorted(np.flatnonzero(buf == 10), begin)
-
-
 def distinct(tokens: np.ndarray, line: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct tokens by line, the lines with a word, and their sizes."""
     heads = np.flatnonzero(_heads(line))
@@ -141,7 +103,7 @@ def tokenised(docs: DataFrame, doc_id: str, text: str, least: int) -> DataFrame:
             while begin < len(texts):  # some texts at a time
                 end = max(begin + 1, int(np.searchsorted(sizes, (sizes[begin - 1] if begin else 0) + AT_ONCE)))
                 some = [t or b"" for t in texts[begin:end]]
-                ids, line, n = distinct(*made.of(b"\n".join(some)))
+                ids, line, n = distinct(*made.lines(b"\n".join(some)))
                 if least > 1:
                     ids, line, n = ids[np.repeat(n >= least, n)], line[n >= least], n[n >= least]
                 first = np.cumsum([0] + [t.count(b"\n") + 1 for t in some])  # of each text, its first line
@@ -175,11 +137,6 @@ def rarity(tokens: DataFrame) -> np.ndarray:
     return order
 
 
-def _mixed(h: np.ndarray, by: int) -> np.ndarray:
-    h = h * np.uint64(by)
-    return (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-
-
 def measures(tokens: np.ndarray, lens: np.ndarray, order: np.ndarray) -> dict[str, np.ndarray | pa.Array]:
     """Of each line: two hashes of its set, its bitmap, its first keys and their ranks."""
     starts = np.cumsum(lens) - lens
@@ -191,7 +148,7 @@ def measures(tokens: np.ndarray, lens: np.ndarray, order: np.ndarray) -> dict[st
     low = keys & np.uint64((1 << 44) - 1)
     bit, odd = np.uint64(1) << (tokens & np.uint64(63)), (tokens >> np.uint64(6) & np.uint64(1)).astype(bool)
     return {
-        "s1": np.add.reduceat(_mixed(tokens, 0x9E3779B97F4A7C15), starts), "s2": np.add.reduceat(_mixed(tokens, 0xC2B2AE3D27D4EB4F), starts),
+        "s1": np.add.reduceat(mixed(tokens, 0x9E3779B97F4A7C15), starts), "s2": np.add.reduceat(mixed(tokens, 0xC2B2AE3D27D4EB4F), starts),
         "g1": np.bitwise_xor.reduceat(np.where(odd, bit, np.uint64(0)), starts), "g2": np.bitwise_xor.reduceat(np.where(odd, np.uint64(0), bit), starts),
         "keys": _binary(((low ^ low >> np.uint64(31)) & np.uint64((1 << 31) - 1)).astype(np.int32), first), "ranks": _binary((low >> np.uint64(37)).astype(np.uint8), first),
     }
@@ -278,7 +235,7 @@ def folded(bits: np.ndarray) -> np.ndarray:
 
 
 def block_of(place: np.ndarray, blocks: np.ndarray) -> np.ndarray:
-    return (_mixed(place["g1"] ^ place["g2"], 0x9E3779B97F4A7C15) % blocks.astype(np.uint64)).astype(np.int64)
+    return (mixed(place["g1"] ^ place["g2"], 0x9E3779B97F4A7C15) % blocks.astype(np.uint64)).astype(np.int64)
 
 
 def places(classes: DataFrame, most: int | None = None) -> DataFrame:

@@ -11,18 +11,24 @@ Layout, all tables under one root:
 
 ``payload`` is zstd over little-endian ids, of 16 bits where the vocabulary
 fits, else 32.  ``hash`` is the first 16 bytes of the SHA-256 of the unpacked
-ids.  A document's root is the SHA-256 over its chunk hashes.  Readers verify
-each chunk against its hash, each document against its root and each segment
-against the manifest.
-
-Null is the empty text: only the end id.  Documents come in ascending doc_id,
-null first; rows with equal ids follow one another in an order fixed by their
-roots.  Repeated rows are each written.
+ids.  A document's root is the SHA-256 over its chunk hashes; a leaf is the
+SHA-256 of its id, start, length and root; a segment's root is that of the
+Merkle tree over its leaves.  Both readers first make every root again from the
+chunk hashes and hold the recipes against their roots and the manifest, then
+hold each chunk against its hash and each document's length against its recipe;
+any difference, or a missing chunk, raises.
+
+Null and the empty text have only the end id; an empty table gives an empty
+store.  Documents come in ascending doc_id, null first; rows with equal ids
+follow one another in an order fixed by their roots.  Repeated rows are each
+written.  Texts of any length are encoded whole, one buffer at a time, and cut
+into chunks of bounded size.  Other columns of the caller are not stored.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json as json_
 import re
 import zlib
 from array import array
@@ -30,20 +36,33 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from .words import Tokens
+
 #: Ids that a cut looks at; a cut comes every 2**MASK_BITS ids on average.
 WINDOW, MASK_BITS, LEAST, MOST = 8, 9, 128, 4096
-#: Words that a worker remembers.
-REMEMBERED = 300_000
+#: Words, and chunks written, that a worker remembers; bytes of text encoded at once.
+REMEMBERED, WRITTEN, AT_ONCE = 400_000, 100_000, 1 << 20
+#: Documents of a segment, about.
+SEGMENT = 50_000
 PUNCT = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 
-PIECES = "n long, chunks array<struct<hash:binary,n:int,payload:binary>>"
-
+PIECES = "n long, root string, chunks array<struct<hash:binary,n:int,payload:binary>>"
+#: How a tokenizer must normalise and part words for the word coder.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
 
 #: Letter runs that the tokenizer's normaliser leaves alone: one pre-token each.
 PLAIN = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+")
@@ -64,7 +83,12 @@ class WordCoder:
     The tokenizer collapses white space and never merges across it, so a text
     has the ids of its white-space words one after another; and a run of ASCII
     marks at a word's end is separate from an ASCII letter or digit before it.
-    A run of plain letters goes to the library's model at once.
+    A run of plain letters goes to the library's model at once.  Equal words of
+    a buffer are told by 64-bit hashes, and looked up once.
+
+    Holds for tokenizers with the ``NORMALIZER`` and ``PRE_TOKENIZER`` above
+    whose added tokens hold no white space; any other encodes whole texts by
+    the library.
     """
 
     LETTERS = byte_letters()
@@ -75,12 +99,16 @@ class WordCoder:
         self.kind, self.letter = np.dtype("<u4" if self.wide else "<u2"), "I" if self.wide else "H"
         self.seen: dict[bytes, bytes] = {}
         self.parts: dict[bytes, bytes] = {}
+        self.hashes = Tokens(fold=False)  # added tokens tell capitals apart
+        made = json_.loads(json)
+        by_word = made.get("post_processor") is None and made.get("truncation") is None and made["normalizer"] == NORMALIZER and made["pre_tokenizer"] == PRE_TOKENIZER
+        self.by_word = by_word and not any(set(t["content"]) & set(" \t\n\r\x0b\x0c") for t in made["added_tokens"])
 
     def learn(self, words: set[bytes]) -> None:
         """Put words into the memory: plain letters by their lower-case form,
         marks behind them by themselves, all else as the whole word."""
         seen, parts, model = self.seen, self.parts, self.tokenizer.model
-        if len(seen) > REMEMBERED:
+        if len(seen) + len(words) > REMEMBERED:
             seen.clear()
             parts.clear()
         odd = []
@@ -104,31 +132,57 @@ class WordCoder:
         for w, e in zip(odd, self.tokenizer.encode_batch_fast([w.decode() for w in odd], add_special_tokens=False), strict=True):
             seen[w] = array(self.letter, e.ids).tobytes()
 
-    def encode(self, text: str | None) -> bytes:
-        words = text.encode().split() if text else []
-        try:
-            return b"".join(map(self.seen.__getitem__, words))
-        except KeyError:
-            self.learn({w for w in words if w not in self.seen} if len(self.seen) <= REMEMBERED else set(words))
-            return b"".join(map(self.seen.__getitem__, words))
+    def ids_of(self, texts: list[bytes], end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of some texts, each with the end id, and where each text ends."""
+        if not self.by_word:
+            found = [[*e.ids, end_id] for e in self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
+            return np.array([i for ids in found for i in ids], self.kind), np.cumsum([len(x) for x in found])
+        raw = b"\n".join(texts)
+        h, begin, end = self.hashes.spans(raw)
+        _, at, which = np.unique(h, return_index=True, return_inverse=True)
+        words = [raw[i:j] for i, j in zip(begin[at].tolist(), end[at].tolist(), strict=True)]
+        missing = {w for w in words if w not in self.seen}
+        if missing:
+            self.learn(missing if len(self.seen) + len(missing) <= REMEMBERED else set(words))
+        coded = list(map(self.seen.__getitem__, words))
+        pool = np.frombuffer(b"".join(coded), self.kind)
+        size = np.fromiter(map(len, coded), np.int64, len(coded)) // self.kind.itemsize
+        from_ = (np.cumsum(size) - size)[which]
+        size = size[which]
+        stops = np.cumsum([len(t) + 1 for t in texts])  # of texts, in bytes
+        of = np.searchsorted(stops, begin, "right")
+        ends = np.cumsum(np.bincount(of, size, len(texts)).astype(np.int64) + 1)
+        out = np.full(int(ends[-1]), end_id, self.kind)
+        before = np.cumsum(size) - size
+        within = np.arange(int(size.sum())) - np.repeat(before, size)
+        out[np.repeat(before + of, size) + within] = pool[np.repeat(from_, size) + within]
+        return out, ends
 
 
 _MIX = np.random.default_rng(7).integers(1, 1 << 63, 1 << 16, dtype=np.uint64)
 
 
-def cuts(ids: np.ndarray) -> list[int]:
-    """Ends of the chunks of an id stream."""
+def marks(ids: np.ndarray) -> np.ndarray:
+    """Where the rolling hash of an id stream asks for a cut."""
     mixed = _MIX[ids & 0xFFFF] ^ ids.astype(np.uint64)
     rolled = mixed.copy()
     for k in range(1, min(WINDOW, len(ids))):
         rolled[k:] += mixed[:-k] << np.uint64(k)
-    marks = np.flatnonzero((rolled >> np.uint64(20)) & np.uint64((1 << MASK_BITS) - 1) == 0) + 1
+    return np.flatnonzero((rolled >> np.uint64(20)) & np.uint64((1 << MASK_BITS) - 1) == 0) + 1
+
+
+def cuts(marked: list[int], n: int) -> list[int]:
+    """Ends of the chunks of a stream of n ids, of ``LEAST`` or more but the last.
+
+    The hash looks at fewer ids than the least chunk has, so what stands before
+    a stream can't move its cuts.
+    """
     ends, at = [], 0
-    for m in [*marks.tolist(), len(ids)]:
+    for m in [*marked, n]:
         while m - at > MOST:
             at += MOST
             ends.append(at)
-        if m - at >= LEAST or m == len(ids):
+        if m - at >= LEAST or m == n:
             if m > at:
                 ends.append(m)
             at = m
@@ -142,45 +196,62 @@ def address(ids: bytes) -> bytes:
 _coders: dict[int, WordCoder] = {}
 
 
-def pieces(spark: SparkSession, text: Column, json: str, end_id: int) -> Column:
-    """A struct column (``PIECES``): the chunks of each text's ids and end id."""
-    held, key = spark.sparkContext.broadcast(json), hash(json)
+def pieces(docs: DataFrame, json: str, end_id: int) -> DataFrame:
+    """doc_id and ``PIECES`` of rows of doc_id and text: the chunks of each
+    text's ids and end id.  A chunk that the task has lately put out has no
+    payload."""
+    held, key = docs.sparkSession.sparkContext.broadcast(json), hash(json)
 
-    @F.pandas_udf(PIECES)
-    def cut(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if key not in _coders:
             _coders.clear()
             _coders[key] = WordCoder(held.value)
-        coder, pack = _coders[key], zstandard.ZstdCompressor(3, write_content_size=True)
-        end = np.array([end_id], coder.kind).tobytes()
-        for texts in batches:
-            rows = []
-            for t in texts:
-                raw = coder.encode(t) + end
-                ids, begin, out = np.frombuffer(raw, coder.kind), 0, []
-                for stop in cuts(ids):
-                    part = ids[begin:stop].tobytes()
-                    out.append({"hash": address(part), "n": stop - begin, "payload": pack.compress(part)})
-                    begin = stop
-                rows.append((len(ids), out))
-            yield pd.DataFrame(rows, columns=["n", "chunks"])
-
-    return cut(text)
+        coder, pack, written = _coders[key], zstandard.ZstdCompressor(3, write_content_size=True), set()
+        wide = coder.kind.itemsize
+        for batch in batches:
+            texts = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
+            sizes, begin = np.cumsum([len(t) + 1 for t in texts]), 0
+            while begin < len(texts):
+                stop = max(begin + 1, int(np.searchsorted(sizes, (sizes[begin - 1] if begin else 0) + AT_ONCE)))
+                ids, ends = coder.ids_of(texts[begin:stop], end_id)
+                raw, found = memoryview(ids.tobytes()), marks(ids)
+                at, split = 0, np.searchsorted(found, ends - 1, "right")
+                roots, counts, hashes, n, payloads, last = [], [], [], [], [], 0
+                for e, k in zip(ends.tolist(), split.tolist(), strict=True):
+                    first, own = at, []
+                    for c in cuts((found[last:k] - first).tolist(), e - first):
+                        part = raw[wide * at : wide * (first + c)]
+                        own.append(h := address(part))
+                        n.append(first + c - at)
+                        payloads.append(None if h in written else pack.compress(part))
+                        written.add(h)
+                        at = first + c
+                    if len(written) > WRITTEN:
+                        written.clear()
+                    hashes += own
+                    counts.append(len(own))
+                    roots.append(hashlib.sha256(b"".join(own)).hexdigest())
+                    last = int(np.searchsorted(found, e, "right"))
+                chunks = pa.StructArray.from_arrays([pa.array(hashes, pa.binary()), pa.array(n, pa.int32()), pa.array(payloads, pa.binary())], ["hash", "n", "payload"])
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))).astype(np.int32)), chunks)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, stop - begin), pa.array(np.diff(ends, prepend=0)), pa.array(roots), lists], ["doc_id", "n", "root", "chunks"])
+                begin = stop
+
+    return docs.mapInArrow(cut, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {PIECES}")
 
 
 def write(docs: DataFrame, root: str, json: str, *, doc_id: str = "doc_id", text: str = "text", end_id: int = 1, segments: int | None = None) -> None:
     """Encode all documents and write the store under ``root``."""
     spark = docs.sparkSession
     staged = f"{root}/staged"
-    docs.select(F.col(doc_id).alias("doc_id"), pieces(spark, F.col(text), json, end_id).alias("p")).select("doc_id", "p.n", "p.chunks").write.mode("overwrite").option("compression", "uncompressed").parquet(staged)
+    pieces(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), json, end_id).write.mode("overwrite").option("compression", "uncompressed").parquet(staged)
     rows = spark.read.parquet(staged)
     (
-        rows.select(F.explode("chunks").alias("c")).select("c.*").groupBy("hash").agg(F.first("n").alias("n"), F.first("payload").alias("payload"))
+        rows.select(F.explode("chunks").alias("c")).where("c.payload is not null").select("c.*").groupBy("hash").agg(F.first("n").alias("n"), F.first("payload").alias("payload"))
         .write.mode("overwrite").option("compression", "uncompressed").parquet(f"{root}/chunks")
     )
-    hashes = F.transform("chunks", lambda c: c["hash"])
-    light = rows.select("doc_id", F.col("n").alias("n_tokens"), hashes.alias("hashes"), F.sha2(F.array_join(F.transform(hashes, F.hex), ""), 256).alias("root"))
-    n = segments or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    light = rows.select("doc_id", F.col("n").alias("n_tokens"), F.col("chunks.hash").alias("hashes"), "root")
+    n = segments or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // SEGMENT))
     ranged = light.repartitionByRange(n, F.col("doc_id").asc_nulls_first(), "root").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "root").withColumn("segment", F.spark_partition_id())
     ranged.write.mode("overwrite").parquet(f"{root}/ordered")
     _delete(spark, staged)
@@ -199,16 +270,41 @@ def write(docs: DataFrame, root: str, json: str, *, doc_id: str = "doc_id", text
 
 
 def manifest(recipes: DataFrame) -> DataFrame:
-    """Segment totals and Merkle roots, of documents that are in doc order."""
+    """Segment totals and Merkle roots, made from the chunk hashes; ``wrong``
+    counts documents whose own root differs.
 
-    def roots(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("start", kind="stable")
-        level = [bytes.fromhex(x) for x in rows["root"]]
-        while len(level) > 1:
-            level = [hashlib.sha256(b"".join(level[k : k + 2])).digest() for k in range(0, len(level), 2)]
-        return pd.DataFrame({"segment": [rows["segment"].iloc[0]], "first_start": [rows["start"].min()], "documents": [len(rows)], "ids": [rows["n_tokens"].sum()], "root": [level[0].hex()]})
+    Segments stream by in doc order: a tree keeps one node a level.
+    """
+
+    def roots(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, out = None, []
 
-    return recipes.select("segment", "start", "n_tokens", "root").groupBy("segment").applyInPandas(roots, "segment int, first_start long, documents long, ids long, root string")
+        def folded(tree: list[tuple[int, bytes]]) -> bytes:
+            node = tree.pop()[1]
+            while tree:
+                node = hashlib.sha256(tree.pop()[1] + node).digest()
+            return node
+
+        for rows in batches:
+            for segment, doc, start, n, hashes, stored in rows.itertuples(index=False):
+                if now is None or now[0] != segment:
+                    if now is not None:
+                        out.append((*now[:5], folded(now[5]).hex()))
+                    now = [segment, start, 0, 0, 0, []]
+                root = hashlib.sha256(b"".join(map(bytes, hashes))).hexdigest()
+                now[2], now[3], now[4] = now[2] + 1, now[3] + n, now[4] + (root != stored)
+                node = (0, hashlib.sha256(f"{doc}|{start}|{n}|{root}".encode()).digest())
+                while now[5] and now[5][-1][0] == node[0]:
+                    node = (node[0] + 1, hashlib.sha256(now[5].pop()[1] + node[1]).digest())
+                now[5].append(node)
+        if now is not None:
+            out.append((*now[:5], folded(now[5]).hex()))
+        yield pd.DataFrame(out, columns=["segment", "first_start", "documents", "ids", "wrong", "root"])
+
+    parts = int(recipes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = recipes.select("segment", F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("doc"), "start", "n_tokens", "hashes", "root")
+    dealt = rows.repartition(parts, "segment").sortWithinPartitions("segment", "start", "doc", "root")
+    return dealt.mapInPandas(roots, "segment int, first_start long, documents long, ids long, wrong long, root string")
 
 
 def _delete(spark: SparkSession, path: str) -> None:
@@ -281,9 +377,11 @@ def read_digests(spark: SparkSession, root: str) -> DataFrame:
 
     Chunks are read and verified once; documents combine the CRCs of theirs.
     """
+    sound(spark, root)
     recipes = spark.read.parquet(f"{root}/recipes")
     listed = recipes.select("doc_id", "start", "n_tokens", F.posexplode("hashes").alias("pos", "hash"))
     found = listed.join(chunk_digests(spark.read.parquet(f"{root}/chunks")), "hash", "left")
+    # a repeated row has a start of its own
     whole = found.groupBy("doc_id", "start", "n_tokens").agg(F.array_sort(F.collect_list(F.struct("pos", "hash", "n", "crc"))).alias("parts"))
 
     @F.pandas_udf("long")
@@ -295,20 +393,41 @@ def read_digests(spark: SparkSession, root: str) -> DataFrame:
 
 
 def read_ids(spark: SparkSession, root: str) -> DataFrame:
-    """doc_id, start and the ids (array<int>) of each document."""
+    """doc_id, start and the ids (array<int>) of each document, verified like the digests."""
+    sound(spark, root)
     recipes = spark.read.parquet(f"{root}/recipes")
-    listed = recipes.select("doc_id", "start", F.posexplode("hashes").alias("pos", "hash"))
-    found = listed.join(spark.read.parquet(f"{root}/chunks"), "hash")
-    whole = found.groupBy("doc_id", "start").agg(F.array_sort(F.collect_list(F.struct("pos", "n", "payload"))).alias("parts"))
+    listed = recipes.select("doc_id", "start", "n_tokens", F.posexplode("hashes").alias("pos", "hash"))
+    found = listed.join(spark.read.parquet(f"{root}/chunks"), "hash", "left")
+    whole = found.groupBy("doc_id", "start", "n_tokens").agg(F.array_sort(F.collect_list(F.struct("pos", "hash", "n", "payload"))).alias("parts"))
 
     @F.pandas_udf("array<int>")
-    def unpack(parts: pd.Series) -> pd.Series:
-        return pd.Series([np.concatenate([_unpacked(p["payload"], p["n"])[1].astype("<i4") for p in row]) for row in parts], dtype=object)
-
-    return whole.select("doc_id", "start", unpack("parts").alias("ids"))
+    def unpack(parts: pd.Series, total: pd.Series) -> pd.Series:
+        got = []
+        for row, n in zip(parts, total, strict=True):
+            ids = []
+            for p in row:
+                if p["payload"] is None:
+                    raise ValueError(f"chunk {bytes(p['hash']).hex()} is missing")
+                raw, some = _unpacked(p["payload"], p["n"])
+                if address(raw) != bytes(p["hash"]):
+                    raise ValueError(f"chunk {bytes(p['hash']).hex()} does not have its content")
+                ids.append(some.astype("<i4"))
+            got.append(np.concatenate(ids))
+            if len(got[-1]) != n:
+                raise ValueError("a document has another length than its recipe")
+        return pd.Series(got, dtype=object)
+
+    return whole.select("doc_id", "start", unpack("parts", "n_tokens").alias("ids"))
 
 
 def verify(spark: SparkSession, root: str) -> DataFrame:
     """Segments whose manifest row differs from their recipes; none if sound."""
     was, now = spark.read.parquet(f"{root}/manifest"), manifest(spark.read.parquet(f"{root}/recipes"))
-    return was.join(now.withColumnsRenamed({c: f"now_{c}" for c in now.columns if c != "segment"}), "segment", "full").where("not (root <=> now_root and ids <=> now_ids and documents <=> now_documents and first_start <=> now_first_start)")
+    both = was.join(now.withColumnsRenamed({c: f"now_{c}" for c in now.columns if c != "segment"}), "segment", "full")
+    return both.where("not (root <=> now_root and ids <=> now_ids and documents <=> now_documents and first_start <=> now_first_start and now_wrong <=> 0L)")
+
+
+def sound(spark: SparkSession, root: str) -> None:
+    """Raise unless recipes, roots and manifest agree."""
+    if wrong := verify(spark, root).select("segment").head(5):
+        raise ValueError(f"recipes differ from the manifest, in segments {[r.segment for r in wrong]}")
