@@ -20,10 +20,14 @@ likelihood of a text.
 
 Counts of tokens meet texts without any vocabulary being sent around: texts are
 dealt into chunks, each chunk asks for the counts of its distinct tokens by a
-join, and gets them back beside its texts.
+join, and gets them back beside its texts.  Words of a buffer are told apart by
+64-bit hashes, and looked up once.
 
 Null is the empty text, which is its end alone.  Without training texts every
-count is zero and the model is uniform over classes.
+count is zero and the model is uniform over classes; an empty table gives an
+empty result.  Repeated rows are each scored, and each count.  A text of any
+length is scored whole, by one task, which holds its classes and, in training,
+eight numbers a token.  Only the id and the text are read of the caller's columns.
 """
 
 from __future__ import annotations
@@ -34,14 +38,18 @@ from itertools import repeat
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import UPPER, Scratch, ascii_lower, words
+from .common import UPPER, Scratch
+from .words import Tokens, portions
 
 STATES, TOP, TAIL, ROUNDS, DISCOUNT = 8, 1500, 1024, 3, 0.5
 #: Tokens that one sweep holds, and text bytes of one chunk, about.
 SWEEP, CHUNK_BYTES = 200_000, 8 << 20
+#: Distinct tokens whose counts a task holds.
+HELD = 500_000
 END = "\n"
 LOWER = bytes(c + 32 if c in UPPER.encode() else c for c in range(256))
 
@@ -158,8 +166,19 @@ def maximised(model: Model, counts: dict[str, np.ndarray], base: np.ndarray) ->
     return Model(start / start.sum(), step / step.sum(1, keepdims=True), emit / emit.sum(0), model.top)
 
 
-def class_sequences(texts, top: dict[bytes, int]) -> list[np.ndarray]:
-    return [np.append(classes_of(tokens(t), top), len(top)) for t in texts]
+def encoded(texts) -> list[bytes]:
+    return [t.encode() if t else b"" for t in texts]
+
+
+def class_sequences(texts, top: dict[bytes, int], hashes: Tokens) -> list[np.ndarray]:
+    """The classes of each text's tokens, and of its end."""
+    raw, out = encoded(texts), []
+    for begin, stop in portions(raw):
+        words_, which, of = hashes.vocabulary(raw[begin:stop])
+        k = np.append(classes_of(words_, top)[which], len(top))
+        ends = np.cumsum(np.bincount(of, minlength=stop - begin))
+        out += [np.append(k[i:j], len(top)) for i, j in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+    return out
 
 
 def baum_welch_round(training: DataFrame, model: Model) -> dict[str, np.ndarray]:
@@ -170,9 +189,10 @@ def baum_welch_round(training: DataFrame, model: Model) -> dict[str, np.ndarray]
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = held.value
+        hashes = Tokens()
         sums = {"start": np.zeros(k), "step": np.zeros((k, k)), "emit": np.zeros((m.classes, k))}
         for rows in batches:
-            seqs = class_sequences(rows["text"], m.top)
+            seqs = class_sequences(rows["text"], m.top, hashes)
             for some in sweeps(np.array([len(s) for s in seqs], int)):
                 expected(m, *laid_out([seqs[i] for i in some]), sums)
         table = np.concatenate([sums["emit"], sums["step"], sums["start"][None]])
@@ -188,12 +208,30 @@ def baum_welch_round(training: DataFrame, model: Model) -> dict[str, np.ndarray]
 
 
 def token_counts(training: DataFrame) -> DataFrame:
-    """(token, c) over training texts, without ends."""
-    return training.select(F.explode(words(ascii_lower(F.col("text")))).alias("token")).groupBy("token").agg(F.count("*").alias("c"))
+    """(token, c) over training texts, without ends: a task adds up its own."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, sums = Tokens(), {}
+
+        def told() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([w.decode() for w in sums], pa.string()), pa.array(list(sums.values()), pa.int64())], ["token", "c"])
+
+        for batch in batches:
+            raw = [t or b"" for t in batch.column(0).cast(pa.binary()).to_pylist()]
+            for begin, stop in portions(raw):
+                words_, which, _ = hashes.vocabulary(raw[begin:stop])
+                for w, c in zip(words_, np.bincount(which, minlength=len(words_)).tolist(), strict=True):
+                    sums[w] = sums.get(w, 0) + c
+                if len(sums) > HELD:
+                    yield told()
+                    sums.clear()
+        yield told()
+
+    return training.select("text").mapInArrow(count, "token string, c long").groupBy("token").agg(F.sum("c").alias("c"))
 
 
 def class_column(token: Column, top: dict[bytes, int]) -> Column:
-    """``tail_class`` and the top classes, as a column."""
+    """``classes_of`` as a column."""
 
     @F.pandas_udf("int")
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -214,14 +252,26 @@ class Numbers(dict):
 SCORED = "doc_id string, n_tokens long, n_known long, base_score double, score double"
 
 
-def score(docs: DataFrame, held_out: Column, scratch: Scratch, *, doc_id: str = "doc_id", text: str = "text", states: int = STATES, rounds: int = ROUNDS) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
-    spark = docs.sparkSession
-    kind = docs.schema[doc_id].dataType
-    # as text: a number with nulls would become a float in pandas
-    rows = docs.select(F.col(doc_id).cast("string").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), held_out.alias("held_out"))
-    training = rows.where(~F.col("held_out"))
-    counts = scratch.save(token_counts(training), "counts")
+@dataclass
+class Learned:
+    """The model, and tokens and distinct tokens of each class, of all, and the number of ends."""
+
+    model: Model
+    n_class: np.ndarray
+    v_class: np.ndarray
+    ends: int
+
+    @property
+    def n(self) -> float:
+        return float(self.n_class.sum())
+
+    @property
+    def v(self) -> float:
+        return float(self.v_class.sum())
+
+
+def learned(training: DataFrame, counts: DataFrame, *, states: int = STATES, rounds: int = ROUNDS) -> Learned:
+    """What the training texts (one column ``text``) teach, given their token counts."""
     sizes = training.agg(F.count("*").alias("n")).first().n
     most = counts.orderBy(F.desc("c"), "token").limit(TOP).collect()
     top = {r.token.encode(): k for k, r in enumerate(most)}
@@ -230,12 +280,22 @@ def score(docs: DataFrame, held_out: Column, scratch: Scratch, *, doc_id: str =
     for r in sums:
         n_class[r.k], v_class[r.k] = r.n, r.v
     n_class[len(top)], v_class[len(top)] = sizes, 1 if sizes else 0
-    n_all, v_all = float(n_class.sum()), float(v_class.sum())
-
     model = start_model(n_class, top, states)
     base = (n_class + 1.0) / (n_class + 1.0).sum()
     for _ in range(rounds if sizes else 0):
         model = maximised(model, baum_welch_round(training, model), base)
+    return Learned(model, n_class, v_class, sizes)
+
+
+def score(docs: DataFrame, held_out: Column, scratch: Scratch, *, doc_id: str = "doc_id", text: str = "text", states: int = STATES, rounds: int = ROUNDS) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
+    spark = docs.sparkSession
+    kind = docs.schema[doc_id].dataType
+    # as text: a number with nulls would become a float in pandas
+    rows = docs.select(F.col(doc_id).cast("string").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), held_out.alias("held_out"))
+    training = rows.where(~F.col("held_out"))
+    counts = scratch.save(token_counts(training), "counts")
+    got = learned(training, counts, states=states, rounds=rounds)
 
     # texts by chunk, and the counts that each chunk asks for
     volume = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -245,22 +305,29 @@ def score(docs: DataFrame, held_out: Column, scratch: Scratch, *, doc_id: str =
 
     def asked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         found: dict[int, set[bytes]] = {}
+        hashes = Tokens()
         for batch in batches:
-            for chunk, t in zip(batch["chunk"].tolist(), batch["text"], strict=True):
-                found.setdefault(chunk, set()).update(tokens(t))
+            for chunk, rows_ in batch.groupby("chunk")["text"]:
+                raw = encoded(rows_)
+                for begin, stop in portions(raw):
+                    found.setdefault(chunk, set()).update(hashes.vocabulary(raw[begin:stop])[0])
         for chunk, names in found.items():
             if names:
                 yield pd.DataFrame({"chunk": np.full(len(names), chunk, np.int32), "token": [w.decode() for w in names]})
 
     wanted = dealt.mapInPandas(asked, "chunk int, token string")
     answers = wanted.join(counts, "token").select("chunk", "token", "c")
-    shared = spark.sparkContext.broadcast((model, n_class, v_class, n_all, v_all, sizes))
+    shared = spark.sparkContext.broadcast(got)
 
     def judge(texts: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-        m, n_c, v_c, n, v, ends = shared.value
+        m, n_c, v_c, n, v, ends = (shared.value.model, shared.value.n_class, shared.value.v_class, shared.value.n, shared.value.v, shared.value.ends)
         # numbers for the tokens of the chunk: the known first, others as they come
         number = Numbers(zip(map(str.encode, known["token"]), range(len(known)), strict=True))
-        ids = [np.fromiter(map(number.__getitem__, w := tokens(t)), np.int64, len(w)) for t in texts["text"]]
+        ids, raw, hashes = [], encoded(texts["text"]), Tokens()
+        for begin, stop in portions(raw):
+            words_, which, of = hashes.vocabulary(raw[begin:stop])
+            all_ids = np.fromiter(map(number.__getitem__, words_), np.int64, len(words_))[which]
+            ids += np.split(all_ids, np.cumsum(np.bincount(of, minlength=stop - begin))[:-1])
         c = np.zeros(len(number))
         c[: len(known)] = known["c"]
         k = classes_of(list(number), m.top)
@@ -280,4 +347,4 @@ def score(docs: DataFrame, held_out: Column, scratch: Scratch, *, doc_id: str =
         })
 
     judged = dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(judge, SCORED)
-    return judged.select(F.col("doc_id").cast(kind).alias("doc_id"), "n_tokens", "n_known", F.lit(int(n_all)).cast("long").alias("train_tokens"), "base_score", "score")
+    return judged.select(F.col("doc_id").cast(kind).alias("doc_id"), "n_tokens", "n_known", F.lit(int(got.n)).cast("long").alias("train_tokens"), "base_score", "score")

@@ -43,7 +43,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, fresh
-from .words import Tokens, mixed
+from .words import Tokens, mixed, portions
 
 LEAST, BINS = 1, 1 << 20
 #: The smallest set that another one can be similar to.
@@ -98,11 +98,9 @@ def tokenised(docs: DataFrame, doc_id: str, text: str, least: int) -> DataFrame:
     def split(batches: Batches) -> Batches:
         made = Tokens()
         for batch in batches:
-            texts = batch.column(1).cast(pa.binary()).to_pylist()
-            sizes, begin = np.cumsum([len(t or b"") + 1 for t in texts]), 0
-            while begin < len(texts):  # some texts at a time
-                end = max(begin + 1, int(np.searchsorted(sizes, (sizes[begin - 1] if begin else 0) + AT_ONCE)))
-                some = [t or b"" for t in texts[begin:end]]
+            texts = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
+            for begin, end in portions(texts, AT_ONCE):  # some texts at a time
+                some = texts[begin:end]
                 ids, line, n = distinct(*made.lines(b"\n".join(some)))
                 if least > 1:
                     ids, line, n = ids[np.repeat(n >= least, n)], line[n >= least], n[n >= least]
@@ -111,7 +109,6 @@ def tokenised(docs: DataFrame, doc_id: str, text: str, least: int) -> DataFrame:
                 rows, count = np.unique(of, return_counts=True)
                 words = np.bincount(of, n, len(some)).astype(np.int64)[rows]
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows + begin)), _binary((line - first[of]).astype(np.uint32), count), _binary(n.astype(np.uint32), count), _binary(packed(ids), words)], ["doc", "nos", "lens", "tok"])
-                begin = end
 
     rows = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("doc"), F.col(text).alias("text"))
     return rows.mapInArrow(split, f"doc {_kind(rows)}, nos binary, lens binary, tok binary")

@@ -43,12 +43,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .words import Tokens
+from .words import Tokens, portions
 
 #: Ids that a cut looks at; a cut comes every 2**MASK_BITS ids on average.
 WINDOW, MASK_BITS, LEAST, MOST = 8, 9, 128, 4096
-#: Words, and chunks written, that a worker remembers; bytes of text encoded at once.
-REMEMBERED, WRITTEN, AT_ONCE = 400_000, 100_000, 1 << 20
+#: Words, and chunks written, that a worker remembers.
+REMEMBERED, WRITTEN = 400_000, 100_000
 #: Documents of a segment, about.
 SEGMENT = 50_000
 PUNCT = bytes(c for c in range(33, 127) if not chr(c).isalnum())
@@ -137,10 +137,7 @@ class WordCoder:
         if not self.by_word:
             found = [[*e.ids, end_id] for e in self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
             return np.array([i for ids in found for i in ids], self.kind), np.cumsum([len(x) for x in found])
-        raw = b"\n".join(texts)
-        h, begin, end = self.hashes.spans(raw)
-        _, at, which = np.unique(h, return_index=True, return_inverse=True)
-        words = [raw[i:j] for i, j in zip(begin[at].tolist(), end[at].tolist(), strict=True)]
+        words, which, of = self.hashes.vocabulary(texts)
         missing = {w for w in words if w not in self.seen}
         if missing:
             self.learn(missing if len(self.seen) + len(missing) <= REMEMBERED else set(words))
@@ -149,8 +146,6 @@ class WordCoder:
         size = np.fromiter(map(len, coded), np.int64, len(coded)) // self.kind.itemsize
         from_ = (np.cumsum(size) - size)[which]
         size = size[which]
-        stops = np.cumsum([len(t) + 1 for t in texts])  # of texts, in bytes
-        of = np.searchsorted(stops, begin, "right")
         ends = np.cumsum(np.bincount(of, size, len(texts)).astype(np.int64) + 1)
         out = np.full(int(ends[-1]), end_id, self.kind)
         before = np.cumsum(size) - size
@@ -210,9 +205,7 @@ def pieces(docs: DataFrame, json: str, end_id: int) -> DataFrame:
         wide = coder.kind.itemsize
         for batch in batches:
             texts = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
-            sizes, begin = np.cumsum([len(t) + 1 for t in texts]), 0
-            while begin < len(texts):
-                stop = max(begin + 1, int(np.searchsorted(sizes, (sizes[begin - 1] if begin else 0) + AT_ONCE)))
+            for begin, stop in portions(texts):
                 ids, ends = coder.ids_of(texts[begin:stop], end_id)
                 raw, found = memoryview(ids.tobytes()), marks(ids)
                 at, split = 0, np.searchsorted(found, ends - 1, "right")
@@ -235,7 +228,6 @@ def pieces(docs: DataFrame, json: str, end_id: int) -> DataFrame:
                 chunks = pa.StructArray.from_arrays([pa.array(hashes, pa.binary()), pa.array(n, pa.int32()), pa.array(payloads, pa.binary())], ["hash", "n", "payload"])
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))).astype(np.int32)), chunks)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, stop - begin), pa.array(np.diff(ends, prepend=0)), pa.array(roots), lists], ["doc_id", "n", "root", "chunks"])
-                begin = stop
 
     return docs.mapInArrow(cut, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {PIECES}")
 

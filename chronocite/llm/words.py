@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 
 from .common import SPACES
@@ -34,6 +36,7 @@ class Tokens:
         if fold:
             self.value[65:91] = self.value[97:123]
         self.value[list(SPACES.encode())] = 0
+        self.fold = fold
         self.up = self.down = np.zeros(0, np.uint64)
 
     def spans(self, raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -51,7 +54,28 @@ class Tokens:
         h = (sums[end - 1] - np.where(begin > 0, sums[begin - 1], np.uint64(0))) * self.down[begin]
         return mixed(h, 0x9E3779B97F4A7C15), begin, end
 
+    def vocabulary(self, texts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        """The distinct words of some texts; of each word its number and its text.
+
+        Words are told apart by their 64-bit hashes.
+        """
+        raw = b"\n".join(texts)
+        raw = raw.lower() if self.fold else raw
+        h, begin, end = self.spans(raw)
+        _, at, which = np.unique(h, return_index=True, return_inverse=True)
+        words = [raw[i:j] for i, j in zip(begin[at].tolist(), end[at].tolist(), strict=True)]
+        return words, which, np.searchsorted(np.cumsum([len(t) + 1 for t in texts]), begin, "right")
+
     def lines(self, raw: bytes) -> tuple[np.ndarray, np.ndarray]:
         """48-bit hash and line number of each word of a buffer."""
         h, begin, _ = self.spans(raw)
         return h >> np.uint64(16), np.searchsorted(np.flatnonzero(np.frombuffer(raw, np.uint8) == 10), begin)
+
+
+def portions(texts: list[bytes], size: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about ``size`` bytes; a longer text is alone."""
+    ends, begin = np.cumsum([len(t) + 1 for t in texts]), 0
+    while begin < len(texts):
+        stop = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + size)))
+        yield begin, stop
+        begin = stop

@@ -68,6 +68,35 @@ def test_lm_odd_rows(spark, docs):
     assert hmm_lm.score(docs, F.lit(True), Scratch(spark, "t")).where("score > 0 or n_known > 0").count() == 0
 
 
+def test_score_sums_all_paths(spark):
+    import itertools
+    import math
+    from collections import Counter
+
+    made = [(k, t) for k, t in enumerate(["a b a", "b c", "", "C a a B", "c c", None, "a d", "b a c"])]
+    df = spark.createDataFrame(made, "doc_id long, text string")
+    held = F.col("doc_id") >= 6
+    training = df.where(~held).select(F.coalesce("text", F.lit("")).alias("text"))
+    got = hmm_lm.learned(training, hmm_lm.token_counts(training), states=2, rounds=2)
+    count = Counter(w for k, t in made if k < 6 for w in hmm_lm.tokens(t))
+    end, m, want = len(got.model.top), got.model, {}
+    for k, t in made:
+        w, prob = hmm_lm.tokens(t), 0.0
+        seq = [*hmm_lm.classes_of(w, m.top).tolist(), end]
+        for path in itertools.product(range(2), repeat=len(seq)):
+            p = m.start[path[0]]
+            for i, (s, c) in enumerate(zip(path, seq, strict=True)):
+                p *= (m.step[path[i - 1], s] if i else 1.0) * m.emit[c, s]
+            prob += p
+        for x, c in zip([*w, None], seq, strict=True):
+            n, v = got.n_class[c], got.v_class[c]
+            seen = 6 if x is None else count[x]
+            prob *= (1.0 if not n else (seen - 0.5) / n if seen else 0.5 * v / n)
+        want[k] = math.log10(prob)
+    scored = {r.doc_id: r.score for r in hmm_lm.score(df, held, Scratch(spark, "t"), states=2, rounds=2).collect()}
+    assert scored == pytest.approx(want)
+
+
 def test_forward_is_exact():
     import itertools
 
