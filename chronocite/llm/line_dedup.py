@@ -17,9 +17,9 @@ their whole token sets.
 Equal sets are one class, judged once; each batch keeps one line of a class
 before anything is shuffled, so a hot line is no hot key.  Sets of three or less
 are similar to equal ones only, so they meet no others.  Lines are first
-compared with the earliest one that shares one of their ``FIRST`` rarest tokens,
-which settles dense groups of near copies in linear work; only pairs whose later
-line this has not settled meet.  A token with more than ``HOT`` places is dealt
+compared with the earliest one at each of their meeting places, which settles
+dense groups of near copies in linear work; only pairs whose later line this has
+not settled meet.  A token with more than ``HOT`` places is dealt
 into blocks, and pairs of blocks meet in tasks of their own.
 
 Null, empty and blank texts have no line to judge, an empty table gives an empty
@@ -39,6 +39,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -48,8 +49,9 @@ from .words import Tokens, mixed, portions
 LEAST, BINS = 1, 1 << 20
 #: The smallest set that another one can be similar to.
 MEETS = 4
-#: Rarest tokens that look for the earliest line; places of a token in one task.
-FIRST, HOT = 2, 1 << 17
+#: Places of a token in one task; bits a pair, and bytes at most, of the bitmap that
+#: tells which lines are asked for.
+HOT, ROOM, MOST_ASKED = 1 << 17, 32, 64 << 20
 #: Bytes of a token; bytes, tokens and pairs looked at at once.
 WIDE, AT_ONCE = 6, 1 << 20
 
@@ -235,9 +237,10 @@ def block_of(place: np.ndarray, blocks: np.ndarray) -> np.ndarray:
     return (mixed(place["g1"] ^ place["g2"], 0x9E3779B97F4A7C15) % blocks.astype(np.uint64)).astype(np.int64)
 
 
-def places(classes: DataFrame, most: int | None = None) -> DataFrame:
-    """(spot, doc, no, place): a row for each of the first tokens of a line (the
-    ``most`` rarest); ``spot`` has the token above and the line's size below."""
+def places(classes: DataFrame, dealt: bool) -> DataFrame:
+    """(spot, doc, no, place): a row for each of the first tokens of a line;
+    ``spot`` has the token above and the line's size below.  If ``dealt``, a token
+    of many places is split into blocks."""
 
     def spread(batches: Batches) -> Batches:
         for batch in batches:
@@ -247,11 +250,8 @@ def places(classes: DataFrame, most: int | None = None) -> DataFrame:
             pos = np.arange(len(of)) - np.repeat(np.cumsum(size) - size, size)
             key = np.frombuffer(b"".join(rows["keys"].to_pylist()), np.int32).astype(np.int64)
             rank = np.frombuffer(b"".join(rows["ranks"].to_pylist()), np.uint8).astype(np.int64)
-            if most is not None:
-                near = pos < most
-                of, pos, key, blocks = of[near], pos[near], key[near], np.ones(near.sum(), np.int64)
-            else:  # at rank r, a token has 2**(r/2) places at most
-                blocks = 1 << np.maximum(0, (rank + 1) // 2 - (HOT.bit_length() - 1))
+            # at rank r, a token has 2**(r/2) places at most
+            blocks = 1 << np.maximum(0, (rank + 1) // 2 - (HOT.bit_length() - 1)) if dealt else np.ones(len(of), np.int64)
             g1, g2, n = rows["g1"].to_numpy().view(np.uint64), rows["g2"].to_numpy().view(np.uint64), rows["n"].to_numpy().astype(np.int64)
             row = np.repeat(np.arange(len(of)), blocks)
             other, many = np.arange(len(row)) - np.repeat(np.cumsum(blocks) - blocks, blocks), blocks[row]
@@ -363,26 +363,60 @@ def _parts(rows: DataFrame) -> int:
     return int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+def slots(doc: pa.Array, of: np.ndarray, no: np.ndarray, size: int) -> np.ndarray:
+    """The slot of lines ``no`` of documents ``doc[of]``, of ``size``, a power of two."""
+    if pa.types.is_integer(doc.type):
+        own = doc.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+    else:
+        own = np.array([xxhash.xxh3_64_intdigest(str(x)) for x in doc.to_pylist()], np.uint64)
+    return (mixed(mixed(own, 0x9E3779B97F4A7C15)[of] + no.astype(np.uint64), 0xC2B2AE3D27D4EB4F) >> np.uint64(20) & np.uint64(size - 1)).astype(np.int64)
+
+
+def lines_asked(pairs: DataFrame):
+    """A broadcast bitmap of the lines in ``pairs``; its size grows with them to a bound."""
+    size = min(8 * MOST_ASKED, 1 << max(20, (ROOM * pairs.count()).bit_length()))
+
+    def marked(batches: Batches) -> Batches:
+        for batch in batches:
+            every = np.arange(len(batch))
+            slot = np.concatenate([slots(batch.column(k), every, batch.column(k + 1).to_numpy(), size) for k in (0, 2)])
+            at, bit = slot // 8, 1 << slot % 8
+            order = np.argsort(at, kind="stable")
+            heads = np.flatnonzero(_heads(at[order]))
+            if len(heads):
+                yield pa.RecordBatch.from_arrays([pa.array(at[order][heads].astype(np.int32)), pa.array(np.bitwise_or.reduceat(bit[order], heads).astype(np.int32))], ["at", "bits"])
+
+    got = pairs.mapInArrow(marked, "at int, bits int").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
+    table = np.zeros(size // 8, np.uint8)
+    table[got["at"].to_numpy()] = got["bits"].to_numpy().astype(np.uint8)
+    return pairs.sparkSession.sparkContext.broadcast(table)
+
+
 def verified(pairs: DataFrame, tokens: DataFrame, scratch: Scratch, label: str) -> DataFrame:
     """(doc, no) of the pairs that are similar, on their whole token sets."""
     pairs = scratch.save(pairs, f"{label}-pairs")
-    asked = pairs.select("doc", "no").unionByName(pairs.select(F.col("doc2").alias("doc"), F.col("no2").alias("no"))).groupBy("doc").agg(F.collect_set("no").alias("asked"))
-    asked = scratch.save(asked, f"{label}-asked")
+    held = lines_asked(pairs)
 
     def picked(batches: Batches) -> Batches:
+        bits = held.value
         for batch in batches:
-            kept, nos, toks = [], [], []
-            for k, (no, size, tok, want) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(1, 5)), strict=True)):
-                no, size = np.frombuffer(no, np.uint32), np.frombuffer(size, np.uint32).astype(np.int64)
-                ends = np.cumsum(size) * WIDE
-                for i in np.flatnonzero(np.isin(no, want)).tolist():
-                    kept.append(k)
-                    nos.append(int(no[i]))
-                    toks.append(tok[ends[i] - size[i] * WIDE : ends[i]])
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(kept, pa.int64())), pa.array(nos, pa.int32()), pa.array(toks, pa.binary())], ["doc", "no", "tok"])
-
-    # repeated rows may give a place two sets; each is looked at
-    sets = scratch.save(tokens.join(asked, "doc").select("doc", "nos", "lens", "tok", "asked").mapInArrow(picked, f"doc {_kind(tokens)}, no int, tok binary"), f"{label}-sets")
+            lens = [np.frombuffer(x, np.uint32).astype(np.int64) for x in batch.column(2).to_pylist()]
+            if not lens:
+                continue
+            no, n = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).astype(np.int32), np.concatenate(lens)
+            of = np.repeat(np.arange(len(lens)), [len(x) for x in lens])
+            slot = slots(batch.column(0), of, no, 8 * len(bits))
+            want = np.flatnonzero(bits[slot // 8] >> (slot % 8).astype(np.uint8) & 1)
+            toks, ends = batch.column(3), np.cumsum(n) - np.repeat(np.cumsum([x.sum() for x in lens]) - [x.sum() for x in lens], [len(x) for x in lens])
+            got, text, last = [], b"", -1
+            for k, i, e, m in zip(of[want].tolist(), want.tolist(), ends[want].tolist(), n[want].tolist(), strict=True):
+                text, last = (text, last) if k == last else (toks[k].as_py(), k)
+                got.append(text[(e - m) * WIDE : e * WIDE])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of[want])), pa.array(no[want]), pa.array(got, pa.binary())], ["doc", "no", "tok"])
+
+    # the bitmap lets some other lines by; repeated rows may give a place two sets, and each is looked at
+    sets = scratch.save(tokens.mapInArrow(picked, f"doc {_kind(tokens)}, no int, tok binary"), f"{label}-sets")
+    held.unpersist()
 
     def similar(batches: Batches) -> Batches:
         for batch in batches:
@@ -399,7 +433,7 @@ def verified(pairs: DataFrame, tokens: DataFrame, scratch: Scratch, label: str)
     a, b = sets.select("doc", "no", F.col("tok").alias("t1")), sets.select(F.col("doc").alias("doc2"), F.col("no").alias("no2"), F.col("tok").alias("t2"))
     found = pairs.join(a, ["doc", "no"]).join(b, ["doc2", "no2"]).select("doc", "no", "t1", "t2").mapInArrow(similar, f"doc {_kind(tokens)}, no int").distinct()
     found = scratch.save(found, label)
-    for part in ("pairs", "asked", "sets"):
+    for part in ("pairs", "sets"):
         scratch.drop(f"{label}-{part}")
     return found
 
@@ -412,10 +446,10 @@ def removals(docs: DataFrame, scratch: Scratch, *, doc_id: str = "doc_id", text:
     order.unpersist()
     scratch.free()
     able = classes.where(~F.col("gone") & (F.col("n") >= MEETS))
-    settled = verified(met_first(places(able.withColumn("open", F.lit(True)), FIRST)), tokens, scratch, "led")
+    settled = verified(met_first(places(able.withColumn("open", F.lit(True)), False)), tokens, scratch, "led")
     scratch.free()
     done = able.join(settled.withColumn("done", F.lit(True)), ["doc", "no"], "left").withColumn("open", F.col("done").isNull())
-    later = verified(met_all(places(done)), tokens, scratch, "met")
+    later = verified(met_all(places(done, True)), tokens, scratch, "met")
     # the lines of a class that goes, go; so do all but the first of a class
     gone = scratch.save(classes.where("gone").select("doc", "no").unionByName(settled).unionByName(later).distinct(), "gone")
     for name in ("tokens", "classes", "led", "met"):
