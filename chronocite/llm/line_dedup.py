@@ -17,8 +17,8 @@ their whole token sets.
 Equal sets are one class, judged once; each batch keeps one line of a class
 before anything is shuffled, so a hot line is no hot key.  Sets of three or less
 are similar to equal ones only, so they meet no others.  Lines are first
-compared with the earliest one at each of their meeting places, which settles
-dense groups of near copies in linear work; only pairs whose later line this has
+compared with a few leaders at each of their meeting places, which settles dense
+groups of near copies in linear work; only pairs whose later line this has
 not settled meet.  A token with more than ``HOT`` places is dealt
 into blocks, and pairs of blocks meet in tasks of their own.
 
@@ -52,6 +52,8 @@ MEETS = 4
 #: Places of a token in one task; bits a pair, and bytes at most, of the bitmap that
 #: tells which lines are asked for.
 HOT, ROOM, MOST_ASKED = 1 << 17, 32, 64 << 20
+#: Lines of a place that all others there are first compared with.
+LEADERS = 8
 #: Bytes of a token; bytes, tokens and pairs looked at at once.
 WIDE, AT_ONCE = 6, 1 << 20
 
@@ -290,22 +292,36 @@ def _pairs(doc: pa.Array, place: np.ndarray, late: np.ndarray, early: np.ndarray
 
 
 def met_first(rows: DataFrame) -> DataFrame:
-    """Pairs of a line and the earliest one at its place."""
+    """Pairs of a line and one of the leaders at its place.
+
+    The earliest line of a place leads; so does, up to ``LEADERS``, the earliest
+    that no leader before it may be similar to.  Work is linear in the lines.
+    """
 
     def meet(batches: Batches) -> Batches:
-        held = None
+        held = None  # the leaders of the last place, in order
         for batch in batches:
             if not len(batch):
                 continue
             now = pa.Table.from_batches([batch])
             both = (now if held is None else pa.concat_tables([held, now])).combine_chunks()
-            place, doc = _place(both), both["doc"].chunk(0)
-            first = np.maximum.accumulate(np.where(_heads(both["key"].to_numpy()), np.arange(len(both)), 0))
-            late = np.flatnonzero(first != np.arange(len(first)))
-            n = both["n"].to_numpy()
-            near = late[_may(place[late], place[first[late]], n[late], n[first[late]])]
-            yield _pairs(doc, place, near, first[near])
-            held = both.slice(int(first[-1]), 1).combine_chunks()
+            old = 0 if held is None else len(held)
+            place, doc, n, key = _place(both), both["doc"].chunk(0), both["n"].to_numpy(), both["key"].to_numpy()
+            leads, rest = [], np.arange(len(key))
+            for _ in range(LEADERS):
+                if not len(rest):
+                    break
+                head = _heads(key[rest])
+                first = rest[np.maximum.accumulate(np.where(head, np.arange(len(rest)), 0))]
+                leads.append(rest[head])
+                first, rest = first[~head], rest[~head]
+                near = np.zeros(len(rest), bool)
+                near[_may(place[rest], place[first], n[rest], n[first])] = True
+                new = near & (rest >= old)  # pairs of old leaders have been put out
+                yield _pairs(doc, place, rest[new], first[new])
+                rest = rest[~near]
+            leaders = np.sort(np.concatenate(leads))
+            held = both.take(pa.array(leaders[key[leaders] == key[-1]])).combine_chunks()
 
     dealt = rows.select(F.shiftright("spot", 32).cast("int").alias("key"), F.col("spot").bitwiseAND(F.lit((1 << 32) - 1)).alias("n"), "doc", "no", "place")
     return dealt.repartition(_parts(rows), "key").sortWithinPartitions("key", "doc", "no").mapInArrow(meet, _pair_schema(rows)).distinct()
