@@ -2,25 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-_own: list[tempfile.TemporaryDirectory] = []
-
-
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage of an iteration by a reliable checkpoint, in the folder
-    of ``spark.checkpoint.dir``; a temporary one stands in where that is unset
-    (single-machine tests)."""
+    of ``spark.checkpoint.dir``, else in a folder of the warehouse."""
     spark = df.sparkSession
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            _own.append(tempfile.TemporaryDirectory(prefix="chronocite-"))
-            folder = _own[-1].name
+        folder = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_scratch"
         spark.sparkContext.setCheckpointDir(folder)
     return df.checkpoint()
 

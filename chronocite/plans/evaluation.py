@@ -85,11 +85,11 @@ for _kind in DECAY:
     query(rerank_sql(_kind), f"recency_rerank_{_kind}")(lambda spark, sf, kind=_kind: reranked(spark, sf, kind))
 
 
-@query(f"WITH s AS (SELECT *, min(score) OVER (PARTITION BY query_id) AS lo, max(score) OVER (PARTITION BY query_id) AS hi, (query_id - doc_id) / query_id AS age FROM ({SCORES}) WHERE query_id % 10 = 0), c AS (SELECT query_id, doc_id, round((score - lo) / greatest(hi - lo, 1e-8) + 0.5 * (1 - age), 6) AS combined FROM s) SELECT query_id, doc_id, combined, row_number() OVER (PARTITION BY query_id ORDER BY combined DESC, doc_id) AS rank FROM c QUALIFY rank <= 10")
+@query(f"WITH s AS (SELECT *, min(score) OVER (PARTITION BY query_id) AS lo, max(score) OVER (PARTITION BY query_id) AS hi, (query_id - doc_id) / query_id AS age FROM ({SCORES})), c AS (SELECT query_id, doc_id, round((score - lo) / greatest(hi - lo, 1e-8) + 0.5 * (1 - age), 6) AS combined FROM s) SELECT query_id, doc_id, combined, row_number() OVER (PARTITION BY query_id ORDER BY combined DESC, doc_id) AS rank FROM c QUALIFY rank <= 10")
 def recency_exact(spark, sf):
     """Every candidate scored before the cut; every tenth vector is a query."""
     v = vectors(spark, sf).select("id", "time", "vec")
-    q, d = v.where("id % 10 = 0").alias("q"), v.alias("d")
+    q, d = v.alias("q"), v.alias("d")
     pairs = q.join(d, F.col("d.id") < F.col("q.id")).select(F.col("q.id").alias("query_id"), F.col("d.id").alias("doc_id"), F.round(V.dot(F.col("q.vec"), F.col("d.vec")), 6).alias("score"))
     w = W.partitionBy("query_id")
     sem = (F.col("score") - F.min("score").over(w)) / F.greatest(F.max("score").over(w) - F.min("score").over(w), F.lit(1e-8))
@@ -188,18 +188,18 @@ def contrastive_stats(spark, sf):
 
 
 STOP = ("the", "of", "and", "to", "in", "is", "that", "de", "la", "le", "que", "der", "die", "und")
-SHORT = "SELECT doc_id AS id, text FROM documents WHERE lang = 'en' AND n_chars < 600"
-TERMS = f"SELECT id, term, count(*) AS tf FROM (SELECT id, unnest(regexp_extract_all(lower(text), '([a-z0-9_]{{2,}})', 1)) AS term FROM ({SHORT})) WHERE term NOT IN {STOP} GROUP BY ALL"
+TERMS = f"SELECT id, term, count(*) AS tf FROM (SELECT id, unnest(regexp_extract_all(lower(text), '([a-z0-9_]{{2,}})', 1)) AS term FROM (SELECT doc_id AS id, text FROM documents)) WHERE term NOT IN {STOP} GROUP BY ALL"
 
 
-def short_terms(spark, sf):
-    return R.terms(table(spark, sf, "documents").where("lang = 'en' and n_chars < 600").select(F.col("doc_id").alias("id"), "text"), STOP)
+def document_terms(spark, sf):
+    return R.terms(table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text"), STOP)
 
 
-@query(f"WITH t AS ({TERMS}), n AS (SELECT id, count(*) AS n FROM t GROUP BY 1), s AS (SELECT a.id AS query_id, b.id AS doc_id, count(*) AS i FROM t a JOIN t b ON a.term = b.term AND a.id <> b.id GROUP BY 1, 2), j AS (SELECT query_id, doc_id, round(i / (x.n + y.n - i), 6) AS score FROM s JOIN n x ON x.id = query_id JOIN n y ON y.id = doc_id) SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM j QUALIFY rank <= 5")
+@query(f"WITH t AS ({TERMS}), n AS (SELECT id, count(*) AS n FROM t GROUP BY 1), s AS (SELECT a.id AS query_id, b.id AS doc_id, count(*) AS i FROM t a JOIN t b ON a.term = b.term AND a.id <> b.id WHERE a.id % 50 = 0 GROUP BY 1, 2), j AS (SELECT query_id, doc_id, round(i / (x.n + y.n - i), 6) AS score FROM s JOIN n x ON x.id = query_id JOIN n y ON y.id = doc_id) SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM j QUALIFY rank <= 5")
 def bow_jaccard_topk(spark, sf):
-    t = short_terms(spark, sf).select("id", "term")
-    s = R.jaccard(t, t).withColumn("score", F.round("score", 6))
+    """Queries are the documents whose id 50 divides, against all documents."""
+    t = document_terms(spark, sf).select("id", "term")
+    s = R.jaccard(t.where("id % 50 = 0"), t).withColumn("score", F.round("score", 6))
     return R.ranked(s, 5).select("query_id", "doc_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
@@ -207,40 +207,35 @@ WEIGHTS = f"t AS ({TERMS}), d AS (SELECT term, ln((1 + (SELECT count(DISTINCT id
 
 
 def cosines(spark, sf):
-    w = R.tfidf(short_terms(spark, sf))
-    a, b = w.select(F.col("id").alias("query_id"), "term", F.col("weight").alias("x")), w.select(F.col("id").alias("doc_id"), "term", F.col("weight").alias("y"))
+    """Queries are the documents whose id 50 divides, against all documents."""
+    w = R.tfidf(document_terms(spark, sf))
+    a, b = w.where("id % 50 = 0").select(F.col("id").alias("query_id"), "term", F.col("weight").alias("x")), w.select(F.col("id").alias("doc_id"), "term", F.col("weight").alias("y"))
     return a.join(b, "term").where("query_id != doc_id").groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("x") * F.col("y")), 6).alias("score"))
 
 
-@query(f"WITH {WEIGHTS}, s AS (SELECT a.id AS query_id, b.id AS doc_id, round(sum(a.weight * b.weight), 6) AS score FROM w a JOIN w b ON a.term = b.term AND a.id <> b.id GROUP BY 1, 2) SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s QUALIFY rank <= 5")
+@query(f"WITH {WEIGHTS}, s AS (SELECT a.id AS query_id, b.id AS doc_id, round(sum(a.weight * b.weight), 6) AS score FROM w a JOIN w b ON a.term = b.term AND a.id <> b.id WHERE a.id % 50 = 0 GROUP BY 1, 2) SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s QUALIFY rank <= 5")
 def tfidf_topk(spark, sf):
     return R.ranked(cosines(spark, sf), 5).select("query_id", "doc_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
-@query(f"WITH {WEIGHTS}, s AS (SELECT a.id AS query_id, b.id AS doc_id, round(sum(a.weight * b.weight), 6) AS score FROM w a JOIN w b ON a.term = b.term AND b.id < a.id GROUP BY 1, 2) SELECT query_id AS src, doc_id AS dst, score FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) <= 3")
+@query(f"WITH {WEIGHTS}, s AS (SELECT a.id AS query_id, b.id AS doc_id, round(sum(a.weight * b.weight), 6) AS score FROM w a JOIN w b ON a.term = b.term AND b.id < a.id WHERE a.id % 50 = 0 GROUP BY 1, 2) SELECT query_id AS src, doc_id AS dst, score FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) <= 3")
 def tfidf_semantic_edges(spark, sf):
     """Nearest texts among the earlier ones; no threshold."""
     return R.ranked(cosines(spark, sf).where("doc_id < query_id"), 3).select(F.col("query_id").alias("src"), F.col("doc_id").alias("dst"), "score")
 
 
-@query("WITH x AS (SELECT vec_id AS src, unnest([vec_id // 2, vec_id // 3]) AS dst FROM embeddings), e AS (SELECT DISTINCT src, dst FROM x WHERE src <> dst) SELECT src, pos, round(avg(v), 6) AS mean FROM (SELECT e.src, unnest(range(len(embedding))) AS pos, CAST(unnest(embedding) AS DOUBLE) AS v FROM e JOIN embeddings ON vec_id = dst) WHERE pos < 8 GROUP BY 1, 2")
+@query("WITH x AS (SELECT vec_id AS src, unnest([vec_id // 2, vec_id // 3]) AS dst FROM embeddings), e AS (SELECT DISTINCT src, dst FROM x WHERE src <> dst) SELECT src, pos, round(avg(v), 6) AS mean FROM (SELECT e.src, unnest(range(len(embedding))) AS pos, CAST(unnest(embedding) AS DOUBLE) AS v FROM e JOIN embeddings ON vec_id = dst) GROUP BY 1, 2")
 def neighbor_mean_layer(spark, sf):
-    """The first eight features of ``neighbor_mean_layer_all``."""
-    return neighbor_mean_layer_all(spark, sf).where("pos < 8")
-
-
-@query()
-def neighbor_mean_layer_all(spark, sf):
     """One layer of mean aggregation, of every feature."""
     e = vectors(spark, sf).select(F.col("id").alias("src"), F.explode(F.array(F.floor(F.col("id") / 2), F.floor(F.col("id") / 3))).alias("id")).where("src != id").distinct()
     return e.join(vectors(spark, sf).select("id", "vec"), "id").select("src", F.posexplode("vec").alias("pos", "v")).groupBy("src", F.col("pos").cast("long").alias("pos")).agg(F.round(F.avg(F.col("v").cast("double")), 6).alias("mean"))
 
 
-@query("WITH c AS (SELECT q.vec_id AS src, d.vec_id AS dst FROM embeddings q JOIN embeddings d ON d.vec_id < q.vec_id AND d.vec_id <> q.vec_id // 2 AND d.vec_id <> q.vec_id // 3 WHERE q.vec_id % 10 = 0) SELECT src, dst FROM c QUALIFY row_number() OVER (PARTITION BY src ORDER BY md5(CAST(src AS VARCHAR) || '-' || CAST(dst AS VARCHAR)), dst) <= 5")
+@query("WITH c AS (SELECT q.vec_id AS src, d.vec_id AS dst FROM embeddings q JOIN embeddings d ON d.vec_id < q.vec_id AND d.vec_id <> q.vec_id // 2 AND d.vec_id <> q.vec_id // 3) SELECT src, dst FROM c QUALIFY row_number() OVER (PARTITION BY src ORDER BY md5(CAST(src AS VARCHAR) || '-' || CAST(dst AS VARCHAR)), dst) <= 5")
 def negative_sample(spark, sf):
     """Five older texts a query that it does not cite: a sampling operator."""
     v = vectors(spark, sf).select("id")
-    q, d = v.where("id % 10 = 0").select(F.col("id").alias("src")), v.select(F.col("id").alias("dst"))
+    q, d = v.select(F.col("id").alias("src")), v.select(F.col("id").alias("dst"))
     c = q.join(d, F.expr("dst < src and dst != floor(src / 2) and dst != floor(src / 3)"))
     w = W.partitionBy("src").orderBy(F.md5(F.concat_ws("-", F.col("src").cast("string"), F.col("dst").cast("string"))), "dst")
     return c.withColumn("r", F.row_number().over(w)).where("r <= 5").drop("r")
