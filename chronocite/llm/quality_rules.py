@@ -8,22 +8,33 @@ would have a probability of ``ERROR`` / (rules x strata) at most (exact binomial
 tail, Bonferroni over rules and strata, fixed sequence within a rule).  The last
 that passes before the first failure is used; where none passes, the rule is
 silent in that stratum.  So with probability 1 - ``ERROR`` no rule rejects more
-than ``RISK`` of the good texts of any stratum.
+than ``RISK`` of the good texts of any stratum, and all rules together reject
+``RISK`` x rules at most (0.1 with the five rules below).
+
+A stratum needs ``least_good`` good texts before any cutoff can pass (308 with
+five strata).  Strata
+with fewer are pooled into one parent, whose cutoffs they share; the bound then
+holds for the pool.  ``calibrated`` tells which strata are pooled and what was
+certified.
 
 Null texts have no words.  A null language is a stratum of its own.  Strata
-without labels have no cutoffs.  Duplicate labels of an id count once each.
+without labels have no cutoffs, an empty holdout certifies none, an empty table
+gives an empty result.  Duplicate labels of an id count once each, repeated rows
+are each judged, texts of any length are measured whole.  ``measured`` replaces
+columns of the names that it makes; ``judged`` keeps all others.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, words
+from .common import SPACES, fresh, words
 
-RISK, ERROR = 0.004, 0.05
+RISK, ERROR = 0.02, 0.05
 #: Strata that may be sent to every task.
 MOST_STRATA = 10_000
 
@@ -96,28 +107,40 @@ def binomial_tail(n: Column, x: Column, p: float) -> Column:
     return F.when(x > n * p, F.lit(1.0)).otherwise(F.exp(top) * down)
 
 
+def least_good(risk: float, level: float) -> int:
+    """Good texts without a rejection that certify a cutoff at ``level``."""
+    return math.ceil(math.log(level) / math.log(1 - risk))
+
+
 def calibrated(holdout: DataFrame, stratum: Column, good: Column, *, rules: tuple[Rule, ...] = RULES, risk: float = RISK, error: float = ERROR) -> DataFrame:
-    """stratum, and a cutoff for each rule (null: silent), from measured rows."""
+    """stratum, pooled, n_good (of the stratum or its pool), and a cutoff for each
+    rule (null: silent), from measured rows."""
+    names = [f"x_{r.name}_{k}" for r in rules for k in range(len(r.cutoffs))]
     hits = [F.count_if(F.expr(r.metric) > c if r.up else F.expr(r.metric) < c).alias(f"x_{r.name}_{k}") for r in rules for k, c in enumerate(r.cutoffs)]
     sums = holdout.where(good).groupBy(stratum.alias("stratum")).agg(F.count("*").alias("n"), *hits)
-    strata = max(1, sums.count())
-    level = error / (len(rules) * strata)
+    level = error / (len(rules) * max(1, sums.count()))
+    sums = sums.withColumn("pooled", F.col("n") < least_good(risk, level)).withColumn("part", F.when(~F.col("pooled"), F.col("stratum")))
+    pools = sums.groupBy("pooled", "part").agg(F.sum("n").alias("n"), *[F.sum(x).alias(x) for x in names])
     chosen = []
     for r in rules:
         tried = F.array(*[F.struct(binomial_tail(F.col("n"), F.col(f"x_{r.name}_{k}"), risk).alias("p"), F.lit(c).alias("c")) for k, c in enumerate(r.cutoffs)])
         start = F.struct(F.lit(True).alias("ok"), F.lit(None).cast("double").alias("c"))
         step = lambda a, t: F.struct((a["ok"] & (t["p"] <= level)).alias("ok"), F.when(a["ok"] & (t["p"] <= level), t["c"]).otherwise(a["c"]).alias("c"))
         chosen.append(F.aggregate(tried, start, step, lambda a: a["c"]).alias(f"cut_{r.name}"))
-    return sums.select("stratum", *chosen)
+    found = pools.select(F.col("pooled").alias("p"), F.col("part").alias("q"), F.col("n").alias("n_good"), *chosen)
+    cuts = [f"cut_{r.name}" for r in rules]
+    return sums.join(found, (F.col("pooled") == F.col("p")) & F.col("part").eqNullSafe(F.col("q"))).select("stratum", "pooled", "n_good", *cuts)
 
 
 def judged(rows: DataFrame, stratum: Column, cutoffs: DataFrame, *, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Measured rows with base_failed and kept."""
     few = cutoffs.count() <= MOST_STRATA
-    found = rows.withColumn("__s", stratum).join((F.broadcast(cutoffs) if few else cutoffs), F.col("__s") == F.col("stratum"), "left")
+    own, of, cut = fresh(rows, "own"), fresh(rows, "of"), {r.name: fresh(rows, f"cut_{r.name}") for r in rules}
+    table = cutoffs.select(F.col("stratum").alias(of), *[F.col(f"cut_{r.name}").alias(cut[r.name]) for r in rules])
+    found = rows.withColumn(own, stratum).join((F.broadcast(table) if few else table), F.col(own).eqNullSafe(F.col(of)), "left")
     broken = F.lit(False)
     for r in rules:
-        m, c = F.expr(r.metric), F.col(f"cut_{r.name}")
+        m, c = F.expr(r.metric), F.col(cut[r.name])
         broken = broken | F.coalesce(m > c if r.up else m < c, F.lit(False))
     base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return found.withColumn("base_failed", base).withColumn("kept", ~(base | broken)).drop("__s", "stratum", *(f"cut_{r.name}" for r in rules))
+    return found.withColumn("base_failed", base).withColumn("kept", ~(base | broken)).drop(own, of, *cut.values())

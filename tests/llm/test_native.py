@@ -59,7 +59,7 @@ def test_binomial_tail(spark, n, x, p):
 
 def test_cutoffs_hold_their_risk(spark):
     df = spark.range(8000).select((F.col("id") % 2).cast("string").alias("lang"), F.lit(100).alias("n_words"), F.lit(500).alias("word_chars"), F.lit(0).alias("n_symbols"), F.lit(0).alias("n_dup_lines"), F.when(F.col("id") % 200 < 2, 42).otherwise(0).alias("n_repeat_words"), F.lit(1).alias("quality"))
-    cut = {r.stratum: r for r in quality_rules.calibrated(df, F.col("lang"), F.col("quality") == 1).collect()}
+    cut = {r.stratum: r for r in quality_rules.calibrated(df, F.col("lang"), F.col("quality") == 1, risk=0.004).collect()}
     for r in cut.values():
         assert r.cut_repeats == 0.45  # 0.4 would reject one good text in a hundred
         assert r.cut_symbols == 0.01
@@ -68,6 +68,54 @@ def test_cutoffs_hold_their_risk(spark):
     assert quality_rules.calibrated(df.limit(0), F.col("lang"), F.col("quality") == 1).count() == 0
 
 
+def test_kept_is_what_the_bounds_certify(spark):
+    sf = "/root/testdata/sf0.01"
+    lang = {r.doc_id: r.lang or "" for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang").collect()}
+    good = {r.doc_id for r in spark.read.parquet(f"{sf}/labels.parquet").where("quality = 1").collect()}
+    got = {r.doc_id: r for r in queries.op4_quality_rules(spark, sf).collect()}
+    value = lambda r: {"short_words": r.word_chars / max(r.n_words, 1), "long_words": r.word_chars / max(r.n_words, 1), "symbols": r.n_symbols / max(r.word_chars, 1), "same_lines": r.n_dup_lines / max(r.n_words, 1), "repeats": r.n_repeat_words / max(r.n_words, 1)}
+    over = lambda rule, v, c: v > c if rule.up else v < c
+    held = {}
+    for d in good:
+        held.setdefault(lang[d], []).append(value(got[d]))
+    level = quality_rules.ERROR / (len(quality_rules.RULES) * len(held))
+    few = {k for k, v in held.items() if (1 - quality_rules.RISK) ** len(v) > level}
+    pool = [x for k in few for x in held[k]]
+    cut = {}
+    for k in held:
+        rows_ = pool if k in few else held[k]
+        n, p = len(rows_), quality_rules.RISK
+        for rule in quality_rules.RULES:
+            for c in rule.cutoffs:
+                x = sum(over(rule, v[rule.name], c) for v in rows_)
+                if sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(x + 1)) > level:
+                    break
+                cut[k, rule.name] = c
+    want = {d: not r.base_failed and not any((lang[d], rule.name) in cut and over(rule, value(r)[rule.name], cut[lang[d], rule.name]) for rule in quality_rules.RULES) for d, r in got.items()}
+    assert few and cut
+    assert {d: r.kept for d, r in got.items()} == want
+    assert any(want[d] == r.base_failed for d, r in got.items())  # a certified cutoff rejects
+    names = {"own", "of", "cut_repeats", "stratum"}
+    extra = spark.createDataFrame([(1, "x", "en", 1, 2, 3, 4)], "doc_id long, text string, lang string, own int, of int, cut_repeats int, stratum int")
+    m = quality_rules.measured(extra)
+    table = spark.createDataFrame([("en", None, None, None, None, 0.1)], "stratum string, cut_short_words double, cut_long_words double, cut_symbols double, cut_same_lines double, cut_repeats double")
+    assert names <= set(quality_rules.judged(m, F.col("lang"), table).columns) and quality_rules.judged(m, F.col("lang"), table).count() == 1
+
+
+def test_held_out_rejections_stay_within_the_risk(spark):
+    sf = "/root/testdata/sf0.1"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang")
+    labels = spark.read.parquet(f"{sf}/labels.parquet").where("quality = 1").select("doc_id")
+    m = quality_rules.measured(docs.join(labels, "doc_id"))
+    half = F.crc32(F.col("doc_id").cast("string")) % 2 == 1
+    stratum = F.coalesce("lang", F.lit(""))
+    cutoffs = quality_rules.calibrated(m.where(half), stratum, F.lit(True))
+    other = quality_rules.judged(m.where(~half), stratum, cutoffs)
+    for r in other.groupBy("lang").agg(F.count("*").alias("n"), F.count_if(~F.col("kept") & ~F.col("base_failed")).alias("x")).collect():
+        bound = len(quality_rules.RULES) * quality_rules.RISK
+        assert r.x <= r.n * bound + 3 * math.sqrt(r.n * bound)
+
+
 def removed(df):
     return {(r.doc, r.no) for r in df.collect()}
 
