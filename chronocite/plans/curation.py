@@ -29,14 +29,6 @@ def pair_dedup(spark, sf):
     return cleaned(pairs(spark, sf)).withColumn("r", F.row_number().over(first)).where("r = 1").select(*ALL)
 
 
-REASON = "CASE WHEN from_id = to_id THEN 'dropped_self' WHEN from_no > 6 THEN 'from_missing' WHEN to_no % 10 = 3 THEN 'target_case_missing' WHEN to_id % 7 = 0 THEN 'target_paragraph_missing' WHEN date_from < date_to THEN 'temporal' ELSE 'kept' END"
-
-
-@query(f"SELECT {REASON} AS reason, count(*) AS n FROM ({PAIRS}) GROUP BY 1")
-def pair_drop_reasons(spark, sf):
-    return pairs(spark, sf).select(F.expr(REASON).alias("reason")).groupBy("reason").agg(F.count("*").alias("n"))
-
-
 @query(f"SELECT from_id, from_no, to_id, to_no, source FROM (SELECT *, row_number() OVER (PARTITION BY from_id, from_no, to_id, to_no ORDER BY source, date_from, date_to) AS r FROM (SELECT *, 0 AS source FROM ({PAIRS}) WHERE from_id % 3 <> 0 UNION ALL SELECT *, 1 FROM ({PAIRS}) WHERE from_id % 3 <> 1)) WHERE r = 1")
 def pair_union_merge(spark, sf):
     """Old and new pairs by name; of equal ones the old stays."""
