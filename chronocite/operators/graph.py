@@ -78,3 +78,98 @@ def acyclic(edges: DataFrame) -> DataFrame:
         if m in (0, n):
             return left
         n = m
+
+
+class Leak(ValueError):
+    """Links out of nodes that aren't in training."""
+
+
+def train_edges(edges: DataFrame, train: DataFrame) -> DataFrame:
+    """Edges out of training nodes (``train``: node)."""
+    return edges.join(train.select(F.col("node").alias("src")), "src", "left_semi")
+
+
+def check_train_only(edges: DataFrame, train: DataFrame) -> DataFrame:
+    """The edges, if all leave training nodes; else ``Leak`` with their number."""
+    n = edges.join(train.select(F.col("node").alias("src")), "src", "left_anti").count()
+    if n:
+        raise Leak(f"{n} edges leave nodes outside training")
+    return edges
+
+
+def ends(edges: DataFrame) -> DataFrame:
+    """(node): every node with a link."""
+    return edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
+
+
+def homogeneous(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+    """Typed edges: cites (0), cited_by (1) and, for ``nodes``, loops (2)."""
+    both = edges.select("src", "dst", F.lit(0).alias("type")).unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit(1).alias("type")))
+    return both if nodes is None else both.unionByName(nodes.select(F.col("node").alias("src"), F.col("node").alias("dst"), F.lit(2).alias("type")))
+
+
+def semantic(similar: DataFrame, references: DataFrame, articles: DataFrame) -> DataFrame:
+    """Typed edges without citations: similar_to both ways (0), to articles (1),
+    back from them (2), between articles both ways (3)."""
+    as_type = lambda df, k: df.select("src", "dst", F.lit(k).alias("type"))
+    back = lambda df: df.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    parts = [as_type(undirected(similar), 0), as_type(references, 1), as_type(back(references), 2), as_type(undirected(articles), 3)]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def mask_out(edges: DataFrame, anchors: DataFrame) -> DataFrame:
+    """Edges that don't leave an anchor."""
+    return edges.join(anchors.select(F.col("node").alias("src")), "src", "left_anti")
+
+
+def mask_cases(edges: DataFrame, anchors: DataFrame, members: DataFrame) -> DataFrame:
+    """Edges that touch no paragraph of an anchor's case (``members``: node, case)."""
+    cases = members.join(anchors, "node", "left_semi").select("case").distinct()
+    hidden = members.join(cases, "case", "left_semi").select("node").distinct()
+    return mask_out(mask_out(edges, hidden).select(F.col("dst").alias("src"), F.col("src").alias("dst")), hidden).select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+
+
+def mask_leaving(edges: DataFrame, anchors: DataFrame) -> DataFrame:
+    """Without the edges from an anchor to a node that is none."""
+    a = anchors.select("node").distinct()
+    marked = edges.join(a.select(F.col("node").alias("src"), F.lit(True).alias("__from")), "src", "left").join(a.select(F.col("node").alias("dst"), F.lit(True).alias("__to")), "dst", "left")
+    return marked.where("__from is null or __to is not null").drop("__from", "__to")
+
+
+def strong_components(edges: DataFrame) -> DataFrame:
+    """(node, component): nodes that reach each other share the least of them.
+
+    Each round colours the nodes left by the least node that reaches them; what
+    reaches back to its colour's own node, inside the colour, is a component.
+    """
+    left, done = cut(edges.select("src", "dst").where("src != dst").distinct()), None
+    nodes = cut(ends(edges))
+    while nodes.limit(1).count():
+        colour = _spread(left, nodes.select("node", F.col("node").alias("c")))
+        same = left.join(colour.select(F.col("node").alias("src"), F.col("c").alias("a")), "src").join(colour.select(F.col("node").alias("dst"), F.col("c").alias("b")), "dst").where("a = b")
+        back = cut(same.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+        found = front = cut(colour.where("node = c").select("node", F.col("c").alias("component")))
+        while front.limit(1).count():
+            step = front.select(F.col("node").alias("src"), "component").join(back, "src").select(F.col("dst").alias("node"), "component").distinct()
+            front = cut(step.join(found, "node", "left_anti"))
+            found = found.unionByName(front)
+        found = cut(found)
+        done = found if done is None else done.unionByName(found)
+        nodes = cut(nodes.join(found, "node", "left_anti"))
+        gone = found.select("node")
+        left = cut(mask_out(left, gone).join(gone.select(F.col("node").alias("dst")), "dst", "left_anti"))
+    return done if done is not None else nodes.select("node", F.col("node").alias("component"))
+
+
+def _spread(edges: DataFrame, labels: DataFrame) -> DataFrame:
+    """(node, c): the least label among the nodes that reach a node."""
+    labels = cut(labels)
+    while True:
+        got = edges.join(labels.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node")).agg(F.min("c").alias("n"))
+        after = cut(labels.join(got, "node", "left").select("node", F.least("c", F.coalesce("n", "c")).alias("c"), (F.col("n") < F.col("c")).alias("__changed")))
+        labels = after.drop("__changed")
+        if not after.where("__changed").limit(1).count():
+            return labels
