@@ -76,3 +76,22 @@ def language_text(t: Column) -> Column:
     """For language detection: no tags, lower case, single blanks; short: null."""
     flat = F.trim(F.regexp_replace(F.lower(F.regexp_replace(t, r"<[A-Z]+>", " ")), r"\s+", " "))
     return F.when(F.length(flat) >= 20, flat)
+
+
+def without_false_tags(t: Column) -> Column:
+    """((<DATE>)) loses its brackets; a <CASE> swallows a date or case tag before it."""
+    for p, r in ((r"\(\(<DATE>\)\)", "<DATE>"), (r"<DATE>\s+<CASE>", "<CASE>"), (r"<CASE>\s+<CASE>", "<CASE>")):
+        t = F.regexp_replace(t, p, r)
+    return F.trim(t)
+
+
+def words(t: Column) -> Column:
+    """Distinct lower-case words of three letters or more; what has digits,
+    hyphens or apostrophes in it is none."""
+    tokens = F.regexp_extract_all(t, F.lit(r"([\p{L}\p{N}_'-]+)"), F.lit(1))
+    return F.array_distinct(F.transform(F.filter(tokens, lambda x: x.rlike(r"^\p{L}{3,}$")), F.lower))
+
+
+def overlap(a: Column, b: Column) -> Column:
+    """Jaccard similarity of two sets; null where both are empty."""
+    return F.try_divide(F.size(F.array_intersect(a, b)), F.size(F.array_union(a, b)))

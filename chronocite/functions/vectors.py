@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -52,3 +54,27 @@ def sinusoid(x: Column, width: int) -> Column:
     half = width // 2
     freq = F.transform(F.sequence(F.lit(0), F.lit(half - 1)), lambda i: F.exp(i * F.log(F.lit(10_000.0)) / max(half - 1, 1)))
     return F.concat(F.transform(freq, lambda f: F.sin(x * f)), F.transform(freq, lambda f: F.cos(x * f)))
+
+
+def cosine(a: Column, b: Column) -> Column:
+    """Null where either has no length."""
+    return F.try_divide(dot(a, b), norm(a) * norm(b))
+
+
+def fused(parts: list[Column], weights: list[float]) -> Column:
+    """Sum of equally long vectors, weighted by the softmax of the weights."""
+    top = max(weights)
+    total = sum(math.exp(w - top) for w in weights)
+    shares = [math.exp(w - top) / total for w in weights]
+    out = F.transform(parts[0], lambda x: x.cast("double") * shares[0])
+    for part, share in zip(parts[1:], shares[1:], strict=True):
+        out = F.zip_with(out, part, lambda s, x, share=share: s + x.cast("double") * share)
+    return out
+
+
+def fitted(parts: list[Column], width: int) -> Column:
+    """The parts one after the other, cut or filled with zeros to ``width``; a
+    null part is empty."""
+    none = F.array().cast("array<double>")
+    joined = F.concat(*[F.coalesce(p.cast("array<double>"), none) for p in parts], F.array_repeat(F.lit(0.0), width))
+    return F.slice(joined, 1, width)

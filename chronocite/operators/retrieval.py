@@ -1,8 +1,8 @@
 """Chronological retrieval: a query sees only what is older.
 
-Top-k runs block against block: ids are cut into ranges, a pair of blocks is one
-numpy product, and each block pair keeps its own best k, so what is shuffled is
-k rows a query and block, whatever the number of documents.
+Top-k runs block against block: both sides are dealt into blocks by hash, a pair
+of blocks is one numpy product, and each pair keeps its own best k, so what a
+task holds is two blocks and what comes out is k rows a query and block.
 """
 
 from __future__ import annotations
@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.vectors import unit_length
+
 BLOCK = 2000
 
 
@@ -21,28 +23,84 @@ def dense_topk(queries: DataFrame, docs: DataFrame, k: int, *, strict_time: bool
 
     Both sides: id, time, vec.  With ``strict_time`` a document must be older.
     """
-    n = docs.count()
-    parts = max(1, -(-n // block))
-    left = queries.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    right = docs.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int"))
+    cores = queries.sparkSession.sparkContext.defaultParallelism
+
+    def dealt(df: DataFrame, n: int, name: str) -> tuple[DataFrame, int]:
+        # small tables get smaller blocks, so that every core has a pair
+        size = min(block, max(256, int(n / max(cores, 1) ** 0.5)))
+        parts = max(1, -(-n // size))
+        return df.select("id", "time", "vec", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias(name)), parts
+
+    left, left_parts = dealt(queries, queries.count(), "q")
+    right, right_parts = dealt(docs, docs.count(), "d")
+    left = left.withColumn("d", F.explode(F.sequence(F.lit(0), F.lit(right_parts - 1))))
+    right = right.withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(left_parts - 1))))
 
     def best(q: pd.DataFrame, d: pd.DataFrame) -> pd.DataFrame:
-        out = []
+        out = [pd.DataFrame({"query_id": np.zeros(0, int), "doc_id": np.zeros(0, int), "score": np.zeros(0)})]
         if len(q) and len(d):
+            d = d.sort_values("id")
             a, b = np.stack(q["vec"]).astype(float), np.stack(d["vec"]).astype(float)
-            ids, dt = d["id"].to_numpy(), d["time"].to_numpy()
+            ids, times = d["id"].to_numpy(), d["time"].to_numpy()
             for s in range(0, len(a), 512):
+                own, at = q["id"].to_numpy()[s : s + 512], q["time"].to_numpy()[s : s + 512]
                 scores = np.round(a[s : s + 512] @ b.T, digits)
-                for r, (i, t) in enumerate(zip(q["id"].iloc[s : s + 512], q["time"].iloc[s : s + 512], strict=True)):
-                    ok = np.flatnonzero(dt < t) if strict_time else np.flatnonzero(ids != i)
-                    top = ok[np.lexsort((ids[ok], -scores[r, ok]))[:k]]
-                    out.append(pd.DataFrame({"query_id": i, "doc_id": ids[top], "score": scores[r, top]}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": np.zeros(0, int), "doc_id": np.zeros(0, int), "score": np.zeros(0)})
-
-    found = left.groupBy("part").cogroup(right.groupBy("part")).applyInPandas(best, "query_id long, doc_id long, score double")
+                allowed = times[None, :] < at[:, None] if strict_time else ids[None, :] != own[:, None]
+                worse = np.where(allowed, -scores, np.inf)
+                # all that tie with the k-th stay until ids decide
+                last = np.partition(worse, min(k, worse.shape[1]) - 1, axis=1)[:, min(k, worse.shape[1]) - 1]
+                row, col = np.nonzero(allowed & (worse <= last[:, None]))
+                order = np.lexsort((col, worse[row, col], row))
+                row, col = row[order], col[order]
+                place = np.arange(len(row)) - np.searchsorted(row, row)
+                row, col = row[place < k], col[place < k]
+                out.append(pd.DataFrame({"query_id": own[row], "doc_id": ids[col], "score": scores[row, col]}))
+        return pd.concat(out)
+
+    found = left.groupBy("q", "d").cogroup(right.groupBy("q", "d")).applyInPandas(best, "query_id long, doc_id long, score double")
     return ranked(found, k)
 
 
+class Index:
+    """Vectors by id, added, replaced and removed; searched by inner product with
+    unit-length queries.
+
+    It holds a plan, not rows: each change is a version, the last of an id counts.
+    """
+
+    def __init__(self):
+        self.reset()
+
+    def reset(self) -> None:
+        self._log, self._version = None, 0
+
+    def add(self, rows: DataFrame) -> Index:
+        """id, time, vec; an id that is there already is replaced."""
+        return self._append(rows.select("id", F.struct("time", "vec").alias("entry")))
+
+    def remove(self, ids: DataFrame) -> Index:
+        if self._log is not None:
+            kind = self._log.schema["entry"].dataType
+            self._append(ids.select("id", F.lit(None).cast(kind).alias("entry")))
+        return self
+
+    def _append(self, rows: DataFrame) -> Index:
+        self._version += 1
+        rows = rows.withColumn("version", F.lit(self._version))
+        self._log = rows if self._log is None else self._log.unionByName(rows)
+        return self
+
+    def rows(self) -> DataFrame:
+        """id, time, vec of what is in the index; an empty one has no plan yet."""
+        if self._log is None:
+            raise ValueError("nothing was added to the index")
+        last = self._log.groupBy("id").agg(F.max_by(F.struct("entry"), "version").alias("last"))
+        return last.select("id", "last.entry.*").where("vec is not null")
+
+    def search(self, queries: DataFrame, k: int, *, strict_time: bool = True) -> DataFrame:
+        return dense_topk(queries.withColumn("vec", unit_length(F.col("vec"))), self.rows(), k, strict_time=strict_time)
+
+
 def ranked(scored: DataFrame, k: int, by: Column | None = None) -> DataFrame:
     w = W.partitionBy("query_id").orderBy((F.col("score") if by is None else by).desc(), F.col("doc_id"))
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
