@@ -48,3 +48,8 @@ def expand_range(text: Column) -> Column:
     ends = lambda x: F.split(x, "-")
     one = lambda x: F.when(number(F.get(ends(x), F.lit(1))) >= number(F.get(ends(x), F.lit(0))), F.sequence(number(F.get(ends(x), F.lit(0))), number(F.get(ends(x), F.lit(1))))).otherwise(F.array(number(F.get(ends(x), F.lit(0)))))
     return F.array_compact(F.array_distinct(F.flatten(F.transform(F.split(tight, r"\s+"), one))))
+
+
+def epoch(iso: Column) -> Column:
+    """Seconds of an ISO date at midnight UTC; 0 for what is no date."""
+    return F.coalesce(F.unix_date(F.try_to_date(iso, "yyyy-MM-dd")).cast("long") * 86400, F.lit(0).cast("long"))

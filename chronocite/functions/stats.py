@@ -111,4 +111,4 @@ def correlation_p(r: float, n: int) -> float:
 def strength(r: Column) -> Column:
     """The size of a correlation in words."""
     a = F.abs(r)
-    return F.when(a >= 0.7, "strong").when(a >= 0.4, "moderate").when(a >= 0.2, "weak").when(a.isNotNull(), "negligible")
+    return F.when(a < 0.1, "negligible").when(a < 0.3, "weak").when(a < 0.5, "moderate").when(a < 0.7, "strong").when(a.isNotNull(), "very strong")

@@ -66,12 +66,16 @@ def fused(parts: list[Column], weights: list[float]) -> Column:
     top = max(weights)
     total = sum(math.exp(w - top) for w in weights)
     shares = [math.exp(w - top) / total for w in weights]
-    out = F.transform(parts[0], lambda x: x.cast("double") * shares[0])
+    out = F.transform(parts[0], _times(shares[0]))
     for part, share in zip(parts[1:], shares[1:], strict=True):
-        out = F.zip_with(out, part, lambda s, x, share=share: s + x.cast("double") * share)
+        out = F.zip_with(out, F.transform(part, _times(share)), lambda s, x: s + x)
     return out
 
 
+def _times(share: float):
+    return lambda x: x.cast("double") * share
+
+
 def fitted(parts: list[Column], width: int) -> Column:
     """The parts one after the other, cut or filled with zeros to ``width``; a
     null part is empty."""

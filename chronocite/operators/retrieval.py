@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.vectors import unit_length
+from ..functions.vectors import dot, unit_length
 
 BLOCK = 2000
 
@@ -144,3 +144,22 @@ def tfidf(counts: DataFrame) -> DataFrame:
     idf = counts.groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(n), F.lit(True)).select("term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
     raw = counts.join(idf, "term").withColumn("w", F.col("tf") * F.col("idf"))
     return raw.withColumn("weight", F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(W.partitionBy("id")))).select("id", "term", "weight")
+
+
+def info_nce(pairs: DataFrame, temperature: float) -> DataFrame:
+    """(batch, loss): mean cross-entropy of each anchor's own positive among the
+    positives of its batch.
+
+    ``pairs``: batch, id, anchor, positive, source, target, time, positive_time.
+    Another pair's positive is no negative where the batch has a pair of this
+    source and that target, or where it isn't older than the anchor.  Batches are
+    of a size that is chosen, so the join within one is bounded.
+    """
+    other = pairs.select("batch", F.col("id").alias("j"), F.col("positive").alias("pj"), F.col("target").alias("tj"), F.col("positive_time").alias("uj"))
+    known = pairs.select("batch", "source", F.col("target").alias("tj"), F.lit(True).alias("known")).distinct()
+    both = pairs.join(other, "batch").join(known, ["batch", "source", "tj"], "left")
+    own = F.col("id") == F.col("j")
+    s = both.where(own | (F.col("known").isNull() & (F.col("uj") < F.col("time")))).select("batch", "id", own.alias("own"), (dot(F.col("anchor"), F.col("pj")) / temperature).alias("s"))
+    top = s.withColumn("top", F.max("s").over(W.partitionBy("batch", "id")))
+    each = top.groupBy("batch", "id").agg((F.first("top") + F.log(F.sum(F.exp(F.col("s") - F.col("top")))) - F.max(F.when(F.col("own"), F.col("s")))).alias("loss"))
+    return each.groupBy("batch").agg(F.avg("loss").alias("loss"))

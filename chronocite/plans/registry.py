@@ -23,7 +23,7 @@ def query(sql: str | None = None, name: str | None = None):
 
 
 def load() -> None:
-    from . import analytics, curation, evaluation, graphs, masks, metadata, pairs, parsing, texts, times  # noqa: F401
+    from . import analytics, columns, curation, evaluation, graphs, masks, metadata, pairs, parsing, texts, times  # noqa: F401
 
 
 load()
