@@ -42,20 +42,32 @@ def weak_components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def pagerank(edges: DataFrame, rounds: int = 20, alpha: float = 0.85) -> DataFrame:
-    """(node, rank); the mass of nodes without links is spread evenly."""
-    nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct().persist()
+def pagerank(edges: DataFrame, rounds: int = 20, alpha: float = 0.85, every: int = 5) -> DataFrame:
+    """(node, rank); the mass of nodes without links is spread evenly.
+
+    The mass lost in a round is an aggregate of one row inside the round's plan;
+    rounds are kept in memory or on executors' disks, and every few rounds a
+    checkpoint cuts the lineage.
+    """
+    nodes = cut(edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct().join(edges.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("links")), "node", "left"))
     n = nodes.count()
-    links = edges.join(edges.groupBy("src").agg(F.count("*").alias("links")), "src").persist()
-    sinks = nodes.join(edges.select(F.col("src").alias("node")), "node", "left_anti").persist()
+    links, kept = edges.select("src", "dst").persist(), []
     rank = nodes.withColumn("rank", F.lit(1.0 / max(n, 1)))
-    for k in range(rounds):
-        lost = rank.join(sinks, "node").agg(F.coalesce(F.sum("rank"), F.lit(0.0))).first()[0]
-        sent = links.join(rank.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("rank") / F.col("links")).alias("got"))
-        after = nodes.join(sent, "node", "left").select("node", (F.lit((1 - alpha) / n + alpha * lost / n) + alpha * F.coalesce("got", F.lit(0.0))).alias("rank"))
-        # a round is read twice by the next
-        rank = cut(after) if k < rounds - 1 else after
-    return rank
+    for k in range(1, rounds + 1):
+        lost = rank.agg(F.coalesce(F.sum(F.when(F.col("links").isNull(), F.col("rank"))), F.lit(0.0)).alias("lost"))
+        sent = links.join(rank.select(F.col("node").alias("src"), (F.col("rank") / F.col("links")).alias("share")), "src").groupBy(F.col("dst").alias("node")).agg(F.sum("share").alias("got"))
+        after = nodes.join(sent, "node", "left").join(F.broadcast(lost), F.lit(True))
+        rank = after.select("node", "links", (F.lit((1 - alpha) / max(n, 1)) + alpha * F.col("lost") / max(n, 1) + alpha * F.coalesce("got", F.lit(0.0))).alias("rank"))
+        if k == rounds or k % every == 0:
+            rank = cut(rank)
+            for df in kept:
+                df.unpersist()
+            kept = []
+        else:
+            rank = rank.persist()
+            kept.append(rank)
+    links.unpersist()
+    return rank.select("node", "rank")
 
 
 def distances(edges: DataFrame, sources: DataFrame, most: int) -> DataFrame:
@@ -173,3 +185,35 @@ def _spread(edges: DataFrame, labels: DataFrame) -> DataFrame:
         labels = after.drop("__changed")
         if not after.where("__changed").limit(1).count():
             return labels
+
+
+def betweenness(edges: DataFrame, pivots: DataFrame) -> DataFrame:
+    """(node, centrality): shares of shortest paths from the pivots (node) through
+    a node, scaled to all sources and to [0, 1]; nodes off every path have none.
+
+    Paths are counted level by level away from the pivots, dependencies are
+    summed level by level back; rows are (pivot, node) pairs that are reached.
+    """
+    edges = edges.select("src", "dst").where("src != dst").distinct()
+    n, k = ends(edges).count(), pivots.count()
+    levels = [cut(pivots.select(F.col("node").alias("source"), "node", F.lit(1.0).alias("paths")))]
+    seen = levels[0].select("source", "node")
+    while True:
+        step = levels[-1].withColumnRenamed("node", "src").join(edges, "src").groupBy("source", F.col("dst").alias("node")).agg(F.sum("paths").alias("paths"))
+        front = cut(step.join(seen, ["source", "node"], "left_anti"))
+        if not front.limit(1).count():
+            break
+        levels.append(front)
+        seen = seen.unionByName(front.select("source", "node"))
+    through = below = None
+    for level in reversed(levels):
+        if below is None:
+            own = level.withColumn("through", F.lit(0.0))
+        else:
+            back = below.withColumnRenamed("node", "dst").select("source", "dst", ((1 + F.col("through")) / F.col("paths")).alias("unit")).join(edges, "dst")
+            part = back.groupBy("source", F.col("src").alias("node")).agg(F.sum("unit").alias("unit"))
+            own = cut(level.join(part, ["source", "node"], "left").select("source", "node", "paths", (F.col("paths") * F.coalesce("unit", F.lit(0.0))).alias("through")))
+        through = own if through is None else through.unionByName(own)
+        below = own
+    scale = n / (max(k, 1) * max((n - 1) * (n - 2), 1))
+    return through.where("node != source").groupBy("node").agg((F.sum("through") * scale).alias("centrality"))

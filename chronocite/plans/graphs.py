@@ -159,3 +159,11 @@ def date_features(spark, sf):
 def edge_masking(spark, sf):
     """Training masks: no edge out of an anchor, no citation into one."""
     return pairs(spark, sf).where("not (from_id % 20 = 0 or (to_id % 20 = 0 and from_no in (0, 1)))").agg(F.count("*").alias("kept"), F.count_if(F.col("from_no") == 1).alias("into_anchor"))
+
+
+@query()
+def betweenness_sampled(spark, sf):
+    """From 500 pivots, picked by a seeded hash: a sampling operator."""
+    e = edges(spark, sf)
+    pivots = G.ends(e).orderBy(F.md5(F.concat(F.col("node").cast("string"), F.lit("-42"))), "node").limit(500)
+    return G.betweenness(e, pivots).select("node", F.round("centrality", 9).alias("centrality"))

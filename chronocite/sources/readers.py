@@ -109,3 +109,17 @@ def write_ids(df: DataFrame, path: str) -> None:
 def pending(ids: DataFrame, done: DataFrame) -> DataFrame:
     """Ids without a result yet: the resume of a harvest."""
     return ids.join(done.select("id"), "id", "left_anti")
+
+
+def read_language_mapping(spark: SparkSession, path: str) -> DataFrame:
+    """(celex, number, lang) of {celex: {number: lang}}; a null language is 'unknown'."""
+    whole = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "map<string,map<string,string>>")).alias("celex", "numbers"))
+    return whole.select("celex", F.explode("numbers").alias("number", "lang")).select("celex", F.col("number").try_cast("int").alias("number"), F.coalesce("lang", F.lit("unknown")).alias("lang"))
+
+
+def write_judgments(paragraphs: DataFrame, path: str) -> None:
+    """A JSON line a case: {celex, date, paragraphs: {number: text}}; of equal
+    numbers the least text is kept.  Paragraphs: celex, date, number, text."""
+    one = paragraphs.where("number is not null").groupBy("celex", "number").agg(F.min("text").alias("text"), F.min("date").alias("date"))
+    entry = F.transform(F.array_sort(F.collect_list(F.struct("number", "text"))), lambda x: F.struct(x["number"].cast("string"), x["text"]))
+    one.groupBy("celex").agg(F.date_format(F.min("date"), "yyyy-MM-dd").alias("date"), F.map_from_entries(entry).alias("paragraphs")).write.mode("overwrite").json(path)

@@ -68,3 +68,27 @@ def test_strong_components(spark):
     got = {r.node: r.component for r in G.strong_components(edges).collect()}
     assert got == {1: 1, 2: 1, 3: 1, 4: 4, 5: 4, 6: 6}
     assert G.strong_components(edges.limit(0)).count() == 0
+
+
+def test_betweenness(spark):
+    pairs = [(1, 2), (2, 3), (1, 4), (4, 3), (3, 5), (5, 1), (6, 2)]
+    edges = spark.createDataFrame(pairs, "src long, dst long")
+    nodes = sorted({x for p in pairs for x in p})
+    out = {v: [b for a, b in pairs if a == v] for v in nodes}
+
+    def shortest(a, b):
+        found, front = [], [[a]]
+        while front and not found:
+            front = [[*p, w] for p in front for w in out[p[-1]] if w not in p]
+            found = [p for p in front if p[-1] == b]
+        return found
+
+    want = dict.fromkeys(nodes, 0.0)
+    for a in nodes:
+        for b in nodes:
+            paths = shortest(a, b) if a != b else []
+            for v in {v for p in paths for v in p[1:-1]}:
+                want[v] += sum(v in p for p in paths) / len(paths)
+    n = len(nodes)
+    got = {r.node: r.centrality for r in G.betweenness(edges, G.ends(edges)).collect()}
+    assert {v: got.get(v, 0.0) for v in nodes} == pytest.approx({v: x / ((n - 1) * (n - 2)) for v, x in want.items()})

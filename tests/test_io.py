@@ -73,3 +73,12 @@ def test_replay_scores_before_adding(spark, tmp_path):
     rows = [(r.event_id, r.user_id, r.ts) for r in e.collect()]
     seen = lambda i, j: j % 2 < i % 2 or j % 2 == i % 2
     assert got == {i: sum(v == u and t < s and seen(i, j) for j, v, t in rows) for i, u, s in rows}
+
+
+def test_language_mapping_and_judgments(spark, tmp_path):
+    (tmp_path / "lang.json").write_text('{"a": {"1": "eng", "2": null}, "b": {}}')
+    assert sorted(map(tuple, readers.read_language_mapping(spark, str(tmp_path / "lang.json")).collect())) == [("a", 1, "eng"), ("a", 2, "unknown")]
+    rows = spark.createDataFrame([("a", "2001-02-03", 10, "x"), ("a", "2001-02-03", 2, "y"), ("a", "2001-02-03", 2, "z"), ("b", None, None, "n")], "celex string, date string, number int, text string")
+    readers.write_judgments(rows.withColumn("date", F.to_date("date")), str(tmp_path / "out"))
+    got = [json.loads(line) for f in sorted((tmp_path / "out").glob("part-*")) for line in f.read_text().splitlines()]
+    assert got == [{"celex": "a", "date": "2001-02-03", "paragraphs": {"2": "y", "10": "x"}}]
