@@ -1,7 +1,7 @@
 """Text cleaning and masking of citations, dates and verbatim passages.
 
 The order is fixed: white space, paragraph number, citations, dates, spacing,
-repeated tags.  Patterns are plain and linear; all run in the JVM.
+repeated tags, false tags.  Patterns are plain and linear; all run in the JVM.
 """
 
 from __future__ import annotations
@@ -9,13 +9,27 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Month names and citation markers in English and French.
-MONTHS = "January|February|March|April|May|June|July|August|September|October|November|December|janvier|février|mars|avril|mai|juin|juillet|août|septembre|octobre|novembre|décembre"
-CASE = r"(?iU)\b(?:joined\s+cases?|cases?|affaires?(?:\s+jointes)?)\s+(?:[CTF][-‑–])?\d{1,4}/\d{2}(?:\s*(?:,|and|et|to|à)\s*(?:[CTF][-‑–])?\d{1,4}/\d{2})*"
-REPORT = r"(?iU)\[\d{4}\]\s+(?:ECR|Rec\.?)\s+(?:[IV]+[-‑–])?\d+|\bECLI:EU:[CTF]:\d{4}:\d+"
-PARAGRAPH = r"(?iU)\b(?:paragraphs?|points?)\s+\d+(?:\s*(?:,|and|et|to|à|[-–])\s*\d+)*"
-DATES = (rf"(?iU)\b\d{{1,2}}(?:er)?\s+(?:{MONTHS})\s+\d{{4}}\b", rf"(?iU)\b(?:{MONTHS})\s+\d{{1,2}},\s*\d{{4}}\b", rf"(?iU)\b(?:{MONTHS})\s+\d{{4}}\b", r"\b\d{4}-\d{2}-\d{2}\b", r"\b\d{1,2}[./]\d{1,2}[./]\d{4}\b")
-JOURNAL = r"(?iU)\b(OJ|JO)\s+(\d{4})\b"
+# Month names, whole and short, and citation markers in English and French.
+MONTHS = (
+    "January Jan February Feb March Mar April Apr May June Jun July Jul August Aug September Sept Sep October Oct November Nov December Dec "
+    "janvier janv février fév mars avril avr mai juin juillet juil août septembre sept octobre oct novembre nov décembre déc"
+)
+DASH = "[-‐-—−­]"
+NUMBER = rf"(?:[CTF]\s*{DASH}?\s*)?\d{{1,4}}/\d{{2,4}}(?:\s+(?:P|PPU|R|REV|RX)\b)?"
+CASE = rf"(?iU)\b(?:joined\s+cases?|cases?|affaires?(?:\s+jointes)?)\s+{NUMBER}(?:\s*(?:,|and|et|to|à|&|{DASH})\s*{NUMBER})*"
+REPORT = rf"(?iU)(?:\[\d{{4}}\]\s+)?\b(?:ECR|Rec\.?)\s+(?:[IVX]+\s*{DASH}\s*)?\d+|\[(?:19|20)\d{{2}}\]|\b(?:ECLI:)?EU:[CTF]:\d{{4}}:\d+"
+PARAGRAPH = rf"(?iU)\b(?:paragraphe?s?|paras?\.?|points?|alinéas?|al\.)\s+\d+(?:\s*(?:,|and|et|to|through|à|&|{DASH})\s*\d+)*"
+_MONTH, _DAY, _YEAR = f"(?:{'|'.join(MONTHS.split())})", r"\d{1,2}(?:st|nd|rd|th|er)?", r"(?:19|20)\d{2}"
+#: In this order; a bare year stays in brackets, before ')', after '/' and 'No'.
+DATES = (
+    rf"\b\d{{1,2}}[./\s-]\d{{1,2}}[./\s-]{_YEAR}\b",
+    rf"\b{_YEAR}[./\s-]\d{{1,2}}[./\s-]\d{{1,2}}\b",
+    rf"(?iU)\b{_MONTH}\s+{_DAY},?\s+{_YEAR}\b",
+    rf"(?iU)\b{_DAY}\s+{_MONTH},?\s*{_YEAR}\b",
+    rf"(?iU)\b{_YEAR}\s+{_MONTH}\s+{_DAY}\b",
+    rf"(?i)(?<![/\[\d])(?<!No\s)\b{_YEAR}\b(?![\])/])",
+)
+JOURNAL = r"\(OJ\s+\d{4}[^)]+\)"
 
 
 def whitespace(t: Column) -> Column:
@@ -23,8 +37,11 @@ def whitespace(t: Column) -> Column:
 
 
 def without_number(t: Column) -> Column:
-    """A leading paragraph number goes, but not in 'NN of [' """
-    return F.when(t.rlike(r"^\s*\d+\s+of\s+\["), t).otherwise(F.regexp_replace(t, r"^\s*\d+\.?\s+", ""))
+    """A leading paragraph number goes, but not in 'NN of ['; blanks at the end
+    stay."""
+    tail = F.regexp_extract(t, r"( *)$", 1)
+    bare = F.when(t.rlike(r"^\s*\d+\s+of\s+\["), t).otherwise(F.regexp_replace(t, r"^\s*\d+[.)]?\s*", ""))
+    return F.concat(F.trim(bare), tail)
 
 
 def without_citations(t: Column) -> Column:
@@ -33,24 +50,41 @@ def without_citations(t: Column) -> Column:
 
 
 def without_dates(t: Column) -> Column:
-    """Dates become <DATE>; years of official-journal references stay."""
-    t = F.regexp_replace(t, JOURNAL, "$1 \u0001$2\u0001")
-    for p in DATES:
-        t = F.regexp_replace(t, p, "<DATE>")
-    return F.replace(t, F.lit("\u0001"), F.lit(""))
+    """Dates become <DATE>; references '(OJ 2004 ...)' stay whole."""
+
+    def masked(x: Column) -> Column:
+        for p in DATES:
+            x = F.regexp_replace(x, p, "<DATE>")
+        return x
+
+    kept = F.regexp_extract_all(t, F.lit(f"({JOURNAL})"), F.lit(1))
+    around = F.transform(F.split(t, JOURNAL), masked)
+    return F.when(t.contains("(OJ"), F.array_join(F.zip_with(around, kept, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")).otherwise(masked(t))
 
 
 def spacing(t: Column) -> Column:
-    for p, r in ((r"\s+([,.;:!?)])", "$1"), (r"\(\s+", "("), (r" {3,}", "  ")):
+    """Blanks around commas, full stops, brackets and inside quotes."""
+    for p, r in ((r"\s+([,.])", "$1"), (r"([,.])\s+", "$1 "), (r"\s+\)", ")"), (r"\(\s+", "("), (r"(\s)?'\s*([^']+?)\s*'(\s)?", "$1'$2'$3"), (r" {3,}", "  ")):
         t = F.regexp_replace(t, p, r)
-    return t
+    return F.trim(t)
+
+
+_ONE = "<CASE>"
+_CHAIN = rf"{_ONE}(?:,?\s*{_ONE}|\s*\(\s*{_ONE}\s*\)|\s*\[\s*{_ONE}\s*\]|\s*\(+\s*<DATE>\s*\)+\s*{_ONE}|\s*<DATE>\s*{_ONE})+"
+
 
+def single_tags(t: Column, deep: int = 3) -> Column:
+    """Case tags that follow each other become one, through brackets and dates as
+    well, to ``deep`` levels of brackets.
 
-def single_tags(t: Column) -> Column:
-    """Runs of one tag, with connectors between, become one."""
-    for tag in ("CASE", "PARAGRAPH", "DATE"):
-        t = F.regexp_replace(t, rf"<{tag}>(?:[\s,;]*(?:and|et|or|ou)?[\s,;]*<{tag}>)+", f"<{tag}>")
-    return t
+    Where some did, 'and' or 'et' between the tags of '<CASE>, <PARAGRAPH>, and
+    <CASE>' goes.
+    """
+    before, out = t, t
+    for _ in range(deep):
+        out = F.regexp_replace(out, _CHAIN, _ONE)
+    joined = F.regexp_replace(out, rf"{_ONE},\s+<PARAGRAPH>,\s+(?:and|et|&)\s+{_ONE}", f"{_ONE}, <PARAGRAPH>, {_ONE}")
+    return F.trim(F.when(before.contains(f"{_ONE}, {_ONE}") | before.contains(f"{_ONE} {_ONE}"), joined).otherwise(out))
 
 
 def clean(t: Column, *, citations: bool = True, dates: bool = True, numbers: bool = True) -> Column:
@@ -61,7 +95,7 @@ def clean(t: Column, *, citations: bool = True, dates: bool = True, numbers: boo
         t = without_citations(t)
     if dates:
         t = without_dates(t)
-    return single_tags(spacing(t))
+    return without_false_tags(single_tags(spacing(t)))
 
 
 def number_ranges(t: Column) -> Column:

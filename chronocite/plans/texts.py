@@ -27,8 +27,8 @@ def clean_text(spark, sf):
 
 @query()
 def mask_dates(spark, sf):
-    """Turns of conversations with a date and an official-journal year added."""
-    t = C.without_dates(F.concat(F.col("text"), F.lit(" On 12 May 2004 and 2004-05-12, OJ 2004 L 1.")))
+    """Turns of conversations with dates and an official-journal reference added."""
+    t = C.without_dates(F.concat(F.col("text"), F.lit(" On 12 May 2004 and 2004-05-12 (OJ 2004 L 1).")))
     return table(spark, sf, "conversations").select("conv_id", "turn", t.alias("masked"))
 
 

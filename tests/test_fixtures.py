@@ -96,9 +96,19 @@ def test_spans_are_ordered_and_inside(a, b):
 
 def test_cleaning(spark):
     clean = lambda t, **k: one(spark, cleaning.clean(F.lit(t), **k))
-    assert clean("25. See  Case C-12/90 and Cases C-1/91, C-2/92 [1990] ECR I-55, paragraph 12 and 13 , of 3 May 2004.") == "See <CASE>, <PARAGRAPH>, of <DATE>."
+    assert clean("25. See  Case C-12/90 and Cases C-1/91, C-2/92 [1990] ECR I-55, paragraph 12 and 13 , of 3 May 2004.") == "See <CASE> and <CASE>, <PARAGRAPH>, of <DATE>."
     assert clean("12 of [1990] x", citations=False, dates=False) == "12 of [1990] x"
-    assert clean("OJ 2004 L 1, 2004-05-03") == "OJ 2004 L 1, <DATE>"
+    assert clean("3) Joined Cases C–12/90 and 13/90, EU:C:1990:5 (<CASE>) say ' it ' ( so )") == "<CASE> say 'it' (so)"
+    assert clean("<CASE>, <CASE>, <PARAGRAPH>, et <CASE>") == "<CASE>, <PARAGRAPH>, <CASE>"
+    assert clean("1 May 2004", numbers=False) == "<DATE>"
+
+
+def test_dates(spark):
+    dates = lambda t: one(spark, cleaning.without_dates(F.lit(t)))
+    assert dates("a 12.05.2004, 2004-5-1, March 3rd, 2004, 3 mars 2004, 2004 Sept 3, in 2004") == "a <DATE>, <DATE>, <DATE>, <DATE>, <DATE>, in <DATE>"
+    assert dates("(OJ 2004 L 1, 1 May 2004) x 2003 (OJ 2001 C 2)") == "(OJ 2004 L 1, 1 May 2004) x <DATE> (OJ 2001 C 2)"
+    assert dates("No 2004 17/2004 [2004] (2004)") == "No 2004 17/2004 [2004] (2004)"
+    assert dates("(OJ") == "(OJ" and dates("") == "" and one(spark, cleaning.without_dates(F.lit(None).cast("string"))) is None
     assert one(spark, cleaning.language_text(F.lit("<CASE> short"))) is None
 
 
