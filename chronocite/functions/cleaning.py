@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .binding import let
+
 # Month names, whole and short, and citation markers in English and French.
 MONTHS = (
     "January Jan February Feb March Mar April Apr May June Jun July Jul August Aug September Sept Sep October Oct November Nov December Dec "
@@ -39,14 +41,23 @@ def whitespace(t: Column) -> Column:
 def without_number(t: Column) -> Column:
     """A leading paragraph number goes, but not in 'NN of ['; blanks at the end
     stay."""
-    tail = F.regexp_extract(t, r"( *)$", 1)
-    bare = F.when(t.rlike(r"^\s*\d+\s+of\s+\["), t).otherwise(F.regexp_replace(t, r"^\s*\d+[.)]?\s*", ""))
-    return F.concat(F.trim(bare), tail)
+
+    def bare(x: Column) -> Column:
+        rest = F.when(x.rlike(r"^\s*\d+\s+of\s+\["), x).otherwise(F.regexp_replace(x, r"^\s*\d+[.)]?\s*", ""))
+        return F.concat(F.trim(rest), F.repeat(F.lit(" "), F.length(x) - F.length(F.rtrim(x))))
+
+    return let(t, bare)
+
+
+def _replaced(t: Column, pattern: str, tag: str, needs: str) -> Column:
+    """Replace a costly pattern only in texts that hold what every match needs."""
+    return let(t, lambda x: F.when(x.rlike(needs), F.regexp_replace(x, pattern, tag)).otherwise(x))
 
 
 def without_citations(t: Column) -> Column:
-    t = F.regexp_replace(F.regexp_replace(t, CASE, "<CASE>"), REPORT, "<CASE>")
-    return F.regexp_replace(t, PARAGRAPH, "<PARAGRAPH>")
+    t = _replaced(t, CASE, "<CASE>", r"\d/\d\d")
+    t = _replaced(t, REPORT, "<CASE>", r"(?i)\bECR|\bRec|EU:[CTF]:|\[(?:19|20)\d\d\]")
+    return _replaced(t, PARAGRAPH, "<PARAGRAPH>", r"(?i)(?:para[a-z]*|points?|alin\S*|al)\.?\s+\d")
 
 
 def without_dates(t: Column) -> Column:
@@ -57,9 +68,12 @@ def without_dates(t: Column) -> Column:
             x = F.regexp_replace(x, p, "<DATE>")
         return x
 
-    kept = F.regexp_extract_all(t, F.lit(f"({JOURNAL})"), F.lit(1))
-    around = F.transform(F.split(t, JOURNAL), masked)
-    return F.when(t.contains("(OJ"), F.array_join(F.zip_with(around, kept, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")).otherwise(masked(t))
+    def apart(x: Column) -> Column:
+        kept = F.regexp_extract_all(x, F.lit(f"({JOURNAL})"), F.lit(1))
+        return F.array_join(F.zip_with(F.transform(F.split(x, JOURNAL), masked), kept, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+
+    # every form has a year
+    return let(t, lambda x: F.when(~x.rlike(_YEAR), x).when(x.contains("(OJ"), apart(x)).otherwise(masked(x)))
 
 
 def spacing(t: Column) -> Column:
@@ -80,11 +94,15 @@ def single_tags(t: Column, deep: int = 3) -> Column:
     Where some did, 'and' or 'et' between the tags of '<CASE>, <PARAGRAPH>, and
     <CASE>' goes.
     """
-    before, out = t, t
-    for _ in range(deep):
-        out = F.regexp_replace(out, _CHAIN, _ONE)
-    joined = F.regexp_replace(out, rf"{_ONE},\s+<PARAGRAPH>,\s+(?:and|et|&)\s+{_ONE}", f"{_ONE}, <PARAGRAPH>, {_ONE}")
-    return F.trim(F.when(before.contains(f"{_ONE}, {_ONE}") | before.contains(f"{_ONE} {_ONE}"), joined).otherwise(out))
+
+    def joined(x: Column) -> Column:
+        out = x
+        for _ in range(deep):
+            out = F.regexp_replace(out, _CHAIN, _ONE)
+        bare = lambda y: F.regexp_replace(y, rf"{_ONE},\s+<PARAGRAPH>,\s+(?:and|et|&)\s+{_ONE}", f"{_ONE}, <PARAGRAPH>, {_ONE}")
+        return F.when(x.contains(f"{_ONE}, {_ONE}") | x.contains(f"{_ONE} {_ONE}"), bare(out)).otherwise(out)
+
+    return let(t, lambda x: F.trim(F.when(x.contains(_ONE), joined(x)).otherwise(x)))
 
 
 def clean(t: Column, *, citations: bool = True, dates: bool = True, numbers: bool = True) -> Column:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import identifiers as ids
+from ..functions.binding import let
 
 # Where the fields are in a notice (inside our element r).
 PATHS = {
@@ -49,11 +50,6 @@ def first(xml: Column, path: str) -> Column:
     return F.get(texts(xml, path), F.lit(0))
 
 
-def let(value: Column, use) -> Column:
-    """``use`` of a value that is computed once, however often it is named."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def fragments(xml: Column, tag: str) -> Column:
     """The text of each element of that name, in order; never null for a text."""
     return F.regexp_extract_all(xml, F.lit(rf"(?s)(<{tag}(?:\s(?:[^>]*[^/>])?)?>.*?</{tag}>)"), F.lit(1))
