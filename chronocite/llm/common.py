@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,6 +14,9 @@ SPACES = "\x20\x09\x0a\x0b\x0c\x0d"
 #: ASCII-only lower case, as the contracts ask (``lower`` would fold more).
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
+#: Seconds that executors get to delete files.
+PAUSE = 2.0
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -67,6 +71,12 @@ class Scratch:
         where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
 
     def free(self) -> None:
-        """Let Spark drop the shuffle files of plans that are done and no longer held."""
+        """Let Spark drop the shuffle files of plans that are done and no longer held.
+
+        The last plan stays held until another has run, so an empty one does;
+        files go in the background, so there is a pause before more are written.
+        """
+        self.spark.range(0).count()
         gc.collect()
         self.spark._jvm.System.gc()
+        time.sleep(PAUSE)

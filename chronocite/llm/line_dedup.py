@@ -409,8 +409,8 @@ def lines_asked(pairs: DataFrame):
 
 
 def verified(pairs: DataFrame, tokens: DataFrame, scratch: Scratch, label: str) -> DataFrame:
-    """(doc, no) of the pairs that are similar, on their whole token sets."""
-    pairs = scratch.save(pairs, f"{label}-pairs")
+    """(doc, no) of the pairs that are similar, on their whole token sets; the
+    pairs are the table ``label``-pairs, which is dropped."""
     held = lines_asked(pairs)
 
     def picked(batches: Batches) -> Batches:
@@ -462,10 +462,15 @@ def removals(docs: DataFrame, scratch: Scratch, *, doc_id: str = "doc_id", text:
     order.unpersist()
     scratch.free()
     able = classes.where(~F.col("gone") & (F.col("n") >= MEETS))
-    settled = verified(met_first(places(able.withColumn("open", F.lit(True)), False)), tokens, scratch, "led")
+    # the places' shuffle goes before the next step writes its own
+    pairs = scratch.save(met_first(places(able.withColumn("open", F.lit(True)), False)), "led-pairs")
+    scratch.free()
+    settled = verified(pairs, tokens, scratch, "led")
     scratch.free()
     done = able.join(settled.withColumn("done", F.lit(True)), ["doc", "no"], "left").withColumn("open", F.col("done").isNull())
-    later = verified(met_all(places(done, True)), tokens, scratch, "met")
+    pairs = scratch.save(met_all(places(done, True)), "met-pairs")
+    scratch.free()
+    later = verified(pairs, tokens, scratch, "met")
     # the lines of a class that goes, go; so do all but the first of a class
     gone = scratch.save(classes.where("gone").select("doc", "no").unionByName(settled).unionByName(later).distinct(), "gone")
     for name in ("tokens", "classes", "led", "met"):
