@@ -40,6 +40,10 @@ CONCEPTS = (("CASE-LAW_IS_ABOUT_CONCEPT_CASE-LAW", 5), ("CASE-LAW_IS_ABOUT_CONCE
 #: Group labels among the parties that name no party: member states, institutions.
 GROUPS = ("EM", "IC")
 DEFAULT_COURT = "Court of Justice"
+#: Between values of one reading; no XML 1.0 document can hold it.
+MARK = "\x01"
+#: Of the JVM's 100, by our own, wider count of tokens.
+OPERATORS = 90
 
 
 def texts(xml: Column, path: str) -> Column:
@@ -50,6 +54,31 @@ def first(xml: Column, path: str) -> Column:
     return F.get(texts(xml, path), F.lit(0))
 
 
+def firsts(xml: Column, paths: list[str]) -> Column:
+    """Number of nodes and first value of each path, from as few readings of the
+    XML as the JVM allows: an expression may have OPERATORS operators."""
+    groups, room = [], 0
+    for p in paths:
+        cost = 2 * sum(c in "/[](),=@|" for c in p) + 5
+        if cost > room:
+            groups.append([])
+            room = OPERATORS
+        groups[-1].append(f"count({p}),'{MARK}',{p}")
+        room -= cost
+    read = [F.split(F.xpath_string(xml, F.lit("concat(" + f",'{MARK}',".join(g) + ")")), MARK) for g in groups]
+    return F.concat(*read)
+
+
+def nth(values: Column, k: int) -> Column:
+    """The value of the k-th path of ``firsts``; null where it has no node."""
+    return F.when(F.get(values, F.lit(2 * k)) != "0", F.get(values, F.lit(2 * k + 1)))
+
+
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """``df`` with a column made once a row, whatever uses or filters it later."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
 def fragments(xml: Column, tag: str) -> Column:
     """The text of each element of that name, in order; never null for a text."""
     return F.regexp_extract_all(xml, F.lit(rf"(?s)(<{tag}(?:\s(?:[^>]*[^/>])?)?>.*?</{tag}>)"), F.lit(1))
@@ -57,15 +86,15 @@ def fragments(xml: Column, tag: str) -> Column:
 
 def document(xml: Column) -> Column:
     """The notice inside one element of ours, without its prolog, so that text
-    behind the root is seen by the reader of ``well_formed`` as well."""
+    behind the root is seen by the reader of ``readable`` as well."""
     bare = F.regexp_replace(xml, r"^[\s\ufeff]*(?:<\?xml[^>]*\?>)?\s*(?:<!DOCTYPE[^>\[]*>)?", "")
     return F.concat(F.lit("<r>"), bare, F.lit("</r>"))
 
 
-def well_formed(inner: Column) -> Column:
-    """Of a ``document``: False for null and for text that is no XML document."""
+def readable(inner: Column) -> Column:
+    """Of a ``document``: False for null and for text that a parser refuses."""
     read = F.from_xml(inner, "bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "bad"})
-    return F.coalesce(F.when(read.isNotNull() & read["bad"].isNull(), F.xpath_int(inner, F.lit("count(/r/*)")) == 1), F.lit(False))
+    return F.coalesce(read.isNotNull() & read["bad"].isNull(), F.lit(False))
 
 
 def title(heading: Column) -> Column:
@@ -80,10 +109,9 @@ def keywords(heading: Column) -> Column:
     return F.transform(F.split(F.translate(at, " ", " "), r"\s[-–—]\s"), lambda k: F.regexp_replace(k, r"^[ .]+|[ .]+$", ""))
 
 
-def short_title(xml: Column) -> Column:
+def short_title(xml: Column, english: Column) -> Column:
     """The only one; the first English one of several; else empty."""
-    all_of = texts(xml, PATHS["short"])
-    return F.coalesce(F.when(F.size(all_of) == 1, F.get(all_of, F.lit(0))).when(F.size(all_of) > 1, first(xml, PATHS["short_english"])), F.lit(""))
+    return let(texts(xml, PATHS["short"]), lambda all_of: F.coalesce(F.when(F.size(all_of) == 1, F.get(all_of, F.lit(0))).when(F.size(all_of) > 1, english), F.lit("")))
 
 
 def concepts(xml: Column) -> Column:
@@ -97,7 +125,8 @@ def concepts(xml: Column) -> Column:
     (old, depth), (new, deeper) = CONCEPTS
 
     def levels(node: Column, tag: str, depth: int) -> Column:
-        return F.array(*[F.struct(first(node, f"/{tag}/{tag}_{k}/IDENTIFIER/text()").alias("id"), first(node, f"/{tag}/{tag}_{k}/PREFLABEL/text()").alias("label")) for k in range(1, depth + 1)])
+        values = firsts(node, [f"/{tag}/{tag}_{k}/{part}/text()" for k in range(1, depth + 1) for part in ("IDENTIFIER", "PREFLABEL")])
+        return let(values, lambda v: F.array(*[F.struct(nth(v, 2 * k).alias("id"), nth(v, 2 * k + 1).alias("label")) for k in range(depth)]))
 
     there = lambda x: x["label"].isNotNull() & x["id"].isNotNull()
     missing = lambda all_of: F.array_position(F.transform(all_of, there), F.lit(False))
@@ -122,7 +151,7 @@ def labelled(keys: Column, labels: Column) -> Column:
 
 def parties(xml: Column, path: str) -> Column:
     """Map of a party's id to its label, without the labels of groups."""
-    found = labelled(texts(xml, path + "/IDENTIFIER/text()"), texts(xml, path + "/PREFLABEL/text()"))
+    found = let(texts(xml, path + "/IDENTIFIER/text()"), lambda keys: let(texts(xml, path + "/PREFLABEL/text()"), lambda labels: labelled(keys, labels)))
     return F.map_filter(found, lambda k, _: ~k.isin(*GROUPS))
 
 
@@ -159,7 +188,9 @@ def citations(xml: Column) -> Column:
 
     def annotation(celex: Column):
         def read(node: Column) -> Column:
-            source, target = first(node, "//FRAGMENT_CITING_SOURCE/text()"), first(node, "//FRAGMENT_CITED_TARGET/text()")
+            return let(firsts(node, ["//FRAGMENT_CITING_SOURCE/text()", "//FRAGMENT_CITED_TARGET/text()"]), lambda v: sides(nth(v, 0), nth(v, 1)))
+
+        def sides(source: Column, target: Column) -> Column:
             there = lambda side, value: F.when(side.isNotNull(), value)
             return F.struct(
                 celex.alias("target"), there(source, ids.expand_range(source)).alias("from"), there(source, ids.unit(source)).alias("unit"),
@@ -179,17 +210,20 @@ def citations(xml: Column) -> Column:
 def parse(df: DataFrame, column: str = "xml") -> tuple[DataFrame, DataFrame]:
     """(rows with a column ``meta``, rows whose XML can't be read).
 
-    Null and empty text can't be read; ``__xml`` is our own name."""
-    inner = document(F.col(column))
-    # a column of its own, null for what can't be read: no XPath ever meets that,
-    # wherever the optimizer moves filters
-    ready = df.withColumn("__xml", F.when(well_formed(inner), inner))
-    xml = F.col("__xml")
-    path = lambda name: first(xml, PATHS[name])
+    Null and empty text can't be read; ``__inner`` and ``__firsts`` are our own
+    names: the document, and the first values of all paths, null for what can't be
+    read.  Each is made once a row; no XPath ever meets what can't be read,
+    wherever the optimizer moves filters."""
+    names = list(PATHS)
+    values = F.when(readable(F.col("__inner")), firsts(F.col("__inner"), ["/r/*", *PATHS.values()]))
+    ready = once(once(df, "__inner", document(F.col(column))), "__firsts", values)
+    good = F.coalesce(F.get("__firsts", F.lit(0)) == "1", F.lit(False))
+    xml = F.when(good, F.col("__inner"))
+    path = lambda name: nth(F.col("__firsts"), names.index(name) + 1)
     heading = path("heading")
     meta = F.struct(
         path("celex").alias("celex"), path("ecli").alias("ecli"), ids.celex_to_case(path("celex")).alias("case_id"), title(heading).alias("title"),
-        keywords(heading).alias("keywords"), short_title(xml).alias("short_title"), texts(xml, PATHS["languages"]).alias("languages"),
+        keywords(heading).alias("keywords"), short_title(xml, path("short_english")).alias("short_title"), texts(xml, PATHS["languages"]).alias("languages"),
         F.try_to_date(path("date")).alias("date"), F.try_to_date(path("application_date")).alias("application_date"),
         F.array_distinct(texts(xml, PATHS["subject_matter"])).alias("subject_matter"), concepts(xml).alias("concepts"),
         texts(xml, PATHS["advocate_general"]).alias("advocate_general"), texts(xml, PATHS["rapporteur"]).alias("rapporteur"),
@@ -197,4 +231,5 @@ def parse(df: DataFrame, column: str = "xml") -> tuple[DataFrame, DataFrame]:
         procedures(xml).alias("procedures"), *[parties(xml, p).alias(name) for name, p in PARTIES.items()],
         path("national_court").alias("national_court"), citations(xml).alias("citations"),
     )
-    return ready.where("__xml is not null").withColumn("meta", meta).drop("__xml"), ready.where("__xml is null").drop("__xml")
+    own = ("__inner", "__firsts")
+    return ready.where(good).withColumn("meta", meta).drop(*own), ready.where(~good).drop(*own)

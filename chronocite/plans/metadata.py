@@ -40,6 +40,8 @@ def notices(spark, sf):
     for name, value in values.items():
         made = made.replace(name, value)
     c = table(spark, sf, "customer").select(F.col("c_custkey").alias("k"), F.col("c_mktsegment").alias("seg"), F.col("c_nationkey").alias("nation"))
+    # rows are small and work on one is long, so size says nothing about tasks
+    c = c.repartition(4 * spark.sparkContext.defaultParallelism, "k")
     return c.withColumn("celex", F.expr(CELEX.replace("VARCHAR", "STRING"))).select("k", F.expr(made).alias("xml"))
 
 
@@ -47,6 +49,11 @@ def read(spark, sf):
     return M.parse(notices(spark, sf))[0]
 
 
+def field(spark, sf, name):
+    """(k, value): one field, made once though its rows are taken apart."""
+    return M.once(read(spark, sf).select("k", F.col(f"meta.{name}").alias("made")), "value", F.col("made")).select("k", "value")
+
+
 @query(f"SELECT k, celex, 'C-' || CAST(k % 10000 AS VARCHAR) || '/' || lpad(CAST((1990 + k % 30) % 100 AS VARCHAR), 2, '0') AS case_id, CASE k % 3 WHEN 0 THEN 'K' || k || ' v ' || seg || '.' WHEN 1 THEN 'K' || k || ' v ' || seg END AS title, CASE k % 3 WHEN 0 THEN seg || '|tax|duty' WHEN 1 THEN seg || '|tax' END AS keywords, CASE WHEN k % 2 = 0 THEN 'General Court' ELSE 'Court of Justice' END AS court, make_date(1990 + k % 30, 3, 1 + k % 28) AS date FROM ({CUSTOMERS})")
 def metadata_fields(spark, sf):
     return read(spark, sf).select("k", "meta.celex", "meta.case_id", "meta.title", F.array_join("meta.keywords", "|").alias("keywords"), "meta.court", "meta.date")
@@ -55,24 +62,24 @@ def metadata_fields(spark, sf):
 @query(f"SELECT k, CASE WHEN k % 2 = 0 THEN '1.2' ELSE '1.3' END AS code, CASE WHEN k % 2 = 0 THEN 'level 1 / level 2' ELSE 'level 1 / level 3' END AS label FROM ({CUSTOMERS})")
 def metadata_concepts(spark, sf):
     """The older generation stops at the missing third level."""
-    return read(spark, sf).select("k", F.explode("meta.concepts").alias("code", "label"))
+    return field(spark, sf, "concepts").select("k", F.explode("value").alias("code", "label"))
 
 
 @query(f"SELECT k, 'REFER' AS id, 'Preliminary reference' AS type, 'inadmissible' AS result, 'NL' AS result_id FROM ({CUSTOMERS}) WHERE k % 3 <> 1 UNION ALL SELECT k, 'REFER_URG', 'Preliminary reference', 'unfounded', 'DN' FROM ({CUSTOMERS}) WHERE k % 3 <> 0 UNION ALL SELECT k, 'ANNU=X', 'Annulment', NULL, NULL FROM ({CUSTOMERS}) WHERE k % 3 <> 0")
 def metadata_procedures(spark, sf):
-    return read(spark, sf).select("k", F.inline("meta.procedures"))
+    return field(spark, sf, "procedures").select("k", F.inline("value"))
 
 
 @query(f"SELECT k, 'N' || nation AS id, CASE WHEN k % 5 = 0 THEN 'Again ' ELSE 'Nation ' END || nation AS label FROM ({CUSTOMERS})")
 def metadata_parties(spark, sf):
-    return read(spark, sf).select("k", F.explode("meta.observations").alias("id", "label"))
+    return field(spark, sf, "observations").select("k", F.explode("value").alias("id", "label"))
 
 
 @query(f"SELECT k, '62001CJ' || lpad(CAST(k % 100 AS VARCHAR), 4, '0') AS target, CASE WHEN k % 4 IN (0, 2) THEN k || ',' || (k + 1) || ',' || (k + 2) END AS sources, CASE WHEN k % 4 IN (0, 2) THEN 'paragraphs' END AS unit, CASE WHEN k % 4 IN (0, 1) THEN CAST(k AS VARCHAR) END AS targets, CASE WHEN k % 4 IN (0, 1) THEN 'articles' END AS cited_unit FROM ({CUSTOMERS}) WHERE k % 4 <> 3")
 def metadata_citations(spark, sf):
     """An annotation without either side, and the citation of an order, go."""
     joined = lambda c: F.array_join(F.transform(c, lambda n: n.cast("string")), ",")
-    each = read(spark, sf).select("k", F.inline("meta.citations"))
+    each = field(spark, sf, "citations").select("k", F.inline("value"))
     return each.select("k", "target", joined(F.col("from")).alias("sources"), "unit", joined(F.col("to")).alias("targets"), "cited_unit")
 
 
