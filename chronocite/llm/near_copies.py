@@ -1,10 +1,17 @@
-"""Near copies: an exact self-join of documents on their shingle sets.
+"""Near copies: SimHash fingerprints with pivot tables, verified and completed.
 
 A document is the set of its hashed word shingles.  Two are linked if their
 Jaccard similarity is ``4/5`` or more, and every link is verified on the sets;
 groups are the components of the links.  Equal sets, and texts without words,
 are one class.
 
+Fingerprints propose first (``simhash.near_links``, on 64-bit SimHashes of the
+same shingles): those within ``simhash.LIMIT`` bits, by their distances to the
+pivots, and equal ones.  What the sets bear out is joined.  Copies at 0.8 mostly
+differ in more bits, so an exact join of the sets then looks for the links
+between groups that the fingerprints have left apart; no pair that these have
+joined is looked at again.
+
 Shingles are ordered by rarity: counts of all documents in ``BINS`` hash bins
 give the order, the hash breaks ties.  The counts only spare work, any order is
 exact: two similar sets share one of their first ``n - ceil(4n/5) + 1``
@@ -34,12 +41,12 @@ from pyspark.sql import functions as F
 from .common import Scratch
 from .components import components
 from .line_dedup import _overlap
-from .simhash import one_of_each, shingles
+from .simhash import fingerprint_of, near_links, one_of_each, shingles
 
 #: Bins of the counts, least bits of the bitmaps, bytes of the one that tells which texts are asked for.
 BINS, WIDE, ASKED = 1 << 18, 1024, 1 << 20
 
-KEYS = "h long, n int, sig binary, prefix array<int>"
+KEYS = "h long, fp long, n int, sig binary, prefix array<int>"
 
 
 def _set(text: str | None, shingle: int) -> np.ndarray:
@@ -66,9 +73,10 @@ def order_of(docs: DataFrame, text: str, shingle: int) -> np.ndarray:
     return order
 
 
-def keyed(text: str | None, shingle: int, order: np.ndarray) -> tuple[int, int, bytes, np.ndarray]:
-    """Hash of the set, its size, its bitmap and its first shingles."""
-    s = _set(text, shingle)
+def keyed(text: str | None, shingle: int, order: np.ndarray) -> tuple[int, int, int, bytes, np.ndarray]:
+    """Hash of the set, the fingerprint, the set's size, its bitmap and its first shingles."""
+    hashes = shingles(text, shingle)
+    s = np.unique(hashes)
     n = len(s)
     ranked = order[(s & np.uint64(BINS - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(57) | s >> np.uint64(7)
     some = n - (4 * n + 4) // 5 + 1 if n else 0
@@ -76,7 +84,7 @@ def keyed(text: str | None, shingle: int, order: np.ndarray) -> tuple[int, int,
     wide = max(WIDE, 1 << max(0, n - 1).bit_length())
     odd = np.bincount((s >> np.uint64(20) & np.uint64(wide - 1)).astype(np.int64), minlength=wide) & 1
     short = (first ^ first >> np.uint64(32)).astype(np.uint32).view(np.int32)
-    return int(np.uint64(xxhash.xxh64_intdigest(s.tobytes())).astype(np.int64)) if n else 0, n, np.packbits(odd.astype(bool)).tobytes(), short
+    return int(np.uint64(xxhash.xxh64_intdigest(s.tobytes())).astype(np.int64)) if n else 0, fingerprint_of(hashes), n, np.packbits(odd.astype(bool)).tobytes(), short
 
 
 def _apart(a: bytes, b: bytes) -> int:
@@ -182,6 +190,21 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, scratch: Scr
     return links
 
 
+def proposed(made: DataFrame, scratch: Scratch) -> DataFrame:
+    """Pairs of classes (u, v) whose fingerprints are equal or near.
+
+    A set may have several fingerprints, as repeats count in these.  The least
+    class of a fingerprint stands for it; the others there meet that one.
+    """
+    held = scratch.save(made.select("fp", "h").distinct(), "fingerprints")
+    least = scratch.save(held.groupBy("fp").agg(F.min("h").alias("least")), "fingerprints-least")
+    equal = held.join(least, "fp").where("h != least").select(*_pairs("least", "h"))
+    near = near_links(least.select("fp"), least.count()).distinct()
+    side = lambda c: least.select(F.col("fp").alias(c), F.col("least").alias(f"least_{c}"))
+    other = near.join(side("u"), "u").join(side("v"), "v").where("least_u != least_v").select(*_pairs("least_u", "least_v"))
+    return equal.unionByName(other).distinct()
+
+
 def groups(docs: DataFrame, scratch: Scratch, *, doc_id: str = "doc_id", text: str = "text", shingle: int = 5) -> DataFrame:
     """doc_id, th (hash of the text) and root (that of the group) of every row."""
     order = docs.sparkSession.sparkContext.broadcast(order_of(docs, text, shingle))
@@ -189,14 +212,21 @@ def groups(docs: DataFrame, scratch: Scratch, *, doc_id: str = "doc_id", text: s
     @F.pandas_udf(KEYS)
     def keys(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
-            yield pd.DataFrame([keyed(t, shingle, order.value) for t in texts], columns=["h", "n", "sig", "prefix"])
+            yield pd.DataFrame([keyed(t, shingle, order.value) for t in texts], columns=["h", "fp", "n", "sig", "prefix"])
 
     made = scratch.save(docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("th"), keys(F.col(text)).alias("k")).select("doc_id", "th", "k.*"), "sets")
     classes = scratch.save(made.groupBy("h").agg(F.min(F.struct("th", "n", "sig")).alias("f")).select("h", "f.*"), "classes")
-    met = scratch.save(meeting(made.select("h", "n", F.posexplode("prefix").alias("pos", "key")).select("key", "h", "n", "pos")), "met")
-
     check = lambda pairs, label: verified(pairs, classes, docs, scratch, label, text=text, shingle=shingle)
-    led = check(met.where(F.col("h") != F.col("e_h")).where(_may("", "e_")).select(*_pairs("h", "e_h")).distinct(), "led")
+    borne = check(proposed(made, scratch), "borne")
+    joined = scratch.save(components(borne, scratch, "borne"), "joined")
+    for part in ("fingerprints", "fingerprints-least"):
+        scratch.drop(part)
+    scratch.free()
+    met = scratch.save(meeting(made.select("h", "n", F.posexplode("prefix").alias("pos", "key")).select("key", "h", "n", "pos")), "met")
+    side = lambda c: joined.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
+    open_ = met.where(F.col("h") != F.col("e_h")).where(_may("", "e_")).select(*_pairs("h", "e_h")).distinct()
+    open_ = open_.join(side("u"), "u", "left").join(side("v"), "v", "left").where("coalesce(root_u, u) != coalesce(root_v, v)").select("u", "v")
+    led = scratch.save(borne.unionByName(check(open_, "led")), "linked")
     roots = components(led, scratch, "led").withColumnRenamed("node", "h")
     rooted = scratch.save(met.select("key", "h", "n", "pos", "e_h").join(roots, "h", "left").withColumn("root", F.coalesce("root", "h")), "rooted")
     scratch.free()
@@ -206,7 +236,7 @@ def groups(docs: DataFrame, scratch: Scratch, *, doc_id: str = "doc_id", text: s
     crossed = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & (F.col("y.h") != F.col("x.e_h")) & _may("x.", "y."))
     links = led.unionByName(check(crossed.select(*_pairs("x.h", "y.h")).distinct(), "crossed"))
     linked = components(links, scratch, "all").withColumnRenamed("node", "h")
-    for part in ("met", "rooted", "apart"):
+    for part in ("met", "rooted", "apart", "joined"):
         scratch.drop(part)
     order.unpersist()
     return made.select("doc_id", "th", "h").join(linked, "h", "left").select("doc_id", "th", F.coalesce("root", "h").alias("root"))

@@ -54,7 +54,11 @@ def shingles(text: str | None, shingle: int) -> np.ndarray:
 
 def fingerprint(text: str | None, shingle: int = 4) -> int:
     """The fingerprint as a signed 64-bit integer; no words give 0."""
-    hashes = shingles(text, shingle)
+    return fingerprint_of(shingles(text, shingle))
+
+
+def fingerprint_of(hashes: np.ndarray) -> int:
+    """The fingerprint of a text's shingle hashes, repeats included."""
     ones = np.zeros(64, np.int64)
     for k in range(0, len(hashes), 1 << 16):
         ones += np.unpackbits(hashes[k : k + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)

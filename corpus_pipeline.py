@@ -32,9 +32,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays.
 
     Near copies have a Jaccard similarity of 0.8 or more of their sets of
-    five-word shingles; every link is verified on the sets.  Fingerprints don't
-    take part: copies at 0.8 differ in more bits than a search can afford
-    (README).
+    five-word shingles.  SimHash fingerprints and their pivot tables propose
+    pairs, the sets verify them, and an exact join of the sets finds the links
+    that the bits can't tell.
     """
     return near_copies.keep_first(docs, Scratch(spark, "stage-copies"), shingle=5)
 

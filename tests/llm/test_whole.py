@@ -82,3 +82,29 @@ def test_short_lines_are_judged(spark):
     assert {(r.doc, r.no) for r in line_dedup.removals(df, Scratch(spark, "t"), least=1).collect()} == want
     left = {r.doc_id: r.text for r in corpus_pipeline.line_dedup_stage(spark, df, "").collect()}
     assert left == {d: "\n".join(x for n, x in enumerate(t.split("\n")) if (d, n) not in want) for d, t in made}
+
+
+def test_near_dedup_goes_by_fingerprints(spark, monkeypatch):
+    made = [(d, t) for d, t in planted()]
+    # long texts with a word changed keep near bits; equal bits of another set; a repeat changes bits, not the set
+    long = [prose(500 + k, 1500) for k in range(8)]
+    for w in long:
+        made += [(len(made), " ".join(w)), (len(made) + 1, " ".join([*w[:700], "changed", *w[701:]]))]
+    made += [(len(made), "r s t u v r s t u v r s t u v"), (len(made) + 1, " ".join("r s t u v".split() * 9))]
+    df = spark.createDataFrame(made, "doc_id long, text string")
+    met, asked = near_copies.near_links, []
+
+    def seen(distinct, *given):
+        asked.append({r.fp for r in distinct.collect()})
+        return met(distinct, *given)
+
+    monkeypatch.setattr(near_copies, "near_links", seen)
+    kept = corpus_pipeline.near_dedup(spark, df, "").collect()
+    assert asked == [{simhash.fingerprint(t, 5) for _, t in made}]
+    assert sorted(r.doc_id for r in kept) == sorted(g[0] for g in near_groups(made))
+    order = near_copies.np.zeros(near_copies.BINS, near_copies.np.uint8)
+    keys = [near_copies.keyed(t, 5, order)[:2] for _, t in made]
+    rows = spark.createDataFrame(keys, "h long, fp long")
+    got = {frozenset((r.u, r.v)) for r in near_copies.proposed(rows, Scratch(spark, "t")).collect()}
+    near = {frozenset((a, b)) for a, x in keys for b, y in keys if a != b and int(x ^ y & (1 << 64) - 1).bit_count() <= simhash.LIMIT}
+    assert got <= near and len(got) > 4
