@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 
 from .common import SPACES
 
@@ -55,14 +56,16 @@ class Tokens:
         return mixed(h, 0x9E3779B97F4A7C15), begin, end
 
     def vocabulary(self, texts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-        """The distinct words of some texts; of each word its number and its text.
+        """The distinct words of some texts, in order of appearance; of each word its number and its text.
 
         Words are told apart by their 64-bit hashes.
         """
         raw = b"\n".join(texts)
         raw = raw.lower() if self.fold else raw
         h, begin, end = self.spans(raw)
-        _, at, which = np.unique(h, return_index=True, return_inverse=True)
+        which, found = pd.factorize(h)  # hashes, not sorts
+        at = np.empty(len(found), np.int64)
+        at[which[::-1]] = np.arange(len(h))[::-1]
         words = [raw[i:j] for i, j in zip(begin[at].tolist(), end[at].tolist(), strict=True)]
         return words, which, np.searchsorted(np.cumsum([len(t) + 1 for t in texts]), begin, "right")
 

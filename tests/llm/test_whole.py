@@ -5,6 +5,7 @@ import random
 import corpus_pipeline
 from chronocite.llm import line_dedup, near_copies, simhash
 from chronocite.llm.common import Scratch
+from chronocite.llm.words import Tokens
 
 from . import brute
 
@@ -108,3 +109,13 @@ def test_near_dedup_goes_by_fingerprints(spark, monkeypatch):
     got = {frozenset((r.u, r.v)) for r in near_copies.proposed(rows, Scratch(spark, "t")).collect()}
     near = {frozenset((a, b)) for a, x in keys for b, y in keys if a != b and int(x ^ y & (1 << 64) - 1).bit_count() <= simhash.LIMIT}
     assert got <= near and len(got) > 4
+
+
+def test_vocabulary_is_in_order_of_appearance():
+    texts = [b"", b" b a  B\tc", b"\n \x0b", "é a\x1cx É zz".encode(), b"c a", b""]
+    for fold in (True, False):
+        want = [w.lower() if fold else w for t in texts for w in t.split()]
+        words, which, of = Tokens(fold).vocabulary(texts)
+        assert words == list(dict.fromkeys(want)) and [words[k] for k in which] == want
+        assert of.tolist() == [k for k, t in enumerate(texts) for _ in t.split()]
+        assert Tokens(fold).vocabulary([b"", b" "])[0] == [] == Tokens(fold).vocabulary([b"", b" "])[1].tolist()
