@@ -47,8 +47,9 @@ from .words import Tokens, portions
 
 #: Ids that a cut looks at; a cut comes every 2**MASK_BITS ids on average.
 WINDOW, MASK_BITS, LEAST, MOST = 8, 9, 128, 4096
-#: Words, and chunks written, that a worker remembers.
-REMEMBERED, WRITTEN = 400_000, 100_000
+#: Word parts, chunks written, and ids of words that a worker remembers; slots for the
+#: words (two to the power of); text bytes encoded at once.
+REMEMBERED, WRITTEN, POOL, SLOT_BITS, AT_ONCE = 400_000, 100_000, 1 << 24, 21, 1 << 20
 #: Documents of a segment, about.
 SEGMENT = 50_000
 PUNCT = bytes(c for c in range(33, 127) if not chr(c).isalnum())
@@ -64,8 +65,8 @@ PRE_TOKENIZER = {
     ],
 }
 
-#: Letter runs that the tokenizer's normaliser leaves alone: one pre-token each.
-PLAIN = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+")
+#: Letter runs that the tokenizer's normaliser only lowers: one pre-token each.
+PLAIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
 
 
 def byte_letters() -> dict[int, str]:
@@ -77,14 +78,47 @@ def byte_letters() -> dict[int, str]:
     return {c: "".join(letter[b] for b in chr(c).encode()) for c in range(0x80, 0x100)}
 
 
+class Remembered:
+    """The ids of words by 64-bit hash.  A hash has one slot, which the last word
+    that came there holds; looking words up takes no step a word."""
+
+    def __init__(self, kind: np.dtype):
+        self.tags = np.zeros(1 << SLOT_BITS, np.uint64)
+        self.at, self.sizes = np.zeros(1 << SLOT_BITS, np.int32), np.zeros(1 << SLOT_BITS, np.int32)
+        self.pool, self.used = np.zeros(POOL, kind), 1  # the first is left to the caller
+
+    def get(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each word, where in ``pool`` its ids begin and how many they are; the words that are not known."""
+        slot = (h & np.uint64(len(self.tags) - 1)).astype(np.int64)
+        at, size = self.at[slot], self.sizes[slot]
+        return at, size, np.flatnonzero((self.tags[slot] != h) | (size == 0))
+
+    def put(self, h: np.ndarray, ids: bytes, size: np.ndarray) -> np.ndarray:
+        """Where the ids of distinct words now begin; ``get`` before holds as well until ``trim``."""
+        new = np.frombuffer(ids, self.pool.dtype)
+        at = (self.used + np.cumsum(size) - size).astype(np.int32)
+        end = self.used + len(new)
+        if end > len(self.pool):
+            self.pool = np.concatenate((self.pool[: self.used], new))
+        self.pool[self.used : end] = new
+        slot, self.used = (h & np.uint64(len(self.tags) - 1)).astype(np.int64), end
+        self.tags[slot], self.at[slot], self.sizes[slot] = h, at, size
+        return at
+
+    def trim(self) -> None:
+        """Forget all when the pool is full."""
+        if self.used > POOL - (POOL >> 4):
+            self.sizes[:], self.used, self.pool = 0, 1, self.pool[:POOL].copy()
+
+
 class WordCoder:
     """Encodes word by word, with a memory of words seen.
 
     The tokenizer collapses white space and never merges across it, so a text
     has the ids of its white-space words one after another; and a run of ASCII
     marks at a word's end is separate from an ASCII letter or digit before it.
-    A run of plain letters goes to the library's model at once.  Equal words of
-    a buffer are told by 64-bit hashes, and looked up once.
+    A run of plain letters goes to the library's model at once.  Words are told
+    by 64-bit hashes, and only a new word is cut out of the text.
 
     Holds for tokenizers with the ``NORMALIZER`` and ``PRE_TOKENIZER`` above
     whose added tokens hold no white space; any other encodes whole texts by
@@ -97,61 +131,73 @@ class WordCoder:
         self.tokenizer = Tokenizer.from_str(json)
         self.wide = self.tokenizer.get_vocab_size(with_added_tokens=True) > 1 << 16
         self.kind, self.letter = np.dtype("<u4" if self.wide else "<u2"), "I" if self.wide else "H"
-        self.seen: dict[bytes, bytes] = {}
-        self.parts: dict[bytes, bytes] = {}
+        self.seen = Remembered(self.kind)
+        self.parts: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}  # what ``parts`` was before it was full
         self.hashes = Tokens(fold=False)  # added tokens tell capitals apart
         made = json_.loads(json)
         by_word = made.get("post_processor") is None and made.get("truncation") is None and made["normalizer"] == NORMALIZER and made["pre_tokenizer"] == PRE_TOKENIZER
         self.by_word = by_word and not any(set(t["content"]) & set(" \t\n\r\x0b\x0c") for t in made["added_tokens"])
 
-    def learn(self, words: set[bytes]) -> None:
-        """Put words into the memory: plain letters by their lower-case form,
-        marks behind them by themselves, all else as the whole word."""
-        seen, parts, model = self.seen, self.parts, self.tokenizer.model
-        if len(seen) + len(words) > REMEMBERED:
-            seen.clear()
-            parts.clear()
-        odd = []
+    def part(self, text: str) -> bytes:
+        """The ids of a run of plain small letters, or of marks."""
+        got = self.parts.get(text)
+        if got is None:
+            got = self.before.get(text)
+            if got is None:
+                if text[0].isalpha():
+                    ids = [x.id for x in self.tokenizer.model.tokenize(text if text.isascii() else text.translate(self.LETTERS))]
+                else:
+                    ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+                got = array(self.letter, ids).tobytes()
+            if 2 * len(self.parts) >= REMEMBERED:
+                self.parts, self.before = {}, self.parts
+            self.parts[text] = got
+        return got
+
+    def coded(self, words: list[bytes]) -> list[bytes]:
+        """The ids of words: plain letters by their lower-case form, marks behind
+        them by themselves, all else as the whole word."""
+        out, odd = [], []
         for w in words:
             core = w.rstrip(PUNCT)
-            low = core.lower()
-            got = parts.get(low)
-            if got is None:
-                t = low.decode()
-                if not PLAIN.fullmatch(t):
-                    odd.append(w)
-                    continue
-                tokens = model.tokenize(t if t.isascii() else t.translate(self.LETTERS))
-                got = parts[low] = array(self.letter, [x.id for x in tokens]).tobytes()
-            if len(core) < len(w):
-                tail = w[len(core) :]
-                if tail not in parts:
-                    parts[tail] = array(self.letter, self.tokenizer.encode(tail.decode(), add_special_tokens=False).ids).tobytes()
-                got += parts[tail]
-            seen[w] = got
-        for w, e in zip(odd, self.tokenizer.encode_batch_fast([w.decode() for w in odd], add_special_tokens=False), strict=True):
-            seen[w] = array(self.letter, e.ids).tobytes()
+            text = core.decode()
+            if not PLAIN.fullmatch(text):
+                odd.append(len(out))
+                out.append(b"")
+            elif len(core) == len(w):
+                out.append(self.part(text.lower()))
+            else:
+                out.append(self.part(text.lower()) + self.part(w[len(core) :].decode()))
+        for k, e in zip(odd, self.tokenizer.encode_batch_fast([words[k].decode() for k in odd], add_special_tokens=False), strict=True):
+            out[k] = array(self.letter, e.ids).tobytes()
+        return out
 
     def ids_of(self, texts: list[bytes], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """The ids of some texts, each with the end id, and where each text ends."""
         if not self.by_word:
             found = [[*e.ids, end_id] for e in self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
             return np.array([i for ids in found for i in ids], self.kind), np.cumsum([len(x) for x in found])
-        words, which, of = self.hashes.vocabulary(texts)
-        missing = {w for w in words if w not in self.seen}
-        if missing:
-            self.learn(missing if len(self.seen) + len(missing) <= REMEMBERED else set(words))
-        coded = list(map(self.seen.__getitem__, words))
-        pool = np.frombuffer(b"".join(coded), self.kind)
-        size = np.fromiter(map(len, coded), np.int64, len(coded)) // self.kind.itemsize
-        from_ = (np.cumsum(size) - size)[which]
-        size = size[which]
-        ends = np.cumsum(np.bincount(of, size, len(texts)).astype(np.int64) + 1)
-        out = np.full(int(ends[-1]), end_id, self.kind)
-        before = np.cumsum(size) - size
-        within = np.arange(int(size.sum())) - np.repeat(before, size)
-        out[np.repeat(before + of, size) + within] = pool[np.repeat(from_, size) + within]
-        return out, ends
+        raw = b"\n".join(texts)
+        h, begin, end = self.hashes.spans(raw)
+        at, size, lost = self.seen.get(h)
+        if len(lost):
+            which, found = pd.factorize(h[lost])
+            first = np.empty(len(found), np.int64)
+            first[which[::-1]] = lost[::-1]
+            learned = self.coded([raw[i:j] for i, j in zip(begin[first].tolist(), end[first].tolist(), strict=True)])
+            n = np.fromiter(map(len, learned), np.int64, len(learned)) // self.kind.itemsize
+            at[lost], size[lost] = self.seen.put(found, b"".join(learned), n)[which], n[which]
+        of = np.searchsorted(np.cumsum([len(t) + 1 for t in texts]), begin, "right")
+        # the end of each text is one more word
+        sizes, from_ = np.ones(len(h) + len(texts), np.int64), np.zeros(len(h) + len(texts), np.int64)
+        place = np.arange(len(h)) + of
+        sizes[place], from_[place] = size, at
+        self.seen.pool[0] = end_id
+        last = np.cumsum(sizes)
+        out = self.seen.pool[np.repeat(from_ - (last - sizes), sizes) + np.arange(last[-1])]
+        self.seen.trim()
+        return out, last[np.cumsum(np.bincount(of, minlength=len(texts)) + 1) - 1]
 
 
 _MIX = np.random.default_rng(7).integers(1, 1 << 63, 1 << 16, dtype=np.uint64)
@@ -205,7 +251,7 @@ def pieces(docs: DataFrame, json: str, end_id: int) -> DataFrame:
         wide = coder.kind.itemsize
         for batch in batches:
             texts = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
-            for begin, stop in portions(texts):
+            for begin, stop in portions(texts, AT_ONCE):
                 ids, ends = coder.ids_of(texts[begin:stop], end_id)
                 raw, found = memoryview(ids.tobytes()), marks(ids)
                 at, split = 0, np.searchsorted(found, ends - 1, "right")

@@ -189,6 +189,24 @@ def test_word_coder_holds_for_its_tokenizer_only():
         assert coder.by_word is (spec is plain)
 
 
+@pytest.mark.parametrize("slots, pool, held", [(20, 1 << 12, 100), (3, 1 << 12, 4), (20, 32, 4)])
+def test_word_coder_remembers_right(monkeypatch, slots, pool, held):
+    monkeypatch.setattr(token_store, "SLOT_BITS", slots)
+    monkeypatch.setattr(token_store, "POOL", pool)
+    monkeypatch.setattr(token_store, "REMEMBERED", held)
+    path = public_tokenizers.path("word_bpe_49k.json")
+    with open(path, encoding="utf-8") as f:
+        coder, t = token_store.WordCoder(f.read()), Tokenizer.from_file(path)
+    asked, coded = [], coder.coded
+    monkeypatch.setattr(coder, "coded", lambda words: asked.extend(words) or coded(words))
+    for k in range(40):  # old words beside new ones, in many buffers
+        texts = [f"common, Straße ÀÉ don't 12 new{k} n\u00ea{'x' * k}w!? {'long' * (k % 3) * 30}", "", f"common common {k}"]
+        ids, ends = coder.ids_of([x.encode() for x in texts], 1)
+        assert [x.tolist() for x in np.split(ids, ends[:-1])] == [[*t.encode(x, add_special_tokens=False).ids, 1] for x in texts]
+    if (slots, pool) == (20, 1 << 12):  # much more is met than REMEMBERED, and nothing is coded twice
+        assert len(asked) == len(set(asked)) > held
+
+
 def test_op6(spark, real, docs):
     with open(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb") as f:
         raw = f.read()
