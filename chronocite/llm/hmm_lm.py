@@ -13,7 +13,8 @@ with c the token's count, N and V the class's tokens and distinct tokens, and
 D = 0.5 (a class without any token gives all to the unknown).  As in the base
 model, unknown tokens are one symbol (of each class).
 
-Baum-Welch learns states on all training texts: each partition adds up expected
+Baum-Welch learns states on all training texts: they are turned into classes
+once, two bytes a token, which each round reads; each partition adds up expected
 counts of its texts, the sums by class meet in one small table, whose size is
 that of the model.  The forward recursion, scaled at each token, gives the exact
 likelihood of a text.
@@ -51,6 +52,8 @@ SWEEP, CHUNK_BYTES = 200_000, 8 << 20
 #: Distinct tokens whose counts a task holds.
 HELD = 500_000
 END = "\n"
+#: How a class is stored; TOP + TAIL + 1 of them fit.
+CLASS = np.dtype("<u2")
 LOWER = bytes(c + 32 if c in UPPER.encode() else c for c in range(256))
 
 
@@ -143,8 +146,8 @@ def expected(model: Model, grid: np.ndarray, alive: np.ndarray, counts: dict[str
             beta[:n] = w @ back
     counts["step"] += moves * model.step
     counts["start"] += gamma[0].sum(0)
-    there = np.arange(grid.shape[1]) < alive[:, None]
-    c, g = grid[there], gamma[there]
+    # steps past a row's end have zeros
+    c, g = grid.ravel().astype(np.intp), gamma.reshape(-1, gamma.shape[2])
     for j in range(g.shape[1]):
         counts["emit"][:, j] += np.bincount(c, g[:, j], model.classes)
 
@@ -170,37 +173,47 @@ def encoded(texts) -> list[bytes]:
     return [t.encode() if t else b"" for t in texts]
 
 
-def class_sequences(texts, top: dict[bytes, int], hashes: Tokens) -> list[np.ndarray]:
+def class_sequences(raw: list[bytes], top: dict[bytes, int], hashes: Tokens) -> list[np.ndarray]:
     """The classes of each text's tokens, and of its end."""
-    raw, out = encoded(texts), []
-    for begin, stop in portions(raw):
-        words_, which, of = hashes.vocabulary(raw[begin:stop])
-        k = np.append(classes_of(words_, top)[which], len(top))
-        ends = np.cumsum(np.bincount(of, minlength=stop - begin))
-        out += [np.append(k[i:j], len(top)) for i, j in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
-    return out
+    words_, which, of = hashes.vocabulary(raw)
+    k = np.append(classes_of(words_, top)[which], len(top))
+    ends = np.cumsum(np.bincount(of, minlength=len(raw)))
+    return [np.append(k[i:j], len(top)) for i, j in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+
+
+def classed(training: DataFrame, top: dict[bytes, int]) -> DataFrame:
+    """The classes of each training text (one column ``text``), as bytes."""
+    held = training.sparkSession.sparkContext.broadcast(top)
+
+    def turn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = Tokens()
+        for batch in batches:
+            raw = [t or b"" for t in batch.column(0).cast(pa.binary()).to_pylist()]
+            for begin, stop in portions(raw):
+                seqs = class_sequences(raw[begin:stop], held.value, hashes)
+                yield pa.RecordBatch.from_arrays([pa.array([x.astype(CLASS).tobytes() for x in seqs], pa.binary())], ["classes"])
+
+    return training.select("text").mapInArrow(turn, "classes binary")
 
 
 def baum_welch_round(training: DataFrame, model: Model) -> dict[str, np.ndarray]:
-    """Expected counts over all training texts (one column ``text``)."""
+    """Expected counts over all training texts (one column ``classes``)."""
     held = training.sparkSession.sparkContext.broadcast(model)
     k = model.emit.shape[1]
     names = [f"s{j}" for j in range(k)]
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
-        hashes = Tokens()
         sums = {"start": np.zeros(k), "step": np.zeros((k, k)), "emit": np.zeros((m.classes, k))}
-        for rows in batches:
-            seqs = class_sequences(rows["text"], m.top, hashes)
+        for batch in batches:
+            seqs = [np.frombuffer(x, CLASS) for x in batch.column(0).to_pylist()]
             for some in sweeps(np.array([len(s) for s in seqs], int)):
                 expected(m, *laid_out([seqs[i] for i in some]), sums)
         table = np.concatenate([sums["emit"], sums["step"], sums["start"][None]])
         used = np.flatnonzero(table.any(1))
-        if len(used):
-            yield pd.DataFrame(table[used], columns=names).assign(row=used)
+        yield pa.RecordBatch.from_arrays([*[pa.array(np.ascontiguousarray(table[used, j])) for j in range(k)], pa.array(used)], [*names, "row"])
 
-    rows = training.select("text").mapInPandas(count, ", ".join(f"{c} double" for c in names) + ", row long").groupBy("row").agg(*[F.sum(c).alias(c) for c in names]).collect()
+    rows = training.select("classes").mapInArrow(count, ", ".join(f"{c} double" for c in names) + ", row long").groupBy("row").agg(*[F.sum(c).alias(c) for c in names]).collect()
     table = np.zeros((model.classes + k + 1, k))
     for r in rows:
         table[r.row] = [r[c] for c in names]
@@ -270,8 +283,9 @@ class Learned:
         return float(self.v_class.sum())
 
 
-def learned(training: DataFrame, counts: DataFrame, *, states: int = STATES, rounds: int = ROUNDS) -> Learned:
-    """What the training texts (one column ``text``) teach, given their token counts."""
+def learned(training: DataFrame, counts: DataFrame, scratch: Scratch | None = None, *, states: int = STATES, rounds: int = ROUNDS) -> Learned:
+    """What the training texts (one column ``text``) teach, given their token
+    counts.  With ``scratch``, their classes are written there once."""
     sizes = training.agg(F.count("*").alias("n")).first().n
     most = counts.orderBy(F.desc("c"), "token").limit(TOP).collect()
     top = {r.token.encode(): k for k, r in enumerate(most)}
@@ -282,8 +296,14 @@ def learned(training: DataFrame, counts: DataFrame, *, states: int = STATES, rou
     n_class[len(top)], v_class[len(top)] = sizes, 1 if sizes else 0
     model = start_model(n_class, top, states)
     base = (n_class + 1.0) / (n_class + 1.0).sum()
-    for _ in range(rounds if sizes else 0):
-        model = maximised(model, baum_welch_round(training, model), base)
+    rounds = rounds if sizes else 0
+    texts = classed(training, top)
+    if scratch and rounds:
+        texts = scratch.save(texts, "classes")
+    for _ in range(rounds):
+        model = maximised(model, baum_welch_round(texts, model), base)
+    if scratch and rounds:
+        scratch.drop("classes")
     return Learned(model, n_class, v_class, sizes)
 
 
@@ -295,7 +315,7 @@ def score(docs: DataFrame, held_out: Column, scratch: Scratch, *, doc_id: str =
     rows = docs.select(F.col(doc_id).cast("string").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), held_out.alias("held_out"))
     training = rows.where(~F.col("held_out"))
     counts = scratch.save(token_counts(training), "counts")
-    got = learned(training, counts, states=states, rounds=rounds)
+    got = learned(training, counts, scratch, states=states, rounds=rounds)
 
     # texts by chunk, and the counts that each chunk asks for
     volume = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0

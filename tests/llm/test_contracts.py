@@ -97,6 +97,23 @@ def test_score_sums_all_paths(spark):
     assert scored == pytest.approx(want)
 
 
+def test_training_texts_are_tokenised_once(spark, docs, monkeypatch):
+    made, seen = hmm_lm.classed, []
+    monkeypatch.setattr(hmm_lm, "classed", lambda texts, top: seen.append(top) or made(texts, top))
+    training = docs.select("text")
+    counts = hmm_lm.token_counts(training)
+    scratch = Scratch(spark, "t")
+    got, plain = hmm_lm.learned(training, counts, scratch, rounds=3), hmm_lm.learned(training, counts, rounds=3)
+    assert len(seen) == 2 and seen[0] == seen[1]
+    for a, b in ((got.model.start, plain.model.start), (got.model.step, plain.model.step), (got.model.emit, plain.model.emit)):
+        np.testing.assert_allclose(a, b, rtol=1e-9)
+    for r, text in zip(made(training, seen[0]).collect(), training.collect(), strict=True):
+        words = hmm_lm.tokens(text.text)
+        assert np.frombuffer(r.classes, hmm_lm.CLASS).tolist() == [*hmm_lm.classes_of(words, seen[0]).tolist(), len(seen[0])]
+    where = spark._jvm.org.apache.hadoop.fs.Path(scratch.path("classes"))
+    assert not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)  # dropped when read
+
+
 def test_forward_is_exact():
     import itertools
 
